@@ -81,6 +81,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     probe = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     counts = (probe.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
               .withColumn("_b", _coarse(F.col("_v"))).withColumn("_s", _fine(F.col("_v"))))
+    counts = cut(counts)  # read five times below
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     wanted = F.explode(F.array(*[
         F.struct(F.lit(name).alias("_name"), ((F.col("_total") - 1) * F.lit(p)).alias("_at"))

@@ -66,8 +66,8 @@ def multiples(spark, sf):
     return v.add_multiples(priced(spark, sf))
 
 
-def peer_medians(spark, sf, spans=None):
-    clean = v.clean_multiples(multiples(spark, sf)).where("sector is not null")
+def peer_medians(spark, sf, spans=None, rows=None):
+    clean = v.clean_multiples(rows or multiples(spark, sf)).where("sector is not null")
     keep = clean.select("symbol", *v.COHORT, "filed_date", "tie_key", *[F.col(f"`{m}`").alias(a) for m, a in SHORT.items()])
     return peers.visible_medians(cut(keep), v.COHORT, list(SHORT.values()), "filed_date", "tie_key", spans=spans)
 
@@ -76,10 +76,11 @@ SHORT = {"EV/EBITDA": "ebitda_x", "EV/Sales": "sales_x", "P/E": "earnings_x"}
 
 
 def valued(spark, sf):
-    med = peer_medians(spark, sf)
+    base = cut(multiples(spark, sf))  # priced once, used for the peers and for the rows
+    med = peer_medians(spark, sf, rows=base)
     med = med.select("symbol", "fiscal_year", *[F.col(f"{a}_{s}").alias(f"{m}_{s}") for m, a in SHORT.items()
                                                 for s in ("median", "n_peers")])
-    rows = multiples(spark, sf).join(med, ["symbol", "fiscal_year"])
+    rows = base.join(med, ["symbol", "fiscal_year"])
     return v.implied_prices(rows, dims.sector_multiples(spark))
 
 
