@@ -43,6 +43,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str
 
 OCTAVE_STEPS = 64
 FINE_STEPS = 65536
+SMALL_VALUES = 100_000
 
 
 def _coarse(v: Column) -> Column:
@@ -69,20 +70,29 @@ def _narrow(counts: DataFrame, ranks: DataFrame, keys: list[str], bucket: str) -
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    count: str | None = None) -> DataFrame:
+                    count: str | None = None, small_values: int = SMALL_VALUES) -> DataFrame:
     """Exact linear-interpolated quantiles per key, for keys of any size.
 
     Values are first counted per (key, value), which spreads a big key over the
     cluster. Two histogram passes over order-preserving buckets (a bounded number
     per key) locate the few buckets that hold the wanted ranks, and only their
-    values are ordered. Nothing is sampled; the result equals a full sort.
+    values are ordered. Nothing is sampled; the result equals a full sort. When
+    every key turns out to have few distinct values, one weighted aggregate does.
     """
     keys = list(keys)
     probe = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     counts = (probe.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
               .withColumn("_b", _coarse(F.col("_v"))).withColumn("_s", _fine(F.col("_v"))))
-    counts = cut(counts)  # read five times below
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    counts = cut(counts)  # read several times below
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_values"))
+    biggest = totals.agg(F.max("_values")).first()[0] or 0
+    if biggest <= small_values:
+        # checked: no key has more distinct values than one task orders at ease
+        wide = counts.groupBy(*keys).agg(
+            *[F.expr(f"percentile(_v, {p}D, _n)").alias(name) for name, p in probs.items()],
+            *([F.sum("_n").alias(count)] if count else []))
+        return wide.select(*keys, *([count] if count else []), *probs)
+    totals = totals.drop("_values")
     wanted = F.explode(F.array(*[
         F.struct(F.lit(name).alias("_name"), ((F.col("_total") - 1) * F.lit(p)).alias("_at"))
         for name, p in probs.items()]))

@@ -7,6 +7,7 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import dims
+from ..session import cut
 from .asof import asof_join, event_between
 from .ordering import exact_quantiles, null_safe_join, top_k
 from .spans import with_membership
@@ -154,7 +155,7 @@ def long_only_gap(signals: DataFrame, inflation: DataFrame, entry: float = dims.
                   cap_pct: float = dims.POSITION_CAP_PCT, years: float = 1.0) -> DataFrame:
     """Long positions in undervalued symbols, weighted by the inflation-adjusted gap."""
     s = inflation_adjusted(signals, inflation, "gap_pct", "published_date", years)
-    return capped_weights(s.where(F.col("adjusted_gap") >= entry), ["date"], "adjusted_gap", "symbol", cap_pct)
+    return capped_weights(cut(s.where(F.col("adjusted_gap") >= entry)), ["date"], "adjusted_gap", "symbol", cap_pct)
 
 
 @strategy("sector_neutral")
@@ -163,8 +164,8 @@ def sector_neutral(signals: DataFrame, inflation: DataFrame, entry: float = dims
                    sector_cap_pct: float = dims.SECTOR_CAP_PCT) -> DataFrame:
     """Long the excess over the sector median, capped per position and per sector."""
     s = inflation_adjusted(signals, inflation, "gap_pct", "published_date", 1.0)
-    s = group_baseline(s, ["date"], "sector", "adjusted_gap")
-    s = s.where((F.col("excess") >= entry) & (F.col("adjusted_gap") >= min_gap))
+    s = group_baseline(cut(s), ["date"], "sector", "adjusted_gap")
+    s = cut(s.where((F.col("excess") >= entry) & (F.col("adjusted_gap") >= min_gap)))
     return cap_by_group(capped_weights(s, ["date"], "excess", "symbol", cap_pct), ["date"], "sector",
                         cap_pct=sector_cap_pct)
 
@@ -178,8 +179,9 @@ def option_gap(signals: DataFrame, inflation: DataFrame, entry: float = dims.ENT
         .withColumn("log_gap", F.ln(F.col("theoretical") / F.col("close")) * 100)
     s = inflation_adjusted(s, inflation, "log_gap", "published_date", tenor_days / 365.0, log=True)
     s = threshold_flags(directions(s, "adjusted_gap", conviction_cap), "adjusted_gap", entry, exit_ratio)
+    s = cut(s.where("keep"))
     w = capped_weights(s.where("enter"), ["date"], "conviction", "symbol", cap_pct)
-    out = s.where("keep").join(w.select("date", "symbol", "weight"), ["date", "symbol"], "left")
+    out = s.join(w.select("date", "symbol", "weight"), ["date", "symbol"], "left")
     return out.withColumn("tenor_days", F.lit(tenor_days))
 
 
