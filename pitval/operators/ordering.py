@@ -19,24 +19,34 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(r, null_safe(left, r, [(c, f"_n_{c}") for c in on]), how).drop(*[f"_n_{c}" for c in on])
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "pos") -> DataFrame:
-    """Exact row number per key in ``order`` (which must be total), for keys of any size.
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], step: Column, out: str) -> DataFrame:
+    """Running total of ``step`` per key in ``order``, for keys of any size.
 
     A range exchange on (keys, order) spreads one big key over many partitions in
     order; the partition number is frozen by a checkpoint, because a recomputed
-    exchange could cut elsewhere. Row numbers are then local ones plus the rows
-    of the same key in earlier partitions.
+    exchange could cut elsewhere. The result is the total within the partition
+    plus the totals of the same key in earlier partitions.
     """
     keys = list(keys)
     laid = cut(df.repartitionByRange(*[F.col(k) for k in keys], *order)
-               .withColumn("_part", F.spark_partition_id()))
-    sizes = laid.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
+               .withColumn("_part", F.spark_partition_id()).withColumn("_step", step))
+    sizes = laid.groupBy(*keys, "_part").agg(F.sum("_step").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy(*keys, "_part").orderBy(*order)
-    numbered = laid.withColumn("_local", F.row_number().over(local))
-    return (null_safe_join(numbered, offsets, [*keys, "_part"], "inner")
-            .withColumn(out, F.col("_offset") + F.col("_local")).drop("_part", "_local", "_offset"))
+    local = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = laid.withColumn("_local", F.sum("_step").over(local))
+    return (null_safe_join(summed, offsets, [*keys, "_part"], "inner")
+            .withColumn(out, F.col("_offset") + F.col("_local")).drop("_part", "_local", "_offset", "_step"))
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "pos") -> DataFrame:
+    """Exact row number per key in ``order`` (which must be total), for keys of any size."""
+    return _running(df, keys, order, F.lit(1), out)
+
+
+def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the key, the row itself left out."""
+    return _running(df, keys, order, F.col(value), out).withColumn(out, F.col(out) - F.col(value))
 
 
 # -- exact quantiles ---------------------------------------------------------------------

