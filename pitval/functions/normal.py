@@ -31,6 +31,12 @@ def _poly_col(x: Column, coefficients) -> Column:
 
 
 def cdf(z: Column) -> Column:
+    """Distribution function. The lambda keeps the generated code small and evaluates ``z`` once:
+    spelled out in place, a handful of these outgrow what the JVM compiles."""
+    return F.element_at(F.transform(F.array(z), _cdf), 1)
+
+
+def _cdf(z: Column) -> Column:
     x = F.abs(z)
     e = F.exp(-x * x / 2)
     tail = x + 1.0 / (x + 2.0 / (x + 3.0 / (x + 4.0 / (x + 0.65))))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import dims
 from ..functions.normal import cdf, cdf_array, pdf
+from ..session import cut
 from .asof import Lookup, asof_join, asof_lookup
 from .ordering import exact_quantiles, ranked, running_before
 
@@ -278,40 +279,57 @@ def strike_grid(df: DataFrame, n_sigma: float = 3.0, step: float = 0.25) -> Data
     return df.where("spot > 0 and sigma > 0 and t > 0").withColumn("strike", F.explode(grid))
 
 
+CHUNK = 256
+
+
+def _growth_of(s, k, mu, v, t, p, call, x, w):
+    """Stake and growth of one chunk of candidates (columns) over the quadrature nodes (rows of x, w)."""
+    sd = v * np.sqrt(t)
+    zk = (np.log(k / s) - (mu - v * v / 2) * t) / sd
+    lo, hi = np.where(call, zk, -WIDEST), np.where(call, WIDEST, zk)
+    half = (hi - lo) / 2
+    z = half * x + (hi + lo) / 2
+    weight = w * half * np.exp(-z * z / 2) / np.sqrt(2 * np.pi)
+    end = s * np.exp((mu - v * v / 2) * t + sd * z)
+    gain = np.where(call, end - k, k - end) / p - 1
+    lost = np.where(call, cdf_array(zk), 1 - cdf_array(zk))
+    weighted = weight * gain
+
+    def slope(f):
+        return (weighted / (1 + f * gain)).sum(axis=1, keepdims=True) - lost / (1 - f)
+
+    usable = (p > 0) & (hi > lo) & (slope(np.zeros_like(s)) > 0)
+    a, b = np.zeros_like(s), np.full_like(s, MOST_STAKE)
+    capped = slope(b) > 0
+    for _ in range(45):
+        m = (a + b) / 2
+        up = slope(m) > 0
+        a, b = np.where(up, m, a), np.where(up, b, m)
+    f = np.where(capped, MOST_STAKE, (a + b) / 2)
+    growth = (weight * np.log1p(f * gain)).sum(axis=1, keepdims=True) + np.where(lost > 0, lost * np.log1p(-f), 0)
+    ok = usable & np.isfinite(growth)
+    return np.where(ok, f, np.nan)[:, 0], np.where(ok, growth, np.nan)[:, 0]
+
+
 def _growth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Log-optimal stake and growth per candidate, by quadrature and bisection over the batch."""
+    """Log-optimal stake and growth per candidate; small chunks keep the node arrays in cache."""
     x, w = np.polynomial.legendre.leggauss(NODES)
     for rows in batches:
-        s, k, mu, v, t, p = (rows[c].to_numpy(float)[:, None] for c in ("spot", "strike", "mu", "sigma", "t", "premium"))
+        cols = [rows[c].to_numpy(float)[:, None] for c in ("spot", "strike", "mu", "sigma", "t", "premium")]
         call = (rows["option_type"] == "CALL").to_numpy()[:, None]
+        out = []
         with np.errstate(all="ignore"):
-            sd = v * np.sqrt(t)
-            zk = (np.log(k / s) - (mu - v * v / 2) * t) / sd
-            lo, hi = np.where(call, zk, -WIDEST), np.where(call, WIDEST, zk)
-            half = (hi - lo) / 2
-            z = half * x + (hi + lo) / 2
-            weight = w * half * np.exp(-z * z / 2) / np.sqrt(2 * np.pi)
-            end = s * np.exp((mu - v * v / 2) * t + sd * z)
-            gain = np.where(call, end - k, k - end) / p - 1
-            lost = np.where(call, cdf_array(zk), 1 - cdf_array(zk))
-
-            def slope(f):
-                return (weight * gain / (1 + f * gain)).sum(axis=1, keepdims=True) - lost / (1 - f)
-
-            usable = ((p > 0) & (hi > lo) & (slope(np.zeros_like(s)) > 0))[:, 0]
-            a, b = np.zeros_like(s), np.full_like(s, MOST_STAKE)
-            capped = slope(b) > 0
-            for _ in range(60):
-                m = (a + b) / 2
-                up = slope(m) > 0
-                a, b = np.where(up, m, a), np.where(up, b, m)
-            f = np.where(capped, MOST_STAKE, (a + b) / 2)
-            growth = (weight * np.log1p(f * gain)).sum(axis=1, keepdims=True) + np.where(lost > 0, lost * np.log1p(-f), 0)
-        ok = usable & np.isfinite(growth[:, 0])
-        yield rows.assign(kelly_fraction=np.where(ok, f[:, 0], np.nan), log_growth=np.where(ok, growth[:, 0], np.nan))
+            for i in range(0, len(rows), CHUNK):
+                out.append(_growth_of(*[c[i:i + CHUNK] for c in cols], call[i:i + CHUNK], x, w))
+        stake, growth = (np.concatenate(z) for z in zip(*out)) if out else (np.empty(0), np.empty(0))
+        yield rows.assign(kelly_fraction=stake, log_growth=growth)
 
 
 def add_growth(df: DataFrame) -> DataFrame:
+    # a candidate costs far more time than bytes, so spread by rows rather than by size
+    spark = df.sparkSession
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df = df.repartition(width)
     out = df.mapInPandas(_growth, df.withColumns({"kelly_fraction": F.lit(0.0), "log_growth": F.lit(0.0)}).schema)
     none = F.lit(None).cast("double")
     return out.withColumns({c: F.nanvl(F.col(c), none) for c in ("kelly_fraction", "log_growth")})
@@ -325,7 +343,7 @@ def best_strike(df: DataFrame, keys: Sequence[str], criterion: str = "kelly") ->
     """
     if criterion not in ("kelly", "sharpe"):
         raise ValueError(f"criterion must be kelly or sharpe, not {criterion!r}")
-    df = payoff_moments(df.where("strike > 0"))
+    df = cut(payoff_moments(df.where("strike > 0")))  # counted and scored from one evaluation
     tried = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_candidates"),
                                   F.count_if((F.col("premium") > 0) & (F.col("edge") <= 0)).alias("n_negative_edge"))
     positive = df.where("premium > 0 and edge > 0")

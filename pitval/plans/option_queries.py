@@ -191,9 +191,9 @@ def moment_rows(spark, sf):
 
 @book.add("f11_payoff_moments", f"{KEY} expected_payoff:f2 std_payoff:f2 downside_semideviation:f2 probability_of_profit:f sharpe:f", f"""
 SELECT {KEYS}, mean AS expected_payoff, sd AS std_payoff, down AS downside_semideviation, pop AS probability_of_profit,
-       (mean - premium) / nullif(sd, 0) AS sharpe FROM b_moments""")
+       CASE WHEN sd > 1 THEN (mean - premium) / sd END AS sharpe FROM b_moments""")
 def payoff_moments(spark, sf):
-    return op.payoff_moments(moment_rows(spark, sf))
+    return op.payoff_moments(moment_rows(spark, sf)).withColumn("sharpe", F.when(F.col("std_payoff") > 1, F.col("sharpe")))
 
 
 @book.add("f13_convergence_drift", f"{KEY} mu:f6", f"SELECT {KEYS}, mu FROM b_moment_terms")
