@@ -1,3 +1,437 @@
+"""Run metrics, sides, costs, reconciliations, audits."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import dims
+from ..operators import ledger as lg
+from . import flagship
+from .bindings import VIEWS, View, raw, view
+from .join_queries import grid, membership_spans
 from .registry import Book
+from .valuation_queries import TEST_RATES
 
 book = Book()
+
+VIEWS["b_marks"] = View("""
+SELECT run_id, symbol, option_type, contracts, entry_price, entry_date, exit_date,
+       make_date(CAST(floor(m / 12) AS INT), CAST(m % 12 AS INT) + 1, 28) AS date
+FROM (SELECT t.*, year(entry_date) * 12 + month(entry_date) - 1 + k.k AS m
+      FROM {b_trades} AS t CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) AS k(k)) AS x""")
+VIEWS["b_positions"] = View("""
+SELECT run_id, date, symbol, option_type, sum(contracts) AS contracts,
+       CAST(sum(CAST(contracts * entry_price AS DECIMAL(18,2))) AS DOUBLE) AS market_value,
+       CAST(sum(CAST(contracts * entry_price AS DECIMAL(18,2))) AS DOUBLE) / 100 AS unrealized_pnl
+FROM {b_marks} WHERE date >= entry_date AND date < exit_date GROUP BY run_id, date, symbol, option_type""")
+
+
+def nav(spark, sf):
+    return view(spark, sf, "b_nav")
+
+
+def rates(spark):
+    return dims.rates(spark, TEST_RATES)
+
+
+# -- windows on the curve ---------------------------------------------------------------
+
+VIEWS["b_dd"] = View("""
+SELECT *, nav / peak - 1 AS dd, sum(CASE WHEN nav < peak THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY date) AS episode
+FROM (SELECT *, max(nav) OVER (PARTITION BY run_id ORDER BY date) AS peak FROM b_nav) p""")
+VIEWS["b_dd_run"] = View("""
+SELECT r.run_id, r.mdd, coalesce(d.days, 0) AS days FROM (SELECT run_id, min(dd) * 100 AS mdd FROM b_dd GROUP BY 1) r
+LEFT JOIN (SELECT run_id, max(days) AS days FROM (SELECT run_id, episode, max(date) - min(date) + 1 AS days FROM b_dd WHERE nav < peak
+           GROUP BY 1, 2) e GROUP BY 1) d USING (run_id)""")
+
+
+@book.add("w13_drawdowns", "run_id date:d peak:f2 drawdown:f6 episode:i",
+          "SELECT run_id, date, peak, dd AS drawdown, episode FROM b_dd")
+def drawdowns(spark, sf):
+    return lg.drawdowns(nav(spark, sf))
+
+
+@book.add("w13_longest_drawdown", "run_id max_drawdown_pct:f max_drawdown_duration_days:i",
+          "SELECT run_id, mdd AS max_drawdown_pct, days AS max_drawdown_duration_days FROM b_dd_run")
+def longest_drawdown(spark, sf):
+    return lg.longest_drawdown(nav(spark, sf))
+
+
+def returns_sql(source: str, keys: str = "run_id") -> str:
+    return f"""SELECT n.*, n.ret - coalesce(r.rate, 0.04) / 252.0 AS excess, coalesce(r.rate, 0.04) / 252.0 AS rf
+FROM (SELECT *, nav / lag(nav) OVER (PARTITION BY {keys} ORDER BY date) - 1 AS ret FROM {source}) n LEFT JOIN d_rates r ON r.year = year(n.date)"""
+
+
+VIEWS["b_ret"] = View(returns_sql("b_nav"))
+
+
+@book.add("f17_daily_rate", "run_id date:d ret:f8 rf_daily:f8", "SELECT run_id, date, ret, rf AS rf_daily FROM b_ret")
+def daily_rate(spark, sf):
+    return lg.daily_rate(lg.daily_returns(nav(spark, sf)), rates(spark))
+
+
+def metrics_sql(source: str, keys: str = "run_id") -> str:
+    """Run metrics over a returns table, with the moments DuckDB already corrects for samples."""
+    on = " AND ".join(f"r.{k.strip()} = q.{k.strip()}" for k in keys.split(","))
+    rk = ", ".join(f"r.{k.strip()}" for k in keys.split(","))
+    return f"""
+SELECT *, (final_nav / initial_nav - 1) * 100 AS total_return_pct, (pow(final_nav / initial_nav, 1 / n_years) - 1) * 100 AS cagr_pct
+FROM (SELECT {rk}, min(date) AS start_date, max(date) AS end_date, min_by(nav, date) AS initial_nav, max_by(nav, date) AS final_nav,
+       avg(nav) AS avg_nav, (max(date) - min(date)) / 365.25 AS n_years, stddev_samp(ret) * sqrt(252) * 100 AS annualized_volatility_pct,
+       avg(excess) / stddev_samp(excess) * sqrt(252) AS sharpe_ratio,
+       avg(excess) / sqrt(avg(pow(least(excess, 0), 2))) * sqrt(252) AS sortino_ratio, min(q05) * 100 AS var_95_daily_pct,
+       avg(ret) FILTER (ret <= q05) * 100 AS cvar_95_daily_pct, skewness(ret) AS skewness_daily_returns,
+       kurtosis(ret) AS kurtosis_daily_returns, max(ret) * 100 AS best_day_pct, min(ret) * 100 AS worst_day_pct,
+       avg(num_positions) AS avg_num_positions, max(num_positions) AS max_num_positions, avg(invested_value / nav) * 100 AS avg_exposure_pct
+      FROM {source} r JOIN (SELECT {keys}, quantile_cont(ret, 0.05) AS q05 FROM {source} GROUP BY {keys}) q ON {on} GROUP BY {rk}) m"""
+
+
+VIEWS["b_run_metrics"] = View(f"SELECT m.*, d.mdd, d.days, m.cagr_pct / nullif(abs(d.mdd), 0) AS calmar FROM ({metrics_sql('b_ret')}) m JOIN b_dd_run d USING (run_id)")
+METRICS = ("run_id start_date:d end_date:d initial_nav:f2 final_nav:f2 total_return_pct:f cagr_pct:f annualized_volatility_pct:f sharpe_ratio:f "
+           "sortino_ratio:f max_drawdown_pct:f max_drawdown_duration_days:i calmar_ratio:f var_95_daily_pct:f cvar_95_daily_pct:f "
+           "skewness_daily_returns:f kurtosis_daily_returns:f best_day_pct:f worst_day_pct:f avg_num_positions:f max_num_positions:i "
+           "avg_exposure_pct:f")
+
+
+@book.add("m1_run_metrics", METRICS, """
+SELECT *, mdd AS max_drawdown_pct, days AS max_drawdown_duration_days, calmar AS calmar_ratio FROM b_run_metrics""")
+def run_metrics(spark, sf):
+    return lg.run_metrics(nav(spark, sf), rates(spark))
+
+
+VIEWS["b_trade_metrics"] = View("""
+SELECT run_id, count(*) AS num_trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) * 100 AS win_rate_pct,
+       avg(return_pct) FILTER (pnl > 0) AS avg_win_pct, avg(return_pct) FILTER (pnl < 0) AS avg_loss_pct, avg(return_pct) AS avg_trade_return_pct,
+       max(return_pct) AS best_trade_pct, min(return_pct) AS worst_trade_pct, sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0) AS profit_factor,
+       avg(holding_days) AS avg_holding_days, sum(shares * (entry_price + exit_price)) AS turnover FROM b_trades GROUP BY 1""")
+
+
+@book.add("m2_trade_metrics", "run_id num_trades:i win_rate_pct:f avg_win_pct:f avg_loss_pct:f avg_trade_return_pct:f best_trade_pct:f "
+                              "worst_trade_pct:f profit_factor:f avg_holding_days:f annualized_turnover_pct:f2", """
+SELECT t.*, turnover / m.avg_nav / m.n_years * 100 AS annualized_turnover_pct FROM b_trade_metrics t JOIN b_run_metrics m USING (run_id)""")
+def trade_metrics(spark, sf):
+    return lg.trade_metrics(view(spark, sf, "b_trades"), metrics=lg.run_metrics(nav(spark, sf), rates(spark)))
+
+
+@book.add("g13_exits_by_reason", "run_id exit_reason exits:i",
+          "SELECT run_id, exit_reason, count(*) AS exits FROM b_trades GROUP BY 1, 2")
+def exits(spark, sf):
+    return lg.exits_by_reason(view(spark, sf, "b_trades"))
+
+
+@book.add("g14_thesis_metrics", "run_id num_positions_closed:i win_rate_positions_pct:f profit_factor_positions:f avg_holding_days_positions:f", """
+SELECT run_id, count(*) AS num_positions_closed, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) * 100 AS win_rate_positions_pct,
+       sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0) AS profit_factor_positions, avg(h) AS avg_holding_days_positions
+FROM (SELECT run_id, symbol, entry_date, sum(pnl) AS pnl, max(holding_days) AS h FROM b_trades GROUP BY 1, 2, 3) p GROUP BY 1""")
+def thesis(spark, sf):
+    return lg.thesis_metrics(view(spark, sf, "b_trades"))
+
+
+VIEWS["b_market"] = View("SELECT date, 100 * avg(close) / 50000 + year(date) AS level FROM b_prices GROUP BY date")
+VIEWS["b_vs_market"] = View("""
+SELECT n.run_id, n.date, n.nav, m.level, n.nav / lag(n.nav) OVER w - 1 AS s, m.level / lag(m.level) OVER w - 1 AS b
+FROM b_nav n ASOF LEFT JOIN b_market m ON n.date >= m.date WINDOW w AS (PARTITION BY n.run_id ORDER BY n.date)""")
+
+
+@book.add("m3_benchmark_metrics", "run_id benchmark_total_return_pct:f benchmark_cagr_pct:f alpha_pct:f beta:f6 correlation:f6 "
+                                  "tracking_error_pct:f information_ratio:f", """
+SELECT run_id, (b1 / b0 - 1) * 100 AS benchmark_total_return_pct, (pow(b1 / b0, 1 / y) - 1) * 100 AS benchmark_cagr_pct,
+       (pow(n1 / n0, 1 / y) - 1) * 100 - (pow(b1 / b0, 1 / y) - 1) * 100 AS alpha_pct, beta, correlation, te * sqrt(252) * 100 AS tracking_error_pct,
+       gap / te * sqrt(252) AS information_ratio
+FROM (SELECT run_id, min_by(nav, date) AS n0, max_by(nav, date) AS n1, (max(date) - min(date)) / 365.25 AS y,
+             min_by(level, date) FILTER (level IS NOT NULL) AS b0, max_by(level, date) FILTER (level IS NOT NULL) AS b1,
+             covar_samp(s, b) / var_samp(CASE WHEN s IS NOT NULL THEN b END) AS beta, corr(s, b) AS correlation, avg(s - b) AS gap,
+             stddev_samp(s - b) AS te FROM b_vs_market GROUP BY 1) x""")
+def benchmark_metrics(spark, sf):
+    p = view(spark, sf, "b_prices").groupBy("date").agg((100 * F.avg("close") / 50000 + F.year("date")).alias("level"))
+    return lg.benchmark_metrics(nav(spark, sf), p)
+
+
+@book.add("g15_covariances", "run_id beta:f6 correlation:f6 slope:f6", """
+SELECT run_id, covar_samp(nav, num_positions) / var_samp(num_positions) AS beta, corr(nav, num_positions) AS correlation,
+       regr_slope(nav, num_positions) AS slope FROM b_nav GROUP BY 1""")
+def covariances(spark, sf):
+    n = F.col("num_positions").cast("double")
+    return nav(spark, sf).groupBy("run_id").agg((F.covar_samp("nav", n) / F.var_samp(n)).alias("beta"), F.corr("nav", n).alias("correlation"),
+                                                F.regr_slope("nav", n).alias("slope"))
+
+
+# -- sides ------------------------------------------------------------------------------
+
+VIEWS["b_side_trades"] = View("""
+SELECT run_id, s.side, exit_date, sum(pnl) AS pnl FROM b_trades t JOIN (VALUES ('ALL'), ('CALL'), ('PUT')) s(side)
+  ON s.side = 'ALL' OR s.side = t.option_type GROUP BY 1, 2, 3""")
+VIEWS["b_side_booked"] = View("SELECT *, sum(pnl) OVER (PARTITION BY run_id, side ORDER BY exit_date) AS cumul FROM b_side_trades")
+VIEWS["b_side_open"] = View("""
+SELECT run_id, s.side, date, sum(unrealized_pnl) AS u, sum(market_value) AS mv, count(*) AS n FROM b_positions p
+JOIN (VALUES ('ALL'), ('CALL'), ('PUT')) s(side) ON s.side = 'ALL' OR s.side = p.option_type GROUP BY 1, 2, 3""")
+VIEWS["b_side_curve"] = View("""
+SELECT c.run_id, c.side, c.date, i.nav0, coalesce(b.cumul, 0) AS realized, coalesce(o.u, 0) AS u, coalesce(o.mv, 0) AS invested_value,
+       coalesce(o.n, 0) AS num_positions, i.nav0 + coalesce(b.cumul, 0) + coalesce(o.u, 0) AS nav, c.own
+FROM (SELECT run_id, date, nav AS own, side FROM b_nav, (VALUES ('ALL'), ('CALL'), ('PUT')) s(side)) c
+ASOF LEFT JOIN b_side_booked b ON b.run_id = c.run_id AND b.side = c.side AND c.date >= b.exit_date
+LEFT JOIN b_side_open o ON o.run_id = c.run_id AND o.side = c.side AND o.date = c.date
+JOIN (SELECT run_id, min_by(nav, date) AS nav0 FROM b_nav GROUP BY 1) i ON i.run_id = c.run_id""")
+
+
+def curves(spark, sf):
+    return lg.side_curves(nav(spark, sf), view(spark, sf, "b_trades"), view(spark, sf, "b_positions"))
+
+
+@book.add("w15_side_curves", "run_id side date:d nav:f2 realized_pnl_cumul:f2 unrealized_pnl:f2 invested_value:f2 num_positions:i", """
+SELECT run_id, side, date, nav, realized AS realized_pnl_cumul, u AS unrealized_pnl, invested_value, num_positions FROM b_side_curve""")
+def side_curves(spark, sf):
+    return curves(spark, sf)
+
+
+VIEWS["b_side_ret"] = View(returns_sql("(SELECT *, run_id || '/' || side AS leg FROM b_side_curve)", "leg"))
+
+
+@book.add("m4_side_metrics", "run_id side leg_pnl_dollar:f2 total_return_pct:f annualized_volatility_pct:f sharpe_ratio:f best_day_pct:f avg_exposure_pct:f", f"""
+SELECT split_part(leg, '/', 1) AS run_id, split_part(leg, '/', 2) AS side, final_nav - initial0 AS leg_pnl_dollar, total_return_pct,
+       annualized_volatility_pct, sharpe_ratio, best_day_pct, avg_exposure_pct
+FROM ({metrics_sql('b_side_ret', 'leg')}) m JOIN (SELECT run_id || '/' || side AS leg, min(nav0) AS initial0 FROM b_side_curve GROUP BY 1) i USING (leg)""")
+def side_metrics(spark, sf):
+    c = curves(spark, sf)
+    m = lg.run_metrics(c, rates(spark), ["run_id", "side"])
+    start = nav(spark, sf).groupBy("run_id").agg(F.min_by("nav", "date").alias("nav0"))
+    return m.join(start, "run_id").withColumn("leg_pnl_dollar", F.col("final_nav") - F.col("nav0"))
+
+
+@book.add("m4_reconciliation", "run_id max_abs_residual_dollar:f2 max_abs_residual_pct_of_initial:f final_residual_dollar:f2", """
+SELECT run_id, max(abs(own - nav)) AS max_abs_residual_dollar, max(abs(own - nav)) / max(nav0) * 100 AS max_abs_residual_pct_of_initial,
+       max_by(own - nav, date) AS final_residual_dollar FROM b_side_curve WHERE side = 'ALL' GROUP BY 1""")
+def reconciliation(spark, sf):
+    return lg.reconciliation(nav(spark, sf), curves(spark, sf))
+
+
+VIEWS["b_volume"] = View("""
+SELECT run_id, coalesce(option_type, 'ALL') AS side, count(*) AS num_trades, sum(contracts) AS contracts_traded,
+       sum(shares * entry_price) AS entry_notional_dollar, sum(shares * exit_price) AS exit_notional_dollar, sum(pnl) AS realized_pnl_dollar
+FROM b_trades GROUP BY GROUPING SETS ((run_id, option_type), (run_id))""")
+
+
+@book.add("g12_volume_breakdown", "run_id side num_trades:i num_trades_pct:f contracts_traded:f contracts_traded_pct:f turnover_dollar:f2 "
+                                  "turnover_dollar_pct:f realized_pnl_dollar:f2 realized_pnl_dollar_pct:f", """
+SELECT v.run_id, v.side, v.num_trades, v.num_trades * 100.0 / a.num_trades AS num_trades_pct, v.contracts_traded,
+       v.contracts_traded * 100.0 / a.contracts_traded AS contracts_traded_pct, v.entry_notional_dollar + v.exit_notional_dollar AS turnover_dollar,
+       (v.entry_notional_dollar + v.exit_notional_dollar) * 100.0 / (a.entry_notional_dollar + a.exit_notional_dollar) AS turnover_dollar_pct,
+       v.realized_pnl_dollar, v.realized_pnl_dollar * 100.0 / a.realized_pnl_dollar AS realized_pnl_dollar_pct
+FROM b_volume v JOIN b_volume a ON a.run_id = v.run_id AND a.side = 'ALL'""")
+def volume(spark, sf):
+    return lg.volume_breakdown(view(spark, sf, "b_trades"))
+
+
+@book.add("m5_cost_by_side", "run_id side num_fills:i num_buys:i num_sells:i contracts_traded:f commission_dollar:f2 slippage_dollar:f2 "
+                             "friction_dollar:f2 friction_pct_of_turnover:f6", """
+SELECT run_id, coalesce(option_type, 'ALL') AS side, count(*) AS num_fills, count(*) FILTER (side = 'buy') AS num_buys,
+       count(*) FILTER (side = 'sell') AS num_sells, sum(contracts) AS contracts_traded, sum(commission) AS commission_dollar,
+       sum(slippage) AS slippage_dollar, sum(commission) + sum(slippage) AS friction_dollar,
+       (sum(commission) + sum(slippage)) / sum(contracts * multiplier * price) * 100 AS friction_pct_of_turnover
+FROM b_exec GROUP BY GROUPING SETS ((run_id, option_type), (run_id))""")
+def cost_by_side(spark, sf):
+    return lg.cost_breakdown(view(spark, sf, "b_exec"))
+
+
+@book.add("m5_cost_by_reason", "run_id reason num_fills:i commission_dollar:f2 slippage_dollar:f2 pct_of_friction:f", """
+SELECT *, friction * 100 / sum(friction) OVER (PARTITION BY run_id) AS pct_of_friction
+FROM (SELECT run_id, reason, count(*) AS num_fills, sum(commission) AS commission_dollar, sum(slippage) AS slippage_dollar,
+             sum(commission) + sum(slippage) AS friction FROM b_exec GROUP BY 1, 2) c""")
+def cost_by_reason(spark, sf):
+    return lg.cost_by_reason(view(spark, sf, "b_exec"))
+
+
+@book.add("g12_valuation_breakdown", "run_id side avg_market_value_dollar:f2 pct_of_avg_invested:f max_market_value_dollar:f2 "
+                                     "avg_num_positions:f max_num_positions:i days_with_exposure:i pct_of_days_with_exposure:f", """
+SELECT run_id, s.side, avg(coalesce(d.mv, 0)) AS avg_market_value_dollar, avg(coalesce(d.mv, 0)) / avg(a.mv) * 100 AS pct_of_avg_invested,
+       max(coalesce(d.mv, 0)) AS max_market_value_dollar, avg(coalesce(d.n, 0)) AS avg_num_positions, max(coalesce(d.n, 0)) AS max_num_positions,
+       count(*) FILTER (d.n > 0) AS days_with_exposure, avg(CASE WHEN d.n > 0 THEN 1.0 ELSE 0 END) * 100 AS pct_of_days_with_exposure
+FROM (SELECT run_id, date, mv FROM b_side_open WHERE side = 'ALL') a CROSS JOIN (VALUES ('CALL'), ('PUT')) s(side)
+LEFT JOIN (SELECT run_id AS r, side AS sd, date AS dt, mv, n FROM b_side_open) d ON d.r = a.run_id AND d.dt = a.date AND d.sd = s.side GROUP BY 1, 2""")
+def valuation_breakdown(spark, sf):
+    return lg.valuation_breakdown(view(spark, sf, "b_positions"))
+
+
+@book.add("m6_quantity_reconciliation", "run_id option_type bought:f sold:f held:f gap:f", """
+SELECT f.run_id, f.option_type, bought, sold, coalesce(h.held, 0) AS held, bought - sold - coalesce(h.held, 0) AS gap
+FROM (SELECT run_id, option_type, sum(CASE WHEN side = 'buy' THEN contracts ELSE 0 END) AS bought,
+             sum(CASE WHEN side = 'sell' THEN contracts ELSE 0 END) AS sold FROM b_exec GROUP BY 1, 2) f
+LEFT JOIN (SELECT run_id, option_type, sum(contracts) AS held FROM b_positions p
+           WHERE date = (SELECT max(date) FROM b_positions q WHERE q.run_id = p.run_id) GROUP BY 1, 2) h USING (run_id, option_type)""")
+def quantity(spark, sf):
+    return lg.quantity_reconciliation(view(spark, sf, "b_exec"), view(spark, sf, "b_positions"))
+
+
+@book.add("m7_pnl_by_exit_reason", "run_id option_type exit_reason num_trades:i pnl_dollar:f2 avg_return_pct:f median_return_pct:f win_rate_pct:f avg_holding_days:f", """
+SELECT run_id, option_type, exit_reason, count(*) AS num_trades, sum(pnl) AS pnl_dollar, avg(return_pct) AS avg_return_pct,
+       median(return_pct) AS median_return_pct, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) * 100 AS win_rate_pct,
+       avg(holding_days) AS avg_holding_days FROM b_trades GROUP BY 1, 2, 3""")
+def pnl_by_exit_reason(spark, sf):
+    return lg.pnl_by_exit_reason(view(spark, sf, "b_trades"))
+
+
+@book.add("m7_annual_pnl", "run_id exit_year:i CALL:f2 PUT:f2 TOTAL:f2", """
+SELECT run_id, year(exit_date) AS exit_year, coalesce(sum(pnl) FILTER (option_type = 'CALL'), 0) AS "CALL",
+       coalesce(sum(pnl) FILTER (option_type = 'PUT'), 0) AS "PUT", sum(pnl) AS "TOTAL" FROM b_trades GROUP BY 1, 2""")
+def annual_pnl(spark, sf):
+    return lg.annual_pnl(view(spark, sf, "b_trades"))
+
+
+RUNS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+COLS = ("total_return_pct", "cagr_pct", "sharpe_ratio", "never_set")
+
+
+@book.add("m8_metric_table", "metric " + " ".join(f"r{i}:f" for i in range(len(RUNS))), f"""
+SELECT metric, {', '.join(f"max(value) FILTER (run_id = '{r}') AS r{i}" for i, r in enumerate(RUNS))}
+FROM (SELECT run_id, unnest(['total_return_pct', 'cagr_pct', 'sharpe_ratio']) AS metric, unnest([total_return_pct, cagr_pct, sharpe_ratio]) AS value
+      FROM b_run_metrics) l GROUP BY 1""")
+def metric_table(spark, sf):
+    m = lg.run_metrics(nav(spark, sf), rates(spark)).withColumn("never_set", F.lit(None).cast("double"))
+    t = lg.metric_table(m, "run_id", RUNS, COLS)
+    return t.select("metric", *[F.col(f"`{r}`").alias(f"r{i}") for i, r in enumerate(RUNS)])
+
+
+# -- audits -----------------------------------------------------------------------------
+
+
+@book.add("w19_calendar_years", "run_id year:i return_pct:f", """
+SELECT run_id, year(date) AS year, (max_by(nav, date) / min_by(nav, date) - 1) * 100 AS return_pct FROM b_nav GROUP BY 1, 2""")
+def calendar_years(spark, sf):
+    return lg.calendar_year_returns(nav(spark, sf))
+
+
+GROWTH = """
+SELECT run_id, window_start, window_end, (pow(max_by(nav, date) / min_by(nav, date), 365.25 / (max(date) - min(date))) - 1) * 100 AS cagr_pct
+FROM (SELECT w.*, n.date, n.nav FROM ({windows}) w JOIN b_nav n ON n.run_id = w.run_id AND n.date BETWEEN w.window_start AND w.window_end) x
+GROUP BY 1, 2, 3"""
+
+
+@book.add("w19_rolling_windows", "run_id window_start:d window_end:d cagr_pct:f", GROWTH.format(windows="""
+SELECT run_id, CAST(a + to_years(k) AS DATE) AS window_start, CAST(a + to_years(k + 3) AS DATE) AS window_end
+FROM (SELECT run_id, min(date) AS a, max(date) AS z FROM b_nav GROUP BY 1) s, (SELECT CAST(unnest(range(0, 20)) AS INT) AS k) k
+WHERE CAST(a + to_years(k + 3) AS DATE) <= z"""))
+def rolling_windows(spark, sf):
+    return lg.rolling_windows(nav(spark, sf), 3)
+
+
+@book.add("w19_shifted_starts", "run_id window_start:d window_end:d cagr_pct:f", GROWTH.format(windows="""
+SELECT run_id, CAST(a + to_years(k) AS DATE) AS window_start, z AS window_end
+FROM (SELECT run_id, min(date) AS a, max(date) AS z FROM b_nav GROUP BY 1) s, (SELECT unnest([0, 1, 2, 3, 5]) AS k) k
+WHERE CAST(a + to_years(k) AS DATE) < z"""))
+def shifted_starts(spark, sf):
+    return lg.shifted_starts(nav(spark, sf))
+
+
+VIEWS["b_split"] = View("""
+SELECT *, CASE WHEN rn - 1 <= floor(n * 0.7) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY date) AS rn, count(*) OVER (PARTITION BY run_id) AS n FROM b_nav) x""")
+VIEWS["b_split_ret"] = View(returns_sql("(SELECT *, run_id || '/' || split AS leg FROM b_split)", "leg"))
+VIEWS["b_split_metrics"] = View(f"""
+SELECT split_part(leg, '/', 1) AS run_id, split_part(leg, '/', 2) AS split, m.* EXCLUDE (leg) FROM ({metrics_sql('b_split_ret', 'leg')}) m""")
+
+
+def split_metrics(spark, sf):
+    return lg.run_metrics(lg.split_labels(nav(spark, sf), 0.7), rates(spark), ["run_id", "split"])
+
+
+@book.add("w20_train_test", "run_id split start_date:d end_date:d total_return_pct:f cagr_pct:f sharpe_ratio:f sortino_ratio:f",
+          "SELECT * FROM b_split_metrics")
+def train_test(spark, sf):
+    return split_metrics(spark, sf)
+
+
+@book.add("m9_coverage", "date:d members:i with_signal:i ratio_pct:f current_members:i current_with_signal:i former_with_signal:i", """
+SELECT g.date, count(*) AS members, count(*) FILTER (f.first <= g.date) AS with_signal,
+       avg(CASE WHEN f.first <= g.date THEN 1.0 ELSE 0 END) * 100 AS ratio_pct, count(c.ticker) AS current_members,
+       count(*) FILTER (c.ticker IS NOT NULL AND f.first <= g.date) AS current_with_signal,
+       count(*) FILTER (c.ticker IS NULL AND f.first <= g.date) AS former_with_signal
+FROM b_asof_grid g LEFT JOIN b_current c USING (ticker)
+LEFT JOIN (SELECT symbol, min(published_date) AS first FROM b_signals WHERE user_id % 2 = 0 GROUP BY 1) f ON f.symbol = g.ticker
+WHERE EXISTS (SELECT 1 FROM b_spans s WHERE s.ticker = g.ticker AND (s.start_date IS NULL OR s.start_date <= g.date)
+              AND (s.end_date IS NULL OR s.end_date > g.date)) GROUP BY g.date""")
+def coverage(spark, sf):
+    s = view(spark, sf, "b_signals").where("user_id % 2 = 0").withColumnRenamed("symbol", "ticker")
+    return lg.coverage_over_time(grid(spark, sf), membership_spans(spark, sf), s)
+
+
+@book.add("m10_cost_sensitivity", "run_id bps:f extra_cost_dollar:f2 cagr_approx_pct:f", """
+SELECT m.run_id, b.bps, t.turnover / 1e6 * (b.bps - 10) / 10000 AS extra_cost_dollar,
+       CASE WHEN m.final_nav > t.turnover / 1e6 * (b.bps - 10) / 10000
+            THEN (pow((m.final_nav - t.turnover / 1e6 * (b.bps - 10) / 10000) / m.initial_nav, 1 / m.n_years) - 1) * 100 END AS cagr_approx_pct
+FROM b_run_metrics m JOIN b_trade_metrics t USING (run_id) CROSS JOIN (VALUES (10.0::DOUBLE), (20), (30), (50)) b(bps)""")
+def cost_sensitivity(spark, sf):
+    t = lg.trade_metrics(view(spark, sf, "b_trades")).withColumn("turnover_dollar", F.col("turnover_dollar") / 1e6)
+    return lg.cost_sensitivity(lg.run_metrics(nav(spark, sf), rates(spark)), t)
+
+
+@book.add("m11_friction_plan", "nominal:f2 pure_thesis:f2 slippage_cost:f2 churn_cost:f2", """
+SELECT a AS nominal, b AS pure_thesis, c - a AS slippage_cost, d - a AS churn_cost
+FROM (SELECT max(final_nav - initial_nav) FILTER (run_id = '1-URGENT') AS a, max(final_nav - initial_nav) FILTER (run_id = '2-HIGH') AS b,
+             max(final_nav - initial_nav) FILTER (run_id = '3-MEDIUM') AS c, max(final_nav - initial_nav) FILTER (run_id = '5-LOW') AS d
+      FROM b_run_metrics) x""")
+def friction_plan(spark, sf):
+    m = lg.run_metrics(nav(spark, sf), rates(spark))
+    return lg.friction_plan(m.select((F.col("final_nav") - F.col("initial_nav")).alias("pnl"),
+                                     F.col("run_id").isin("2-HIGH", "3-MEDIUM").alias("slippage_zero"),
+                                     F.col("run_id").isin("1-URGENT", "3-MEDIUM").alias("daily")))
+
+
+def sweep_results(spark, sf):
+    m = split_metrics(spark, sf).groupBy("run_id").pivot("split", ["train", "test"]).agg(F.first("sharpe_ratio"))
+    t = lg.trade_metrics(view(spark, sf, "b_trades")).select("run_id", "num_trades")
+    return m.join(t, "run_id").select("run_id", F.col("train").alias("train_sharpe"), F.col("test").alias("test_sharpe"),
+                                      F.col("train").alias("sharpe"), "num_trades",
+                                      F.when(F.col("run_id") == "3-MEDIUM", "failed").alias("error"))
+
+
+VIEWS["b_sweep"] = View("""
+SELECT run_id, max(sharpe_ratio) FILTER (split = 'train') AS train_sharpe, max(sharpe_ratio) FILTER (split = 'test') AS test_sharpe,
+       min(num_trades) AS num_trades FROM b_split_metrics JOIN b_trade_metrics USING (run_id) GROUP BY 1""")
+
+
+@book.add("m12_rank_sweep", "run_id train_sharpe:f test_sharpe:f num_trades:i", """
+SELECT * FROM b_sweep WHERE run_id <> '3-MEDIUM' ORDER BY train_sharpe DESC LIMIT 3""")
+def rank_sweep(spark, sf):
+    return lg.rank_runs(sweep_results(spark, sf), "sharpe", 100, 3)
+
+
+@book.add("o2_top_eligible", "run_id train_sharpe:f num_trades:i", """
+SELECT run_id, train_sharpe, num_trades FROM b_sweep ORDER BY train_sharpe DESC LIMIT 2""")
+def top_eligible(spark, sf):
+    return lg.best_eligible(sweep_results(spark, sf), "train_sharpe", F.col("num_trades") > 10 ** 12, 2)
+
+
+@book.add("m14_freshness", "table_name last_update:d age_days:i status", """
+SELECT table_name, last_update, DATE '2001-12-31' - last_update AS age_days, CASE WHEN last_update IS NULL THEN 'failed'
+       WHEN DATE '2001-12-31' - last_update > 100 THEN 'partial' ELSE 'success' END AS status
+FROM (SELECT 'orders' AS table_name, CAST(max(o_orderdate) AS DATE) AS last_update FROM orders
+      UNION ALL SELECT 'lineitem', CAST(max(l_shipdate) AS DATE) FROM lineitem UNION ALL SELECT 'absent', NULL) t""")
+def freshness(spark, sf):
+    parts = [raw(spark, sf, t).agg(F.max(c).cast("date").alias("last_update")).withColumn("table_name", F.lit(t))
+             for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))]
+    absent = raw(spark, sf, "orders").where("false").agg(F.max("o_orderdate").cast("date").alias("last_update")) \
+        .withColumn("table_name", F.lit("absent"))
+    return lg.freshness(parts[0].union(parts[1]).union(absent), "2001-12-31")
+
+
+VIEWS["b_brand_gap"] = View("""
+SELECT symbol, make_date(year, 12, 31) AS date, close / 50000 * 100 - 100 AS gap_pct FROM {b_prices_annual}""")
+
+
+@book.add("w18_buys_from_positions", "run_id date:d symbol bought:f is_new:b reason", """
+SELECT run_id, p.date, p.symbol, bought, is_new, CASE WHEN NOT is_new THEN 'added' WHEN g.gap_pct IS NULL THEN 'new_position'
+       WHEN g.gap_pct > 0 THEN 'signal_undervalued' ELSE 'signal_overvalued' END AS reason
+FROM (SELECT *, contracts - prev AS bought, prev <= 1e-9 AS is_new
+      FROM (SELECT p.*, coalesce(CASE WHEN lag(d.pos) OVER w = d.pos - 1 THEN lag(p.contracts) OVER w END, 0) AS prev
+            FROM (SELECT run_id, date, symbol, sum(contracts) AS contracts FROM b_positions WHERE contracts % 5 <> 0 GROUP BY 1, 2, 3) p
+            JOIN (SELECT run_id, date, row_number() OVER (PARTITION BY run_id ORDER BY date) AS pos
+                  FROM (SELECT DISTINCT run_id, date FROM b_positions WHERE contracts % 5 <> 0) x) d USING (run_id, date)
+            WINDOW w AS (PARTITION BY run_id, symbol ORDER BY date)) y WHERE contracts > prev + 1e-9) p
+ASOF LEFT JOIN b_brand_gap g ON g.symbol = p.symbol AND p.date >= g.date""")
+def buys(spark, sf):
+    p = view(spark, sf, "b_positions").where("contracts % 5 <> 0").groupBy("run_id", "date", "symbol").agg(F.sum("contracts").alias("contracts"))
+    return lg.buys_from_positions(p, view(spark, sf, "b_brand_gap"))
+
+
+@book.add("m20_multiple_clusters", "symbol cluster:i pca_1:f2 pca_2:f2")
+def clusters(spark, sf):
+    return lg.cluster_multiples(flagship.multiples(spark, sf), ["EV/EBITDA", "EV/Sales", "P/E"])
