@@ -15,6 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stack
+
 
 def one_per_mark(df: DataFrame, on: Sequence[str], mark: str, tie: Column | str) -> DataFrame:
     """Last row per (key, mark) by ``tie``; combines map-side, so hot keys shrink first."""
@@ -59,7 +61,7 @@ def asof_lookup(left: DataFrame, on: Sequence[str], left_on: str, lookups: Seque
                                   F.struct(F.col("_mark").alias("_at"), *look.values).alias(f"_hit{i}")))
         slots.append(f"_hit{i}")
     marks.append(probes.withColumn("_side", F.lit(1)))
-    lined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marks)
+    lined = stack(*marks)
     order = F.col("_mark").asc() if direction == "backward" else F.col("_mark").desc()
     w = Window.partitionBy(*on).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
     found = lined.withColumns({s: F.last(s, ignorenulls=True).over(w) for s in slots}).where("_side = 1")

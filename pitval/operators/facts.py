@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import dims
 from ..functions.symbols import duration_days, fiscal_year, in_window
+from ..session import stack
 from .asof import asof_join
 
 LAST_DAY = "9999-12-31"
@@ -67,7 +68,7 @@ def annual_table(facts: DataFrame, tags: DataFrame, metrics: Sequence[str] | Non
     known = tagged(facts, tags)
     plain = annual_facts(known.where("not cover_page"))
     cover = snap_cover_page(known)
-    every = plain.unionByName(cover, allowMissingColumns=True)
+    every = stack(plain, cover)
     values = first_published(every, ["cik", "metric", "fiscal_year"], "accn")
     return wide_periods(values, ["cik", "fiscal_year"], list(metrics or dims.FACT_TAGS))
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut
+from ..session import cut, stack
 from .ordering import null_safe_join, ranked
 from .spans import OPEN_START
 
@@ -150,14 +150,14 @@ def _events(rows: DataFrame, spans: DataFrame | None) -> DataFrame:
         away = entry.where(F.col("filed").isNotNull()).select(
             "cohort", "metric", "row_id", "kind", "weight", "value", F.lit(1).alias("phase"),
             F.lit(None).cast("date").alias("at"), F.lit(1).alias("layer"), "tie", F.lit(2).alias("step"))
-        gone = begin.unionByName(finish).select(
+        gone = stack(begin, finish).select(
             "cohort", "metric", "row_id", "kind", (-F.col("weight")).alias("weight"), "value",
             F.lit(1).alias("phase"), F.lit(None).cast("date").alias("at"), F.lit(0).alias("layer"), "tie",
             F.lit(3).alias("step"))
         has_undated = rows.where(F.col("filed").isNull()).select("cohort", "metric").distinct()
-        restore = null_safe_join(gone.unionByName(away), has_undated, ["cohort", "metric"], "leftsemi")
-        changes = begin.unionByName(finish).unionByName(undated).unionByName(restore.select(*cols))
-    return ask.unionByName(changes.select(*cols)).unionByName(aside.select(*cols))
+        restore = null_safe_join(stack(gone, away), has_undated, ["cohort", "metric"], "leftsemi")
+        changes = stack(begin, finish, undated, restore.select(*cols))
+    return stack(ask, changes.select(*cols), aside.select(*cols))
 
 
 def _disjoint(spans: DataFrame, floor_day: Column) -> DataFrame:
@@ -167,9 +167,9 @@ def _disjoint(spans: DataFrame, floor_day: Column) -> DataFrame:
     edge = steps.withColumn("_was", F.lag("open_spans", 1, 0).over(w)) \
         .where("(open_spans > 0) <> (_was > 0) or date = date '0001-01-01'")
     nxt = edge.withColumn("e", F.lead("date").over(w))
-    return nxt.where("open_spans > 0").select("symbol", F.col("date").alias("s"), "e") \
-        .unionByName(nxt.where("open_spans = 0 and date = date '0001-01-01'").select(
-            "symbol", F.col("date").alias("s"), F.col("date").alias("e")))
+    inside = nxt.where("open_spans > 0").select("symbol", F.col("date").alias("s"), "e")
+    before = nxt.where("open_spans = 0 and date = date '0001-01-01'")
+    return stack(inside, before.select("symbol", F.col("date").alias("s"), F.col("date").alias("e")))
 
 
 def visible_medians(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str], filed: str, tie: str,
@@ -219,7 +219,7 @@ def visible_medians(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str]
     carry = until.select("cohort", "metric", "code", "weight",
                          F.explode(F.sequence(F.col("block") + 1, F.col("_stop"))).alias("block")).where("weight <> 0")
     shape = ["cohort", "metric", "block", "seq", "row_id", "kind", "weight", "code"]
-    in_blocks = coded.select(*shape).unionByName(carry.select(
+    in_blocks = stack(coded.select(*shape), carry.select(
         "cohort", "metric", "block", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("row_id"),
         F.lit(CARRY).alias("kind"), F.col("weight").cast("int").alias("weight"), "code").select(*shape))
     asked = in_blocks.groupBy("cohort", "metric", "block").applyInArrow(
@@ -244,9 +244,9 @@ def visible_medians(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str]
     demand = enough.select("cohort", "metric", "code", "block", "seq", F.lit(ASK).alias("kind"),
                            F.lit(0).alias("weight"), F.lit(None).cast("double").alias("value"), "rank", "row_id",
                            "end", "visible")
-    ends = supply.unionByName(demand).groupBy("cohort", "metric", "code", "block").applyInArrow(
+    ends = stack(supply, demand).groupBy("cohort", "metric", "code", "block").applyInArrow(
         _in_class, "cohort string, metric string, row_id string, end int, visible long, value double")
-    ends = ends.unionByName(known)
+    ends = stack(ends, known)
     medians = ends.groupBy("row_id", "metric").agg(F.avg("value").alias("median"))
     seen = asked.where("end = 0").select("row_id", "metric", "visible").join(medians, ["row_id", "metric"], "left")
     wide = seen.groupBy("row_id").agg(*[e for m in metrics for e in (

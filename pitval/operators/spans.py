@@ -5,6 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import stack
 from .asof import asof_join
 from .ordering import ranked
 
@@ -32,7 +33,7 @@ def spans_from_events(events: DataFrame, current: DataFrame) -> DataFrame:
     members = current.select("ticker", "company_name", "date_added").dropDuplicates(["ticker"])
     still = (members.join(last, "ticker", "left").where("coalesce(last_action, '') <> 'added'")
              .select("ticker", F.col("date_added").alias("start_date"), F.lit(None).cast("date").alias("end_date")))
-    spans = opened.unionByName(orphan).unionByName(still)
+    spans = stack(opened, orphan, still)
     named = spans.join(members.select("ticker", "company_name", F.lit(True).alias("is_current_member")),
                        "ticker", "left")
     return named.select("ticker", F.coalesce("company_name", "ticker").alias("company_name"),
@@ -46,7 +47,7 @@ def membership_steps(spans: DataFrame, key: str) -> DataFrame:
     opens = spans.select(key, F.coalesce("start_date", floor_day).alias("date"), F.lit(1).alias("delta"))
     closes = spans.where("end_date is not null").select(key, F.col("end_date").alias("date"), F.lit(-1).alias("delta"))
     known = spans.select(key, floor_day.alias("date"), F.lit(0).alias("delta")).distinct()
-    steps = opens.unionByName(closes).unionByName(known).groupBy(key, "date").agg(F.sum("delta").alias("delta"))
+    steps = stack(opens, closes, known).groupBy(key, "date").agg(F.sum("delta").alias("delta"))
     w = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return steps.select(key, "date", F.sum("delta").over(w).alias("open_spans"))
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import stack
 from ..operators import asof, ordering, panel, spans, valuation
 from . import flagship
 from .bindings import VIEWS, View, raw, view
@@ -245,8 +246,8 @@ LEFT JOIN (SELECT price_symbol AS symbol, count(DISTINCT year) AS filings, max(y
 LEFT JOIN (SELECT symbol, count(*) AS contracts, max(snapshot_date) AS last_snapshot FROM b_chain GROUP BY 1) c
   USING (symbol)""")
 def coverage_table(spark, sf):
-    base = raw(spark, sf, "part").select(F.col("p_brand").alias("symbol")).union(
-        spark.createDataFrame([("Brand#99",)], "symbol string")).distinct()
+    base = stack(raw(spark, sf, "part").select(F.col("p_brand").alias("symbol")),
+                 spark.createDataFrame([("Brand#99",)], "symbol string")).distinct()
     p = view(spark, sf, "b_prices_annual").groupBy("symbol").agg(
         F.count_distinct("year").alias("price_years"), F.min("year").alias("first_year"),
         F.max("year").alias("last_year"), F.max_by("close", "year").alias("last_close"))

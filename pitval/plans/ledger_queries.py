@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..operators import ledger as lg
+from ..session import stack
 from . import flagship
 from .bindings import VIEWS, View, raw, view
 from .join_queries import grid, membership_spans
@@ -177,7 +178,7 @@ def curves(spark, sf):
     return lg.side_curves(nav(spark, sf), view(spark, sf, "b_trades"), view(spark, sf, "b_positions"))
 
 
-@book.add("w15_side_curves", "run_id side date:d nav:f2 realized_pnl_cumul:f2 unrealized_pnl:f2 invested_value:f2 num_positions:i", """
+@book.add("w15_side_curves", "run_id side date:d nav:f realized_pnl_cumul:f unrealized_pnl:f invested_value:f2 num_positions:i", """
 SELECT run_id, side, date, nav, realized AS realized_pnl_cumul, u AS unrealized_pnl, invested_value, num_positions FROM b_side_curve""")
 def side_curves(spark, sf):
     return curves(spark, sf)
@@ -186,7 +187,7 @@ def side_curves(spark, sf):
 VIEWS["b_side_ret"] = View(returns_sql("(SELECT *, run_id || '/' || side AS leg FROM b_side_curve)", "leg"))
 
 
-@book.add("m4_side_metrics", "run_id side leg_pnl_dollar:f2 total_return_pct:f annualized_volatility_pct:f sharpe_ratio:f best_day_pct:f avg_exposure_pct:f", f"""
+@book.add("m4_side_metrics", "run_id side leg_pnl_dollar:f total_return_pct:f annualized_volatility_pct:f sharpe_ratio:f best_day_pct:f avg_exposure_pct:f", f"""
 SELECT split_part(leg, '/', 1) AS run_id, split_part(leg, '/', 2) AS side, final_nav - initial0 AS leg_pnl_dollar, total_return_pct,
        annualized_volatility_pct, sharpe_ratio, best_day_pct, avg_exposure_pct
 FROM ({metrics_sql('b_side_ret', 'leg')}) m JOIN (SELECT run_id || '/' || side AS leg, min(nav0) AS initial0 FROM b_side_curve GROUP BY 1) i USING (leg)""")
@@ -197,7 +198,7 @@ def side_metrics(spark, sf):
     return m.join(start, "run_id").withColumn("leg_pnl_dollar", F.col("final_nav") - F.col("nav0"))
 
 
-@book.add("m4_reconciliation", "run_id max_abs_residual_dollar:f2 max_abs_residual_pct_of_initial:f final_residual_dollar:f2", """
+@book.add("m4_reconciliation", "run_id max_abs_residual_dollar:f max_abs_residual_pct_of_initial:f final_residual_dollar:f", """
 SELECT run_id, max(abs(own - nav)) AS max_abs_residual_dollar, max(abs(own - nav)) / max(nav0) * 100 AS max_abs_residual_pct_of_initial,
        max_by(own - nav, date) AS final_residual_dollar FROM b_side_curve WHERE side = 'ALL' GROUP BY 1""")
 def reconciliation(spark, sf):
@@ -210,8 +211,8 @@ SELECT run_id, coalesce(option_type, 'ALL') AS side, count(*) AS num_trades, sum
 FROM b_trades GROUP BY GROUPING SETS ((run_id, option_type), (run_id))""")
 
 
-@book.add("g12_volume_breakdown", "run_id side num_trades:i num_trades_pct:f contracts_traded:f contracts_traded_pct:f turnover_dollar:f2 "
-                                  "turnover_dollar_pct:f realized_pnl_dollar:f2 realized_pnl_dollar_pct:f", """
+@book.add("g12_volume_breakdown", "run_id side num_trades:i num_trades_pct:f contracts_traded:f contracts_traded_pct:f turnover_dollar:f "
+                                  "turnover_dollar_pct:f realized_pnl_dollar:f realized_pnl_dollar_pct:f", """
 SELECT v.run_id, v.side, v.num_trades, v.num_trades * 100.0 / a.num_trades AS num_trades_pct, v.contracts_traded,
        v.contracts_traded * 100.0 / a.contracts_traded AS contracts_traded_pct, v.entry_notional_dollar + v.exit_notional_dollar AS turnover_dollar,
        (v.entry_notional_dollar + v.exit_notional_dollar) * 100.0 / (a.entry_notional_dollar + a.exit_notional_dollar) AS turnover_dollar_pct,
@@ -221,8 +222,8 @@ def volume(spark, sf):
     return lg.volume_breakdown(view(spark, sf, "b_trades"))
 
 
-@book.add("m5_cost_by_side", "run_id side num_fills:i num_buys:i num_sells:i contracts_traded:f commission_dollar:f2 slippage_dollar:f2 "
-                             "friction_dollar:f2 friction_pct_of_turnover:f6", """
+@book.add("m5_cost_by_side", "run_id side num_fills:i num_buys:i num_sells:i contracts_traded:f commission_dollar:f slippage_dollar:f5 "
+                             "friction_dollar:f5 friction_pct_of_turnover:f6", """
 SELECT run_id, coalesce(option_type, 'ALL') AS side, count(*) AS num_fills, count(*) FILTER (side = 'buy') AS num_buys,
        count(*) FILTER (side = 'sell') AS num_sells, sum(contracts) AS contracts_traded, sum(commission) AS commission_dollar,
        sum(slippage) AS slippage_dollar, sum(commission) + sum(slippage) AS friction_dollar,
@@ -232,7 +233,7 @@ def cost_by_side(spark, sf):
     return lg.cost_breakdown(view(spark, sf, "b_exec"))
 
 
-@book.add("m5_cost_by_reason", "run_id reason num_fills:i commission_dollar:f2 slippage_dollar:f2 pct_of_friction:f", """
+@book.add("m5_cost_by_reason", "run_id reason num_fills:i commission_dollar:f slippage_dollar:f5 pct_of_friction:f", """
 SELECT *, friction * 100 / sum(friction) OVER (PARTITION BY run_id) AS pct_of_friction
 FROM (SELECT run_id, reason, count(*) AS num_fills, sum(commission) AS commission_dollar, sum(slippage) AS slippage_dollar,
              sum(commission) + sum(slippage) AS friction FROM b_exec GROUP BY 1, 2) c""")
@@ -261,7 +262,7 @@ def quantity(spark, sf):
     return lg.quantity_reconciliation(view(spark, sf, "b_exec"), view(spark, sf, "b_positions"))
 
 
-@book.add("m7_pnl_by_exit_reason", "run_id option_type exit_reason num_trades:i pnl_dollar:f2 avg_return_pct:f median_return_pct:f win_rate_pct:f avg_holding_days:f", """
+@book.add("m7_pnl_by_exit_reason", "run_id option_type exit_reason num_trades:i pnl_dollar:f avg_return_pct:f median_return_pct:f win_rate_pct:f avg_holding_days:f", """
 SELECT run_id, option_type, exit_reason, count(*) AS num_trades, sum(pnl) AS pnl_dollar, avg(return_pct) AS avg_return_pct,
        median(return_pct) AS median_return_pct, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0 END) * 100 AS win_rate_pct,
        avg(holding_days) AS avg_holding_days FROM b_trades GROUP BY 1, 2, 3""")
@@ -269,7 +270,7 @@ def pnl_by_exit_reason(spark, sf):
     return lg.pnl_by_exit_reason(view(spark, sf, "b_trades"))
 
 
-@book.add("m7_annual_pnl", "run_id exit_year:i CALL:f2 PUT:f2 TOTAL:f2", """
+@book.add("m7_annual_pnl", "run_id exit_year:i CALL:f PUT:f TOTAL:f", """
 SELECT run_id, year(exit_date) AS exit_year, coalesce(sum(pnl) FILTER (option_type = 'CALL'), 0) AS "CALL",
        coalesce(sum(pnl) FILTER (option_type = 'PUT'), 0) AS "PUT", sum(pnl) AS "TOTAL" FROM b_trades GROUP BY 1, 2""")
 def annual_pnl(spark, sf):
@@ -410,7 +411,7 @@ def freshness(spark, sf):
              for t, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"))]
     absent = raw(spark, sf, "orders").where("false").agg(F.max("o_orderdate").cast("date").alias("last_update")) \
         .withColumn("table_name", F.lit("absent"))
-    return lg.freshness(parts[0].union(parts[1]).union(absent), "2001-12-31")
+    return lg.freshness(stack(*parts, absent), "2001-12-31")
 
 
 VIEWS["b_brand_gap"] = View("""

@@ -63,10 +63,10 @@ class Query:
         return with_views(f"SELECT {', '.join(out)} FROM (\n{self.sql}\n) AS answer")
 
 
-def _needs(sql: str, seen: list[str]) -> list[str]:
+def _needs(sql: str, seen: list[str], within: tuple[str, ...] = ()) -> list[str]:
     for name in VIEWS:
-        if name not in seen and re.search(rf"\b{name}\b", sql):
-            _needs(VIEWS[name].sql(), seen)
+        if name not in seen and name not in within and re.search(rf"\b{name}\b", sql):
+            _needs(VIEWS[name].sql(), seen, (*within, name))
             if name not in seen:
                 seen.append(name)
     return seen
@@ -75,7 +75,7 @@ def _needs(sql: str, seen: list[str]) -> list[str]:
 def with_views(sql: str) -> str:
     """Prefix the derived tables a query mentions, in dependency order."""
     ctes = [f"{name} AS (\n{VIEWS[name].sql()}\n)" for name in _needs(sql, [])]
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + sql
+    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else "") + sql
 
 
 class Book:

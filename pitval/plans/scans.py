@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import symbols as fn
 from ..operators import ordering, spans, valuation
 from ..schema import EQUITY_CURVE
-from ..session import scratch_path
+from ..session import scratch_path, stack
 from ..sources import documents as docs, tables as src
 from .bindings import SCHEMAS, VIEWS, View, raw, view
 from .registry import Book
@@ -91,7 +91,7 @@ def filing_index(spark, sf):
     block = F.to_json(F.struct(F.col("a.accession").alias("accession"), F.col("a.form").alias("form"),
                                F.slice("a.filed", 1, F.size("a") - 1).alias("filed")))
     blocks = page.select("cik", block.alias("json"))
-    return docs.filings_from_index(blocks.unionByName(blocks))
+    return docs.filings_from_index(stack(blocks, blocks))
 
 
 @book.add("s6_log_last_write", "symbol filed_date:d accession:i value:f unreadable:i", """
@@ -155,7 +155,7 @@ def archive_latest(spark, sf):
         F.count(F.lit(1)).alias("contracts"))
 
 
-@book.add("s10_csv_json_sinks", "run_id trades:i pnl:f2 again:i", """
+@book.add("s10_csv_json_sinks", "run_id trades:i pnl:f again:i", """
 SELECT run_id, count(*) AS trades, sum(pnl) AS pnl, count(*) AS again FROM b_trades GROUP BY run_id""")
 def csv_json(spark, sf):
     t = view(spark, sf, "b_trades").groupBy("run_id").agg(F.count(F.lit(1)).alias("trades"), F.sum("pnl").alias("pnl"))
@@ -176,7 +176,7 @@ def report_tables(spark, sf):
     src.write_report({"detail": f, "wide": f.groupBy("sector").agg(F.avg("revenue").alias("value"))}, prefix)
     detail = spark.read.parquet(f"{prefix}/detail").groupBy("sector").agg(F.count(F.lit(1)).cast("double").alias("value"))
     wide = spark.read.parquet(f"{prefix}/wide")
-    return detail.withColumn("table_name", F.lit("detail")).unionByName(wide.withColumn("table_name", F.lit("wide")))
+    return stack(detail.withColumn("table_name", F.lit("detail")), wide.withColumn("table_name", F.lit("wide")))
 
 
 @book.add("s12_load_run", "run_id date:d nav:f2 cash:f2 invested_value:f2 num_positions:i missing_rows:i", """
@@ -212,7 +212,7 @@ FROM (SELECT period_type, fiscal_quarter, revenue FROM b_financials
 def union_by_name(spark, sf):
     q = view(spark, sf, "b_quarters").select("symbol", "fiscal_year", F.lit("TTM").alias("period_type"), F.concat(
         F.lit("Q"), F.col("quarter").cast("string")).alias("fiscal_quarter"), F.col("cumulative").alias("revenue"))
-    return src.stack(view(spark, sf, "b_financials"), q).groupBy("period_type").agg(
+    return stack(view(spark, sf, "b_financials"), q).groupBy("period_type").agg(
         F.count(F.lit(1)).alias("rows"), F.count("fiscal_quarter").alias("quarters"), F.sum("revenue").alias("revenue"))
 
 
@@ -227,8 +227,8 @@ def key_sets(spark, sf):
     e = raw(spark, sf, "events")
     a = e.where("event_type = 'error'").select("user_id").distinct()
     b = e.where("event_type = 'purchase' and value > 400").select("user_id").distinct()
-    parts = {"both": a.intersect(b), "only_error": a.join(b, "user_id", "left_anti"), "any": a.union(b).distinct()}
-    return src.stack(*[d.agg(F.count(F.lit(1)).alias("keys")).withColumn("kind", F.lit(k)) for k, d in parts.items()])
+    parts = {"both": a.intersect(b), "only_error": a.join(b, "user_id", "left_anti"), "any": stack(a, b).distinct()}
+    return stack(*[d.agg(F.count(F.lit(1)).alias("keys")).withColumn("kind", F.lit(k)) for k, d in parts.items()])
 
 
 @book.add("o5_full_universe", "ric instrument_name country currency exchange", """

@@ -35,3 +35,18 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder under the checkpoint root for a written table or a stream."""
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stack(*tables: DataFrame) -> DataFrame:
+    """Union by name; a column one table lacks is NULL there.
+
+    Spark 4.1 may treat a union of equally partitioned inputs as partitioned that
+    way and drop the exchange above it; when exchange reuse then rewrites one
+    input, the union is executed as a plain one and rows of a key end up in
+    several partitions. Switching that shortcut off keeps every exchange.
+    """
+    out = tables[0]
+    out.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.symbols import canonical_symbol
 from ..operators.ordering import keep_first, keep_last
 from ..schema import normalise, require
+from ..session import stack
 
 
 def read_table(spark: SparkSession, path, schema: T.StructType | str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -38,14 +39,6 @@ def read_archive(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(*([paths] if isinstance(paths, str) else paths))
 
 
-def stack(*tables: DataFrame) -> DataFrame:
-    """Union by name; a column one table lacks is NULL there (annual plus trailing rows)."""
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t, allowMissingColumns=True)
-    return out
-
-
 def read_log(spark: SparkSession, path: str, schema: str, keys: Sequence[str] | None = None,
              sequence: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Append-only JSON lines: (usable rows, unreadable lines). With keys the last write wins."""
@@ -105,7 +98,7 @@ def latest_run(df: DataFrame, run_id: str = "run_id") -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Old and new rows, the new one winning per key."""
-    both = old.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
+    both = stack(old.withColumn("_seq", F.lit(0)), new.withColumn("_seq", F.lit(1)))
     return keep_last(both, keys, "_seq")
 
 
@@ -137,4 +130,4 @@ def annual_refresh_plan(universe: DataFrame, cached: DataFrame, start_year: int,
 def add_if_absent(universe: DataFrame, extra: DataFrame, key: str) -> DataFrame:
     """Append rows (the benchmark) whose key is not there yet."""
     fresh = extra.join(universe.select(key).distinct(), key, "left_anti")
-    return universe.unionByName(fresh, allowMissingColumns=True)
+    return stack(universe, fresh)
