@@ -35,10 +35,12 @@ class View:
     text: str
 
     def sql(self) -> str:
-        return re.sub(r"\{(\w+)\}", r"\1", self.text)
+        """The text for the oracle: placeholders become names, doubled braces single ones."""
+        plain = re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", self.text)
+        return plain.replace("{{", "{").replace("}}", "}")
 
     def inputs(self) -> list[str]:
-        return list(dict.fromkeys(re.findall(r"\{(\w+)\}", self.text)))
+        return list(dict.fromkeys(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", self.text)))
 
 
 def raw(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -42,10 +42,10 @@ def sections(spark, sf):
 
 
 VIEWS["b_answers"] = View("""
-SELECT conv_id, turn, role, length(text) AS n, CASE (conv_id + turn) % 5 WHEN 0 THEN '{"category": "autre_materiel", "mater'
-       WHEN 1 THEN concat('```json ', '{"category": "', role, '", "materiality": true, "summary": "', CAST(length(text) AS VARCHAR(20)), '"}', ' ```')
-       WHEN 2 THEN concat('Here it is: ', '{"category": "', role, '", "materiality": false, "summary": "x', chr(123), 'y', chr(125), '"}', ' as asked. ', CAST(turn AS VARCHAR(20)))
-       WHEN 3 THEN concat('  {"category": "', role, '", "materiality": true, "summary": "s"}  ')
+SELECT conv_id, turn, role, length(text) AS n, CASE (conv_id + turn) % 5 WHEN 0 THEN '{{"category": "autre_materiel", "mater'
+       WHEN 1 THEN concat('```json ', '{{"category": "', role, '", "materiality": true, "summary": "', CAST(length(text) AS VARCHAR(20)), '"}}', ' ```')
+       WHEN 2 THEN concat('Here it is: ', '{{"category": "', role, '", "materiality": false, "summary": "x', chr(123), 'y', chr(125), '"}}', ' as asked. ', CAST(turn AS VARCHAR(20)))
+       WHEN 3 THEN concat('  {{"category": "', role, '", "materiality": true, "summary": "s"}}  ')
        ELSE text END AS answer
 FROM {conversations}""")
 

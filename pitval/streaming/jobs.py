@@ -15,12 +15,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.ordering import keep_last
 
 
-def read_landed(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Files landing in a folder as a stream."""
-    reader = spark.readStream.schema(schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+def read_landed(spark: SparkSession, path: str, schema: str, batch_bytes: str = "10g") -> DataFrame:
+    """Files landing in a folder, in the order they land. The size of a micro-batch is
+    bounded, and with it what the per-key jobs below hold of one key at a time."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
 
 
 def _write_batch(path: str):
