@@ -14,7 +14,8 @@ order statistic over a growing (and, with membership, shrinking) multiset:
    counts carried into the block plus the block's own events;
 5. per (cohort, class, block of questions) the value itself is found.
 
-No task ever holds a whole cohort: a block or a class is the largest unit.
+If a count shows that every cohort is small, one pass over whole cohorts does.
+Otherwise no task ever holds a whole cohort: a block or a class is the largest unit.
 """
 from __future__ import annotations
 
@@ -22,6 +23,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut, stack
@@ -108,6 +110,30 @@ def _in_class(table: pa.Table) -> pa.Table:
     return rows.append_column("value", pa.array(levels[found[asked]]))
 
 
+def _whole(min_peers: int):
+    """Both steps at once for a (cohort, metric) small enough for one task."""
+    def solve(table: pa.Table) -> pa.Table:
+        keys = [(c, "ascending") for c in ("phase", "at", "layer", "tie", "step")]
+        table = table.take(pc.sort_indices(table, sort_keys=keys))
+        kind, weight = _ints(table, "kind"), _ints(table, "weight")
+        asked = kind == ASK
+        values = table.column("value").combine_chunks().to_numpy(zero_copy_only=False).astype(float)
+        levels, level = np.unique(values[~asked], return_inverse=True)
+        code = np.zeros(len(kind), dtype=np.int64)
+        code[~asked] = level
+        visible = np.cumsum(weight)
+        median = np.full(len(kind), np.nan)
+        if len(levels):
+            none = np.zeros(len(levels), dtype=np.int64)
+            ends = [levels[np.minimum(nth_in_stream(code, weight, np.where(asked, want, 0), none)[0], len(levels) - 1)]
+                    for want in ((visible + 1) // 2, visible // 2 + 1)]
+            median = np.where(visible >= max(min_peers, 1), (ends[0] + ends[1]) / 2, np.nan)
+        rows = table.filter(pa.array(asked)).select(["row_id", "metric"])
+        return rows.append_column("visible", pa.array(visible[asked])).append_column(
+            "median", pa.array(median[asked], mask=np.isnan(median[asked])))
+    return solve
+
+
 def _events(rows: DataFrame, spans: DataFrame | None) -> DataFrame:
     """Changes and questions of one table of (cohort, metric, filed, tie, symbol, row_id, value)."""
     dated = F.col("filed").isNotNull()
@@ -187,7 +213,14 @@ def visible_medians(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str]
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")) \
         .select("cohort", "filed", "tie", "symbol", F.to_json("row_id").alias("row_id"), "_m.*")
     long = long.withColumn("cohort", F.to_json("cohort"))
-    events = ranked(_events(long, spans), ["cohort", "metric"],
+    log = _events(long, spans)
+    biggest = log.groupBy("cohort", "metric").count().agg(F.max("count")).first()[0] or 0
+    if biggest <= class_rows:
+        # checked: every cohort fits one task
+        seen = log.groupBy("cohort", "metric").applyInArrow(
+            _whole(min_peers), "row_id string, metric string, visible long, median double")
+        return _attach(df, seen, row_key, metrics)
+    events = ranked(log, ["cohort", "metric"],
                     [F.col(c) for c in ("phase", "at", "layer", "tie", "step", "weight", "row_id")], "seq")
     events = events.select("cohort", "metric", "seq", "row_id", "kind", "weight", "value",
                            F.floor(F.col("seq") / block_rows).alias("block"))
@@ -249,6 +282,11 @@ def visible_medians(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str]
     ends = stack(ends, known)
     medians = ends.groupBy("row_id", "metric").agg(F.avg("value").alias("median"))
     seen = asked.where("end = 0").select("row_id", "metric", "visible").join(medians, ["row_id", "metric"], "left")
+    return _attach(df, seen, row_key, metrics)
+
+
+def _attach(df: DataFrame, seen: DataFrame, row_key: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Answers (row_id, metric, visible, median) back as columns of the rows."""
     wide = seen.groupBy("row_id").agg(*[e for m in metrics for e in (
         F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"{m}_median"),
         F.max(F.when(F.col("metric") == m, F.col("visible"))).alias(f"{m}_n_peers"))])

@@ -67,9 +67,9 @@ def multiples(spark, sf):
 
 
 def peer_medians(spark, sf, spans=None, rows=None):
-    clean = v.clean_multiples(rows or multiples(spark, sf)).where("sector is not null")
+    clean = v.clean_multiples(rows if rows is not None else multiples(spark, sf)).where("sector is not null")
     keep = clean.select("symbol", *v.COHORT, "filed_date", "tie_key", *[F.col(f"`{m}`").alias(a) for m, a in SHORT.items()])
-    return peers.visible_medians(cut(keep), v.COHORT, list(SHORT.values()), "filed_date", "tie_key", spans=spans)
+    return peers.visible_medians(keep if rows is not None else cut(keep), v.COHORT, list(SHORT.values()), "filed_date", "tie_key", spans=spans)
 
 
 SHORT = {"EV/EBITDA": "ebitda_x", "EV/Sales": "sales_x", "P/E": "earnings_x"}
