@@ -65,7 +65,7 @@ def run_metrics(equity: DataFrame, rates: DataFrame, keys: Sequence[str] = ("run
         F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.min_by("nav", "date").alias("initial_nav"),
         F.max_by("nav", "date").alias("final_nav"), F.avg("nav").alias("avg_nav"), F.count("ret").alias("_n"),
         F.stddev_samp("ret").alias("_vol"), F.avg("excess").alias("_mean"), F.stddev_samp("excess").alias("_sd"),
-        F.sqrt(F.avg(F.pow(F.least("excess", F.lit(0.0)), 2.0))).alias("_down"), F.skewness("ret").alias("_g1"),
+        F.sqrt(F.avg(F.when(F.col("excess") < 0, F.pow("excess", 2.0)).when(F.col("excess") >= 0, 0.0))).alias("_down"), F.skewness("ret").alias("_g1"),
         F.kurtosis("ret").alias("_g2"), F.max("ret").alias("_best"), F.min("ret").alias("_worst"),
         F.avg("num_positions").alias("avg_num_positions"), F.max("num_positions").alias("max_num_positions"),
         (F.avg(F.col("invested_value") / F.col("nav")) * 100).alias("avg_exposure_pct"))

@@ -79,7 +79,7 @@ SELECT *, (final_nav / initial_nav - 1) * 100 AS total_return_pct, (pow(final_na
 FROM (SELECT {rk}, min(date) AS start_date, max(date) AS end_date, min_by(nav, date) AS initial_nav, max_by(nav, date) AS final_nav,
        avg(nav) AS avg_nav, (max(date) - min(date)) / 365.25 AS n_years, stddev_samp(ret) * sqrt(252) * 100 AS annualized_volatility_pct,
        avg(excess) / stddev_samp(excess) * sqrt(252) AS sharpe_ratio,
-       avg(excess) / sqrt(avg(pow(least(excess, 0), 2))) * sqrt(252) AS sortino_ratio, min(q05) * 100 AS var_95_daily_pct,
+       avg(excess) / sqrt(avg(CASE WHEN excess < 0 THEN excess * excess WHEN excess >= 0 THEN 0 END)) * sqrt(252) AS sortino_ratio, min(q05) * 100 AS var_95_daily_pct,
        avg(ret) FILTER (ret <= q05) * 100 AS cvar_95_daily_pct, skewness(ret) AS skewness_daily_returns,
        kurtosis(ret) AS kurtosis_daily_returns, max(ret) * 100 AS best_day_pct, min(ret) * 100 AS worst_day_pct,
        avg(num_positions) AS avg_num_positions, max(num_positions) AS max_num_positions, avg(invested_value / nav) * 100 AS avg_exposure_pct
