@@ -250,6 +250,10 @@ def sector_dcf(spark, params=None):
                  "sector string, wacc double, fcf_growth double, terminal_growth double")
 
 
+def dividend_yields(spark, table_=None):
+    return table(spark, (table_ or DIVIDEND_YIELD).items(), "sector string, dividend_yield double")
+
+
 def sector_multiples(spark, params=None):
     return table(spark, (params or SECTOR_MULTIPLES).items(), "sector string, applicable array<string>")
 

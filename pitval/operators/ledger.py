@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import dims
+from ..session import cut
 from .asof import Lookup, asof_join, asof_lookup
 from .ordering import exact_quantiles
 from .spans import with_membership
@@ -126,10 +127,7 @@ def benchmark_metrics(equity: DataFrame, benchmark: DataFrame, keys: Sequence[st
     span = equity.groupBy(*keys).agg(F.min("date").alias("_a"), F.max("date").alias("_z"))
     days = benchmark.where("level is not null")
     inside = asof_range_count(span, days, keys)
-    one = F.lit(0).alias("_all")
-    # one benchmark series for all runs: the look-up key is constant, its marks are one per day
-    aligned = asof_join(equity.withColumn("_all", F.lit(0)), days.select(one, F.col("date").alias("_d"), "level"),
-                        ["_all"], "date", "_d", ["level"])
+    aligned = with_level(equity, days)
     w = _run(keys)
     r = aligned.withColumns({"_s": F.col("nav") / F.nullif(F.lag("nav").over(w), F.lit(0.0)) - 1,
                              "_b": F.col("level") / F.nullif(F.lag("level").over(w), F.lit(0.0)) - 1})
@@ -292,14 +290,30 @@ def metric_table(metrics: DataFrame, run: str, runs: Sequence[str], columns: Seq
 # -- audit ------------------------------------------------------------------------------
 
 
+def with_level(equity: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The benchmark (date, level) carried onto the days of every run. One series serves all
+    runs, so the look-up key is constant and its marks are one per day."""
+    series = benchmark.where("level is not null").select(F.lit(0).alias("_all"), F.col("date").alias("_d"), "level")
+    return asof_join(equity.withColumn("_all", F.lit(0)), series, ["_all"], "date", "_d", ["level"]).drop("_all")
+
+
+def against(measure, equity: DataFrame, benchmark: DataFrame, value: str, on: Sequence[str], **options) -> DataFrame:
+    """A measure of the run beside the same measure of the benchmark, and their difference."""
+    own = measure(equity, **options)
+    level = with_level(equity, benchmark).withColumn("nav", F.col("level"))
+    other = measure(level, **options).select(*on, F.col(value).alias(f"benchmark_{value}"))
+    return own.join(other, list(on), "left").withColumn("difference", F.col(value) - F.col(f"benchmark_{value}"))
+
+
 def calendar_year_returns(equity: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
-    per = equity.groupBy(*keys, F.year("date").alias("year")).agg(F.min_by("nav", "date").alias("_a"), F.max_by("nav", "date").alias("_z"))
+    known = F.when(F.col("nav").isNotNull(), F.col("date"))
+    per = equity.groupBy(*keys, F.year("date").alias("year")).agg(F.min_by("nav", known).alias("_a"), F.max_by("nav", known).alias("_z"))
     return per.select(*keys, "year", ((F.col("_z") / F.col("_a") - 1) * 100).alias("return_pct"))
 
 
 def window_growth(equity: DataFrame, windows: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """CAGR between the first and last observation inside each (start, end) window of a run."""
-    look = equity.select(*keys, F.col("date").alias("_d"), "nav")
+    look = equity.where("nav is not null").select(*keys, F.col("date").alias("_d"), "nav")
     out = asof_lookup(windows, keys, "window_start", [Lookup(look.withColumnRenamed("nav", "_n0"), "_d", ["_n0"], matched="_d0")], "forward")
     out = asof_lookup(out, keys, "window_end", [Lookup(look.withColumnRenamed("nav", "_n1"), "_d", ["_n1"], matched="_d1")])
     years = _positive(F.datediff("_d1", "_d0") / YEAR)
@@ -333,6 +347,20 @@ def split_labels(equity: DataFrame, fraction: float, keys: Sequence[str] = ("run
     return out.where(F.col("_n") >= least).withColumn("split", label).drop("_i", "_n")
 
 
+def split_trades(trades: DataFrame, labelled: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Trades labelled by their exit against the last training day of their run."""
+    border = labelled.where("split = 'train'").groupBy(*keys).agg(F.max("date").alias("_border"))
+    return trades.join(border, list(keys)).withColumn("split", F.when(F.col("exit_date") <= F.col("_border"), "train").otherwise("test")) \
+        .drop("_border")
+
+
+def objective_correlations(results: DataFrame, parameters: Sequence[str], objective: str) -> DataFrame:
+    """Correlation of each numeric parameter with the objective over all runs (long)."""
+    wide = results.agg(*[F.corr(p, objective).alias(p) for p in parameters])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).alias("correlation")) for p in parameters]))
+                       .alias("c")).select("c.*")
+
+
 def cost_sensitivity(metrics: DataFrame, turnover: DataFrame, applied_bps: float = 10.0, levels: Sequence[float] = (20.0, 30.0, 50.0),
                      keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """CAGR if every traded dollar had cost more basis points."""
@@ -358,19 +386,18 @@ def rank_runs(results: DataFrame, objective: str, min_trades: int, top: int | No
     usable = results.where(F.col("error").isNull() & (F.coalesce("num_trades", F.lit(0)) >= min_trades))
     trained = f"train_{objective}"
     if trained in results.columns:
-        seen = F.broadcast(usable.agg((F.count(trained) > 0).alias("_trained")))
-        usable = usable.crossJoin(seen)
-        key = F.when(F.col("_trained"), F.col(trained)).otherwise(F.col(objective))
+        any_trained = usable.agg(F.count(trained) > 0).scalar()
+        key = F.when(any_trained, F.col(trained)).otherwise(F.col(objective))
     else:
         key = F.col(objective)
     ordered = usable.withColumn("_key", key).orderBy(F.col("_key").desc_nulls_last(), F.col("run_id"))
-    return (ordered.limit(top) if top else ordered).drop("_key", "_trained")
+    return (ordered.limit(top) if top else ordered).drop("_key")
 
 
 def best_eligible(results: DataFrame, objective: str, eligible: Column, top: int) -> DataFrame:
     """Top rows among the eligible ones, among all when none is."""
-    some = F.broadcast(results.agg(F.coalesce(F.bool_or(eligible), F.lit(False)).alias("_any")))
-    return results.crossJoin(some).where(~F.col("_any") | eligible).drop("_any") \
+    some = results.agg(F.coalesce(F.bool_or(eligible), F.lit(False))).scalar()
+    return results.where(~some | eligible) \
         .orderBy(F.col(objective).desc_nulls_last(), F.col("run_id")).limit(top)
 
 
@@ -427,6 +454,7 @@ def cluster_multiples(df: DataFrame, features: Sequence[str], k: int = 5, seed:
     rest = [c for c in full.columns if c != "symbol"]
     last = full.groupBy("symbol").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), "year").alias("r")).select("symbol", "r.*")
     safe = last.select("symbol", *[F.col(f"`{f}`").alias(f"x{i}") for i, f in enumerate(features)])
+    safe = cut(safe)  # the fit passes over it many times
     model = Pipeline(stages=[
         VectorAssembler(inputCols=[f"x{i}" for i in range(len(features))], outputCol="v"),
         StandardScaler(inputCol="v", outputCol="z", withMean=True, withStd=True),

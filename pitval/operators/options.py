@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import dims
 from ..functions.normal import cdf, cdf_array, pdf
-from ..session import cut
+from ..session import cut, stack
 from .asof import Lookup, asof_join, asof_lookup
 from .ordering import exact_quantiles, ranked, running_before
 
@@ -183,6 +183,15 @@ def price_and_greeks(df: DataFrame, spot: str = "spot", strike: str = "strike",
     return out.drop("_sd", "_d1", "_d2", "_n1", "_n2", "_p1", "_ds", "_dk")
 
 
+def add_carry(df: DataFrame, rates: DataFrame, yields: DataFrame, date: str, sector: str = "sector") -> DataFrame:
+    """Rate known at the date (last year's mean) and the sector's dividend yield, with defaults."""
+    r = F.broadcast(rates.select((F.col("year") + 1).alias("_in"), F.col("rate").alias("_r")))
+    q = F.broadcast(yields.select(F.col("sector").alias(sector), F.col("dividend_yield").alias("_q")))
+    out = df.join(r, F.year(date) == F.col("_in"), "left").join(q, sector, "left")
+    return out.withColumns({"r": F.coalesce("_r", F.lit(dims.RISK_FREE_DEFAULT)),
+                            "q": F.coalesce("_q", F.lit(dims.DIVIDEND_YIELD_DEFAULT))}).drop("_in", "_r", "_q")
+
+
 def _price_array(s, k, t, v, r, call):
     sd = v * np.sqrt(t)
     d1 = (np.log(s / k) + (r + v * v / 2) * t) / sd
@@ -357,6 +366,27 @@ def best_strike(df: DataFrame, keys: Sequence[str], criterion: str = "kelly") ->
     return tried.join(best, list(keys), "left")
 
 
+def expected_value_strikes(targets: DataFrame, keys: Sequence[str], quoted: str | None = None, fraction: float = 0.8,
+                           criterion: str = "kelly") -> DataFrame:
+    """Targets with the strike that grows capital fastest; those without a positive edge drop out.
+
+    ``targets``: spot, theoretical, sigma, t, r, q, option_type. ``quoted`` names an
+    array of listed strikes: those inside the theoretical window replace the grid.
+    The weights of the others are left as they are.
+    """
+    base = targets.withColumn("mu", convergence_drift(F.col("theoretical"), F.col("spot"), F.col("t"), fraction)).where("mu is not null")
+    grid = strike_grid(base)
+    if quoted:
+        reach = 3.0 * F.col("sigma") * F.sqrt("t")
+        listed = F.filter(quoted, lambda k: (k >= F.col("spot") * F.exp(-reach)) & (k <= F.col("spot") * F.exp(reach)))
+        has = base.withColumn("_listed", listed).where("size(_listed) > 0")
+        grid = stack(has.withColumn("strike", F.explode("_listed")).drop("_listed"),
+                     strike_grid(base.where((F.coalesce(F.size(listed), F.lit(0)) <= 0))))
+    priced = price_and_greeks(grid, vol="sigma").withColumn("premium", F.col("price"))
+    best = best_strike(priced, keys, criterion).where("strike is not null")
+    return targets.join(best, list(keys)).withColumn("strike_moneyness", F.col("strike") / F.col("spot"))
+
+
 # -- orders and fees ----------------------------------------------------------------------
 
 

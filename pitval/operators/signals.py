@@ -185,6 +185,21 @@ def option_gap(signals: DataFrame, inflation: DataFrame, entry: float = dims.ENT
     return out.withColumn("tenor_days", F.lit(tenor_days))
 
 
+@strategy("option_expected_value")
+def option_expected_value(signals: DataFrame, inflation: DataFrame, market: DataFrame, fraction: float = 0.8,
+                          criterion: str = "kelly", **params) -> DataFrame:
+    """The option targets with the strike of best expected growth; no positive edge, no target.
+
+    ``market`` (date, symbol, sigma, r, q and optionally ``strikes``) is what a
+    simulator would ask its market context for, as joined columns.
+    """
+    from .options import expected_value_strikes
+    t = option_gap(signals, inflation, **params).where("enter")
+    t = t.join(market, ["date", "symbol"]).withColumns({
+        "option_type": F.col("direction"), "spot": F.col("close"), "t": F.col("tenor_days") / 365.0})
+    return expected_value_strikes(cut(t), ["date", "symbol"], "strikes" if "strikes" in market.columns else None, fraction, criterion)
+
+
 def threshold_sweep(signals: DataFrame, keys: Sequence[str], gap: str, order: str, thresholds: Sequence[float],
                     cap_pct: float = dims.POSITION_CAP_PCT) -> DataFrame:
     """Candidates and weight profile for a short list of thresholds in one pass over the signals."""

@@ -33,8 +33,7 @@ SELECT coalesce(price_source, 'none') AS price_source, count(*) AS rows,
 def source_summary(spark, sf):
     by = flagship.priced(spark, sf).groupBy(F.coalesce("price_source", F.lit("none")).alias("price_source")).agg(
         F.count(F.lit(1)).alias("rows"))
-    total = by.agg(F.sum("rows").alias("total"))
-    return by.crossJoin(F.broadcast(total)).withColumn("share", F.col("rows") / F.col("total"))
+    return by.withColumn("share", F.col("rows") / by.agg(F.sum("rows")).scalar())
 
 
 VIEWS["b_filings"] = View("""
@@ -73,11 +72,11 @@ CROSS JOIN (SELECT DISTINCT CAST(ts AS DATE) AS date FROM {events}) AS d""")
 
 
 def grid(spark, sf):
-    """Every (user, day) pair with the days of the data as a literal-free generated range."""
+    """Each user on each day between the first and the last of the data."""
     e = raw(spark, sf, "events")
-    bounds = e.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b"))
+    first, last = (e.agg(f(F.to_date("ts"))).scalar() for f in (F.min, F.max))
     users = e.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker")).distinct()
-    return users.join(F.broadcast(bounds)).select("ticker", F.explode(F.sequence("a", "b")).alias("date"))
+    return users.select("ticker", F.explode(F.sequence(first, last)).alias("date"))
 
 
 @book.add("w11_membership_spans", "ticker start_date:d end_date:d is_current_member:b", """
@@ -144,7 +143,7 @@ def dimension_priority(spark, sf):
     c = raw(spark, sf, "customer")
     first = c.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("_a"))
     names = raw(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("_b"))
-    second = c.join(F.broadcast(names), "c_nationkey").select(F.col("c_custkey").alias("custkey"), "_b")
+    second = c.join(names, "c_nationkey").select(F.col("c_custkey").alias("custkey"), "_b")
     f = view(spark, sf, "b_financials").drop("sector")
     return f.join(first, "custkey", "left").join(second, "custkey", "left").withColumn("sector", F.coalesce("_a", "_b"))
 

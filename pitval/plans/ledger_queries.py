@@ -436,3 +436,48 @@ def buys(spark, sf):
 @book.add("m20_multiple_clusters", "symbol cluster:i pca_1:f2 pca_2:f2")
 def clusters(spark, sf):
     return lg.cluster_multiples(flagship.multiples(spark, sf), ["EV/EBITDA", "EV/Sales", "P/E"])
+
+
+@book.add("w19_years_against_benchmark", "run_id year:i return_pct:f benchmark_return_pct:f difference:f", """
+SELECT run_id, year(date) AS year, (max_by(nav, date) / min_by(nav, date) - 1) * 100 AS return_pct,
+       (max_by(level, date) / min_by(level, date) - 1) * 100 AS benchmark_return_pct,
+       (max_by(nav, date) / min_by(nav, date) - 1) * 100 - (max_by(level, date) / min_by(level, date) - 1) * 100 AS difference
+FROM b_vs_market GROUP BY 1, 2""")
+def years_against(spark, sf):
+    return lg.against(lg.calendar_year_returns, nav(spark, sf), market(spark, sf), "return_pct", ["run_id", "year"])
+
+
+def market(spark, sf):
+    return view(spark, sf, "b_prices").groupBy("date").agg((100 * F.avg("close") / 50000 + F.year("date")).alias("level"))
+
+
+@book.add("w19_windows_against_benchmark", "run_id window_start:d window_end:d cagr_pct:f benchmark_cagr_pct:f difference:f", """
+SELECT *, cagr_pct - benchmark_cagr_pct AS difference
+FROM (SELECT w.run_id, window_start, window_end,
+             (pow(max_by(nav, date) / min_by(nav, date), 365.25 / (max(date) - min(date))) - 1) * 100 AS cagr_pct,
+             (pow(max_by(level, date) / min_by(level, date), 365.25 / (max(date) - min(date))) - 1) * 100 AS benchmark_cagr_pct
+      FROM (SELECT run_id, CAST(a + to_years(k) AS DATE) AS window_start, CAST(a + to_years(k + 3) AS DATE) AS window_end
+            FROM (SELECT run_id, min(date) AS a, max(date) AS z FROM b_nav GROUP BY 1) s, (SELECT CAST(unnest(range(0, 20)) AS INT) AS k) k
+            WHERE CAST(a + to_years(k + 3) AS DATE) <= z) w
+      JOIN b_vs_market n ON n.run_id = w.run_id AND n.date BETWEEN window_start AND window_end GROUP BY 1, 2, 3) x""")
+def windows_against(spark, sf):
+    return lg.against(lg.rolling_windows, nav(spark, sf), market(spark, sf), "cagr_pct", ["run_id", "window_start", "window_end"], years=3)
+
+
+@book.add("w20_trade_split", "run_id split num_trades:i profit_factor:f", """
+SELECT t.run_id, CASE WHEN t.exit_date <= b.border THEN 'train' ELSE 'test' END AS split, count(*) AS num_trades,
+       sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0) AS profit_factor
+FROM b_trades t JOIN (SELECT run_id, max(date) AS border FROM b_split WHERE split = 'train' GROUP BY 1) b USING (run_id) GROUP BY 1, 2""")
+def trade_split(spark, sf):
+    t = lg.split_trades(view(spark, sf, "b_trades"), lg.split_labels(nav(spark, sf), 0.7))
+    return lg.trade_metrics(t, ["run_id", "split"])
+
+
+@book.add("g15_parameter_correlation", "parameter correlation:f6", """
+SELECT unnest(['num_trades', 'win_rate_pct', 'avg_holding_days']) AS parameter,
+       unnest([corr(t.num_trades, m.cagr_pct), corr(t.win_rate_pct, m.cagr_pct), corr(t.avg_holding_days, m.cagr_pct)]) AS correlation
+FROM b_trade_metrics t JOIN b_run_metrics m USING (run_id)""")
+def parameter_correlation(spark, sf):
+    m = lg.run_metrics(nav(spark, sf), rates(spark)).select("run_id", "cagr_pct")
+    t = lg.trade_metrics(view(spark, sf, "b_trades"))
+    return lg.objective_correlations(t.join(m, "run_id"), ["num_trades", "win_rate_pct", "avg_holding_days"], "cagr_pct")

@@ -344,3 +344,23 @@ FROM (SELECT *, count(*) OVER w AS n, sqrt(coalesce(pow((volume - avg(volume) OV
       FROM b_chain WINDOW w AS (PARTITION BY symbol, option_type)) s""")
 def anomalies(spark, sf):
     return op.flag_anomalies(chain(spark, sf), ["symbol", "option_type"], ["volume", "open_interest", "moneyness_pct"])
+
+
+VIEWS["d_yields"] = View("SELECT * FROM (VALUES ('BUILDING', 0.035::DOUBLE), ('MACHINERY', 0.012::DOUBLE)) AS y(sector, dividend_yield)")
+
+
+@book.add("p13_carry_terms", "symbol fiscal_year:i r:f6 q:f6", """
+SELECT f.symbol, f.fiscal_year, coalesce(r.rate, 0.04) AS r, coalesce(y.dividend_yield, 0.018) AS q
+FROM b_financials f LEFT JOIN d_rates r ON r.year = year(f.filed_date) - 1 LEFT JOIN d_yields y USING (sector)""")
+def carry_terms(spark, sf):
+    from .valuation_queries import TEST_RATES
+    yields = dims.dividend_yields(spark, {"BUILDING": 0.035, "MACHINERY": 0.012})
+    return op.add_carry(view(spark, sf, "b_financials"), dims.rates(spark, TEST_RATES), yields, "filed_date")
+
+
+@book.add("m17_iv_source_mix", "iv_source n:i", """
+SELECT CASE WHEN volume = 1 THEN 'primary' WHEN tenor_days % 7 <> 0 THEN 'secondary' ELSE 'none' END AS iv_source, count(*) AS n
+FROM b_chain GROUP BY 1""")
+def iv_source_mix(spark, sf):
+    from ..operators.signals import diagnostics
+    return diagnostics(matched(spark, sf), "iv_source")

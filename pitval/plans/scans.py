@@ -106,7 +106,7 @@ def log_last_write(spark, sf):
     m.select(torn.alias("value")).write.text(path)
     good, bad = src.read_log(spark, path, "symbol string, filed_date date, accession long, value double",
                              ["symbol", "filed_date"], "accession")
-    return good.crossJoin(F.broadcast(bad.agg(F.count("_corrupt").alias("unreadable"))))
+    return good.withColumn("unreadable", bad.agg(F.count("_corrupt")).scalar())
 
 
 @book.add("s7_page_lists", "page_id:i position:i href label", r"""
@@ -138,7 +138,7 @@ def page_tables(spark, sf):
 def overwrite_sink(spark, sf):
     path = scratch_path(spark, "prices")
     p = view(spark, sf, "b_prices")
-    src.write_table(p.limit(10), path)
+    src.write_table(p.where("volume > 100"), path)
     src.write_table(p, path)
     return spark.read.parquet(path)
 
@@ -186,8 +186,8 @@ def load_run(spark, sf):
     root = scratch_path(spark, "runs")
     view(spark, sf, "b_nav").write.partitionBy("run_id").parquet(f"{root}/equity")
     equity = src.load_run(spark, root, "equity", EQUITY_CURVE, "1-URGENT")
-    absent = src.load_run(spark, root, "signals", EQUITY_CURVE).agg(F.count(F.lit(1)).alias("missing_rows"))
-    return equity.crossJoin(F.broadcast(absent))
+    absent = src.load_run(spark, root, "signals", EQUITY_CURVE)
+    return equity.withColumn("missing_rows", absent.agg(F.count(F.lit(1))).scalar())
 
 
 @book.add("s13_latest_run", "run_id date:d nav:f2",

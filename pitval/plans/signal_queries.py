@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..session import cut
 from ..operators import signals as sg
 from .bindings import VIEWS, View, raw, view
 from .join_queries import grid, membership_spans
@@ -150,3 +151,11 @@ def option_targets(spark, sf):
 @book.add("u5_diagnostics", "period_type n:i", "SELECT period_type, count(*) AS n FROM b_eligible GROUP BY 1")
 def diagnostics(spark, sf):
     return sg.diagnostics(eligible_signals(spark, sf), "period_type")
+
+
+@book.add("m16_expected_value_targets", "symbol date:d direction weight:f6 strike:f2 kelly_fraction:f edge:f")
+def expected_value_targets(spark, sf):
+    e = cut(eligible_signals(spark, sf))
+    market = e.select("date", "symbol", (F.lit(0.2) + (F.col("user_id") % 30) / 100).alias("sigma"), F.lit(0.04).alias("r"), F.lit(0.018).alias("q"),
+                      F.when(F.col("user_id") % 2 == 0, F.array(*[F.lit(float(k)) for k in range(60, 161, 10)])).alias("strikes"))
+    return sg.STRATEGIES["option_expected_value"](e, dims.inflation(spark), market)

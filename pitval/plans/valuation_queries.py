@@ -256,8 +256,7 @@ def counts_shares(spark, sf):
     # distinct symbols counted in two steps so that a big sector is spread by symbol
     f = view(spark, sf, "b_financials").groupBy("sector", "symbol").agg(F.count(F.lit(1)).alias("n"))
     by = f.groupBy("sector").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("symbols"))
-    total = by.agg(F.sum("rows").alias("total"))
-    return by.crossJoin(F.broadcast(total)).withColumn("share", F.col("rows") / F.col("total"))
+    return by.withColumn("share", F.col("rows") / by.agg(F.sum("rows")).scalar())
 
 
 @book.add("g11_fill_rates", "fiscal_year:i column_name rows:i filled:i fill_rate:f", """

@@ -29,7 +29,7 @@ def read_universe(spark: SparkSession, path: str, exchange: str = "SMART", excha
     raw = F.col("Exchange") if "Exchange" in df.columns else F.lit(None).cast("string")
     if exchange_map is None:
         return df.withColumn("exchange", F.coalesce(raw, F.lit(exchange)))
-    codes = F.broadcast(exchange_map.select(F.col("exchange").alias("_x"), F.col("code").alias("_code")))
+    codes = exchange_map.select(F.col("exchange").alias("_x"), F.col("code").alias("_code"))
     return (df.join(codes, raw == F.col("_x"), "left")
             .withColumn("exchange", F.coalesce("_code", F.lit(exchange))).drop("_x", "_code"))
 
@@ -63,8 +63,7 @@ def append_snapshot(df: DataFrame, archive: str, date: str = "snapshot_date") ->
 def latest_snapshot(spark: SparkSession, archive: str, date: str = "snapshot_date") -> DataFrame:
     """The rows of the newest partition, found from the partition values alone."""
     df = spark.read.parquet(archive)
-    newest = df.agg(F.max(date).alias("_newest"))
-    return df.join(F.broadcast(newest), F.col(date) == F.col("_newest")).drop("_newest")
+    return df.where(F.col(date) == df.agg(F.max(date)).scalar())
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -92,8 +91,7 @@ def load_run(spark: SparkSession, root: str, part: str, schema: T.StructType, ru
 
 def latest_run(df: DataFrame, run_id: str = "run_id") -> DataFrame:
     """Rows of the run with the greatest timestamped id."""
-    newest = df.agg(F.max(run_id).alias("_newest"))
-    return df.join(F.broadcast(newest), F.col(run_id) == F.col("_newest")).drop("_newest")
+    return df.where(F.col(run_id) == df.agg(F.max(run_id)).scalar())
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
