@@ -33,6 +33,7 @@ from .spans import OPEN_START
 BLOCK_ROWS = 200_000
 CLASS_ROWS = 50_000
 SPLITS = 255
+STRIDE = 16
 PUT, ASK, CARRY = 1, 2, 3
 
 
@@ -229,13 +230,18 @@ def visible_medians(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str]
     puts = events.where(f"kind = {PUT} and weight > 0")
     cuts = puts.groupBy("cohort", "metric").agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("value", [(i + 1) / (SPLITS + 1) for i in range(SPLITS)],
-                                                           10_000).alias("_cuts"))
+                                                           2_000).alias("_cuts"))
     cuts = cuts.select("cohort", "metric", F.when(F.col("_n") > class_rows, F.array_distinct("_cuts"))
                        .otherwise(F.array().cast("array<double>")).alias("_cuts"))
-    less = F.size(F.filter("_cuts", lambda s: s < F.col("value")))
-    upto = F.size(F.filter("_cuts", lambda s: s <= F.col("value")))
-    coded = events.join(cuts, ["cohort", "metric"], "left") \
-        .withColumn("code", F.when(F.col("kind") == PUT, less + upto).otherwise(0)).drop("_cuts")
+    # two-step search: every 16th split first, then the 16 that follow; a value equal to a split is odd
+    cuts = cuts.withColumn("_marks", F.filter("_cuts", lambda _, i: (i + 1) % STRIDE == 0))
+    coarse = F.size(F.filter("_marks", lambda s: s < F.col("value"))) * STRIDE
+    coded = events.join(cuts, ["cohort", "metric"], "left").withColumn("_from", coarse)
+    less = F.col("_from") + F.size(F.filter(F.slice("_cuts", F.col("_from") + 1, F.lit(STRIDE)), lambda s: s < F.col("value")))
+    coded = coded.withColumn("_less", less)
+    equal = F.coalesce(F.try_element_at("_cuts", F.col("_less") + 1) == F.col("value"), F.lit(False))
+    code = F.col("_less") * 2 + F.when(equal, 1).otherwise(0)
+    coded = coded.withColumn("code", F.when(F.col("kind") == PUT, code).otherwise(0)).drop("_cuts", "_marks", "_from", "_less")
     coded = cut(coded)
 
     # class counts carried into each block

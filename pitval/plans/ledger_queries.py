@@ -455,7 +455,8 @@ def market(spark, sf):
 SELECT *, cagr_pct - benchmark_cagr_pct AS difference
 FROM (SELECT w.run_id, window_start, window_end,
              (pow(max_by(nav, date) / min_by(nav, date), 365.25 / (max(date) - min(date))) - 1) * 100 AS cagr_pct,
-             (pow(max_by(level, date) / min_by(level, date), 365.25 / (max(date) - min(date))) - 1) * 100 AS benchmark_cagr_pct
+             (pow(max_by(level, date) FILTER (level IS NOT NULL) / min_by(level, date) FILTER (level IS NOT NULL),
+                  365.25 / (max(date) FILTER (level IS NOT NULL) - min(date) FILTER (level IS NOT NULL))) - 1) * 100 AS benchmark_cagr_pct
       FROM (SELECT run_id, CAST(a + to_years(k) AS DATE) AS window_start, CAST(a + to_years(k + 3) AS DATE) AS window_end
             FROM (SELECT run_id, min(date) AS a, max(date) AS z FROM b_nav GROUP BY 1) s, (SELECT CAST(unnest(range(0, 20)) AS INT) AS k) k
             WHERE CAST(a + to_years(k + 3) AS DATE) <= z) w
