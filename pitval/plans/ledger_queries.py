@@ -211,7 +211,7 @@ SELECT run_id, coalesce(option_type, 'ALL') AS side, count(*) AS num_trades, sum
 FROM b_trades GROUP BY GROUPING SETS ((run_id, option_type), (run_id))""")
 
 
-@book.add("g12_volume_breakdown", "run_id side num_trades:i num_trades_pct:f contracts_traded:f contracts_traded_pct:f turnover_dollar:f "
+@book.add("g12_volume_breakdown", "run_id side num_trades:i num_trades_pct:f contracts_traded:f contracts_traded_pct:f turnover_dollar:f0 "
                                   "turnover_dollar_pct:f realized_pnl_dollar:f realized_pnl_dollar_pct:f", """
 SELECT v.run_id, v.side, v.num_trades, v.num_trades * 100.0 / a.num_trades AS num_trades_pct, v.contracts_traded,
        v.contracts_traded * 100.0 / a.contracts_traded AS contracts_traded_pct, v.entry_notional_dollar + v.exit_notional_dollar AS turnover_dollar,
@@ -241,7 +241,7 @@ def cost_by_reason(spark, sf):
     return lg.cost_by_reason(view(spark, sf, "b_exec"))
 
 
-@book.add("g12_valuation_breakdown", "run_id side avg_market_value_dollar:f2 pct_of_avg_invested:f max_market_value_dollar:f2 "
+@book.add("g12_valuation_breakdown", "run_id side avg_market_value_dollar:f0 pct_of_avg_invested:f max_market_value_dollar:f0 "
                                      "avg_num_positions:f max_num_positions:i days_with_exposure:i pct_of_days_with_exposure:f", """
 SELECT run_id, s.side, avg(coalesce(d.mv, 0)) AS avg_market_value_dollar, avg(coalesce(d.mv, 0)) / avg(a.mv) * 100 AS pct_of_avg_invested,
        max(coalesce(d.mv, 0)) AS max_market_value_dollar, avg(coalesce(d.n, 0)) AS avg_num_positions, max(coalesce(d.n, 0)) AS max_num_positions,

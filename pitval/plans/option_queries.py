@@ -139,7 +139,7 @@ def price_and_greeks(spark, sf):
     return priced_chain(spark, sf)
 
 
-@book.add("g17_book_greeks", "snapshot_date:d delta_notional:f2 theta_per_day:f2 vega_notional:f2", """
+@book.add("g17_book_greeks", "snapshot_date:d delta_notional:f0 theta_per_day:f0 vega_notional:f0", """
 SELECT snapshot_date, sum(abs(delta) * spot * open_interest * 100) AS delta_notional, sum(theta * open_interest * 100) AS theta_per_day,
        sum(vega * open_interest * 100) AS vega_notional FROM b_greeks GROUP BY 1""")
 def book_greeks(spark, sf):
