@@ -205,7 +205,8 @@ def visible_medians(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str]
     """Add ``<metric>_median`` and ``<metric>_n_peers`` over the visible peers of each row.
 
     ``tie`` must be unique within a cohort and day. ``spans`` (symbol,
-    start_date, end_date) restricts peers to members on the row's own day.
+    start_date, end_date) restricts peers to members on the row's own day. ``df``
+    is read twice; hand in a checkpointed one if it is costly.
     """
     row_key = [*cohort, filed, tie]
     keyed = df.select(F.struct(*cohort).alias("cohort"), F.col(filed).alias("filed"), F.col(tie).alias("tie"),

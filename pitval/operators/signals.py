@@ -173,11 +173,20 @@ def sector_neutral(signals: DataFrame, inflation: DataFrame, entry: float = dims
 @strategy("option_gap")
 def option_gap(signals: DataFrame, inflation: DataFrame, entry: float = dims.ENTRY_THRESHOLD_PCT,
                exit_ratio: float = dims.EXIT_THRESHOLD_RATIO, cap_pct: float = dims.POSITION_CAP_PCT,
-               conviction_cap: float | None = 100.0, tenor_days: int = dims.TARGET_TENOR_DAYS) -> DataFrame:
-    """Direction and weight per symbol from the log gap; rows over the exit test only carry a direction."""
-    s = signals.where("theoretical > 0 and close > 0") \
-        .withColumn("log_gap", F.ln(F.col("theoretical") / F.col("close")) * 100)
-    s = inflation_adjusted(s, inflation, "log_gap", "published_date", tenor_days / 365.0, log=True)
+               conviction_cap: float | None = 100.0, tenor_days: int = dims.TARGET_TENOR_DAYS, basis: str = "log") -> DataFrame:
+    """Direction and weight per symbol from the gap; rows over the exit test only carry a direction.
+
+    ``basis``: ``log`` points of value over price, or percent of the ``theoretical`` value or of the ``close``.
+    """
+    value, price = F.col("theoretical"), F.col("close")
+    if basis == "log":
+        gap = F.ln(value / price) * 100
+    elif basis in ("theoretical", "close"):
+        gap = (value - price) / F.col(basis) * 100
+    else:
+        raise ValueError(f"basis must be log, theoretical or close, not {basis!r}")
+    s = signals.where("theoretical > 0 and close > 0").withColumn("gap", gap)
+    s = inflation_adjusted(s, inflation, "gap", "published_date", tenor_days / 365.0, log=basis == "log")
     s = threshold_flags(directions(s, "adjusted_gap", conviction_cap), "adjusted_gap", entry, exit_ratio)
     s = cut(s.where("keep"))
     w = capped_weights(s.where("enter"), ["date"], "conviction", "symbol", cap_pct)

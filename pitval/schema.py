@@ -100,8 +100,7 @@ def day(column: Column | str) -> Column:
 def compact_day(column: Column | str) -> Column:
     """``yyyyMMdd`` text as a date, NULL when it is none."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.try_to_date(c, "yyyyMMdd") if hasattr(F, "try_to_date") else F.to_date(
-        F.try_to_timestamp(c, F.lit("yyyyMMdd")))
+    return F.try_to_timestamp(c, F.lit("yyyyMMdd")).cast("date")
 
 
 def normalise(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -34,6 +34,17 @@ def read_universe(spark: SparkSession, path: str, exchange: str = "SMART", excha
             .withColumn("exchange", F.coalesce("_code", F.lit(exchange))).drop("_x", "_code"))
 
 
+def read_preferred_universe(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame:
+    """The first universe that exists: current and former members preferred over current ones."""
+    for path in paths:
+        try:
+            return read_universe(spark, path, **options)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    raise FileNotFoundError(", ".join(paths))
+
+
 def read_archive(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """All dated snapshot files of an archive, columns united by name."""
     return spark.read.option("mergeSchema", True).parquet(*([paths] if isinstance(paths, str) else paths))

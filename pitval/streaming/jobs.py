@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.ordering import keep_last
 
 
-def read_landed(spark: SparkSession, path: str, schema: str, batch_bytes: int = 10_000_000_000) -> DataFrame:
+def read_landed(spark: SparkSession, path: str, schema: str, batch_bytes: int = 1_000_000_000) -> DataFrame:
     """Files landing in a folder, in the order they land. The size of a micro-batch is
     bounded, and with it what the per-key jobs below hold of one key at a time."""
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)

@@ -92,9 +92,11 @@ def test_net_debt_needs_one_part(spark):
 
 
 def test_required_columns(spark):
-    from pitval.schema import PRICES, normalise, require
+    from pitval.schema import PRICES, compact_day, normalise, require
     with pytest.raises(ValueError):
         require(spark.range(1), ["symbol"])
     df = spark.createDataFrame([("A", "2024-01-01", float("nan")), ("B", "junk", 1.0)], "symbol string, date string, close double")
     got = normalise(df, PRICES).orderBy("symbol").collect()
+    dates = spark.createDataFrame([("20240131",), ("2024",), (None,)], "t string").select(compact_day("t").alias("d"))
+    assert [r.d for r in dates.collect()] == [dt.date(2024, 1, 31), None, None]
     assert got[0].close is None and got[0].volume is None and got[1].date is None and got[1].close == 1.0

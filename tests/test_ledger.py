@@ -124,6 +124,10 @@ def test_csv_with_byte_order_mark(spark, tmp_path):
     path.write_bytes("﻿RIC,Instrument_Name,Exchange\nBRK.B,Berkshire,XNYS\nAAPL.O,Apple,XNAS\nAAPL.X,Apple again,\n".encode())
     got = {r.symbol: (r.Instrument_Name, r.exchange) for r in src.read_universe(spark, str(path)).collect()}
     assert got == {"BRK B": ("Berkshire", "XNYS"), "AAPL": ("Apple", "XNAS")}
+    both = src.read_preferred_universe(spark, [str(tmp_path / "full.csv"), str(path)])
+    assert both.count() == 2
+    with pytest.raises(FileNotFoundError):
+        src.read_preferred_universe(spark, [str(tmp_path / "full.csv")])
     (tmp_path / "bad.csv").write_text("A,B\n1,2\n")
     with pytest.raises(ValueError):
         src.read_universe(spark, str(tmp_path / "bad.csv"))

@@ -165,3 +165,19 @@ def test_registry_and_settings():
         sg.strategy("valuation_gap")(lambda s: s)
     assert {"valuation_gap", "sector_neutral", "option_gap"} <= set(sg.STRATEGIES)
     assert sg.settings({"a": None, "b": 3}, {"a": 2, "b": 2}, {"a": 1, "b": 1, "c": 1}) == {"a": 2, "b": 3, "c": 1}
+
+
+def test_option_gap_bases_and_expected_value(spark):
+    from pitval import dims
+    rows = [("d", f"S{i}", 100.0, 100.0 * m, dt.date(2024, 1, 2)) for i, m in enumerate((1.5, 1.02, 0.6, 1.3))]
+    s = spark.createDataFrame(rows, "date string, symbol string, close double, theoretical double, published_date date")
+    flat = dims.inflation(spark, {2023: 0.0})
+    for basis in ("log", "theoretical", "close"):
+        out = {r.symbol: r for r in sg.option_gap(s, flat, basis=basis).collect()}
+        assert set(out) == {"S0", "S2", "S3"} and out["S2"].direction == "PUT" and out["S0"].direction == "CALL"
+    with pytest.raises(ValueError):
+        sg.option_gap(s, flat, basis="median")
+    market = s.select("date", "symbol", F.lit(0.3).alias("sigma"), F.lit(0.04).alias("r"), F.lit(0.0).alias("q"))
+    got = {r.symbol: r for r in sg.option_expected_value(s, flat, market).collect()}
+    assert set(got) <= {"S0", "S2", "S3"} and "S0" in got
+    assert all(r.edge > 0 and r.strike_moneyness == pytest.approx(r.strike / 100) for r in got.values())
