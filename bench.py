@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pitval.plans import all_queries  # noqa: E402
 
 HEADLINE = (
-    "flagship_peer_gap", "j2_asof_fallback", "j4_membership_asof", "j5_event_between", "j12_nearest_contract", "j17_dense_panel",
+    "j5_event_between", "j2_asof_fallback", "j4_membership_asof", "flagship_peer_gap", "j12_nearest_contract", "j17_dense_panel",
     "w1_capped_weights", "w7_realized_vol", "w11_membership_spans", "w13_drawdowns", "w15_side_curves", "g1_sector_statistics",
     "g2_cohort_medians", "g5_first_published", "p12_dcf", "f9_price_and_greeks", "f10_implied_vol_round_trip", "f11_payoff_moments",
     "f12_kelly_strike", "f16_order_fees", "m1_run_metrics", "m2_trade_metrics", "m7_pnl_by_exit_reason", "m15_eligible_signals",

@@ -176,13 +176,16 @@ def side_curves(equity: DataFrame, trades: DataFrame, positions: DataFrame, init
     sides = F.explode(F.array(F.lit("ALL"), F.lit("CALL"), F.lit("PUT")))
     calendar = equity.select(*keys, "date", sides.alias("side"))
     both = F.explode(F.array(F.lit("ALL"), F.col("option_type"))).alias("side")
-    closed = trades.select(*keys, both, F.col("exit_date").alias("_exit"), "pnl").groupBy(*keys, "side", "_exit").agg(F.sum("pnl").alias("pnl"))
+    # one pass over the trades by side; the whole is added up from the sides
+    closed = trades.groupBy(*keys, "option_type", F.col("exit_date").alias("_exit")).agg(F.sum("pnl").alias("pnl"))
+    closed = closed.select(*keys, both, "_exit", "pnl").groupBy(*keys, "side", "_exit").agg(F.sum("pnl").alias("pnl"))
     run = Window.partitionBy(*keys, "side").orderBy("_exit").rowsBetween(Window.unboundedPreceding, 0)
     booked = closed.withColumn("realized_pnl_cumul", F.sum("pnl").over(run))
     out = asof_join(calendar, booked, [*keys, "side"], "date", "_exit", ["realized_pnl_cumul"])
-    open_ = positions.select(*keys, both, "date", "unrealized_pnl", "market_value").groupBy(*keys, "side", "date").agg(
-        F.sum("unrealized_pnl").alias("unrealized_pnl"), F.sum("market_value").alias("invested_value"),
-        F.count(F.lit(1)).alias("num_positions"))
+    held = positions.groupBy(*keys, "option_type", "date").agg(
+        F.sum("unrealized_pnl").alias("u"), F.sum("market_value").alias("v"), F.count(F.lit(1)).alias("n"))
+    open_ = held.select(*keys, both, "date", "u", "v", "n").groupBy(*keys, "side", "date").agg(
+        F.sum("u").alias("unrealized_pnl"), F.sum("v").alias("invested_value"), F.sum("n").alias("num_positions"))
     out = out.join(open_, [*keys, "side", "date"], "left").join(start, keys)
     zero = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("realized_pnl_cumul", "unrealized_pnl", "invested_value")}
     out = out.withColumns({**zero, "num_positions": F.coalesce("num_positions", F.lit(0))})

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import dims
+from ..session import cut
 from .ordering import exact_quantiles, null_safe_join
 
 MULTIPLES = ("EV/EBITDA", "EV/Sales", "P/E")
@@ -50,7 +51,7 @@ def group_statistics(df: DataFrame, keys: Sequence[str] = ("sector",),
                      columns: Sequence[str] = MULTIPLES) -> DataFrame:
     """Mean, median, min, max, sample deviation and count of positive values per (group, multiple)."""
     keys = list(keys)
-    long = unpivot_multiples(df.where(F.col(keys[0]).isNotNull()), keys, columns)
+    long = cut(unpivot_multiples(df.where(F.col(keys[0]).isNotNull()), keys, columns))  # read three times
     every = long.select(*keys, "multiple").distinct()
     positive = long.where("value > 0")
     moments = positive.groupBy(*keys, "multiple").agg(
@@ -69,7 +70,7 @@ def wide_statistics(stats: DataFrame, key: str = "sector", stat: Sequence[str] =
 
 def cohort_medians(df: DataFrame, cohort: Sequence[str] = COHORT, min_peers: int = dims.MIN_PEERS) -> DataFrame:
     """Whole-cohort median per multiple, NULL under ``min_peers``, with the peer count."""
-    long = unpivot_multiples(clean_multiples(df.where("sector is not null")), cohort)
+    long = cut(unpivot_multiples(clean_multiples(df.where("sector is not null")), cohort))  # read twice
     keys = [*cohort, "multiple"]
     every = long.select(*keys).distinct()
     q = exact_quantiles(long, keys, "value", {"median": 0.5}, count="n_peers")

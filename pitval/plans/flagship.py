@@ -66,22 +66,24 @@ def multiples(spark, sf):
     return v.add_multiples(priced(spark, sf))
 
 
-def peer_medians(spark, sf, spans=None, rows=None):
-    clean = v.clean_multiples(rows if rows is not None else multiples(spark, sf)).where("sector is not null")
-    keep = clean.select("symbol", *v.COHORT, "filed_date", "tie_key", *[F.col(f"`{m}`").alias(a) for m, a in SHORT.items()])
-    return peers.visible_medians(keep if rows is not None else cut(keep), v.COHORT, list(SHORT.values()), "filed_date", "tie_key", spans=spans)
+SHORT = {"EV/EBITDA": "ebitda_x", "EV/Sales": "sales_x", "P/E": "earnings_x"}
 
 
-SHORT = {"EV/EBITDA": "ebitda_x", "EV/Sales": "sales_x", "P/E": "earnings_x"}
+def with_peer_medians(rows, spans=None):
+    """Plausible multiples under short names, with the median and number of their visible peers."""
+    rows = rows.where("sector is not null").withColumns({a: v.plausible(m) for m, a in SHORT.items()})
+    return peers.visible_medians(rows, v.COHORT, list(SHORT.values()), "filed_date", "tie_key", spans=spans)
+
+
+def peer_medians(spark, sf, spans=None):
+    return with_peer_medians(cut(multiples(spark, sf)), spans)
 
 
 def valued(spark, sf):
-    base = cut(multiples(spark, sf))  # priced once, used for the peers and for the rows
-    med = peer_medians(spark, sf, rows=base)
-    med = med.select("symbol", "fiscal_year", *[F.col(f"{a}_{s}").alias(f"{m}_{s}") for m, a in SHORT.items()
-                                                for s in ("median", "n_peers")])
-    rows = base.join(med, ["symbol", "fiscal_year"])
-    return v.implied_prices(rows, dims.sector_multiples(spark))
+    # priced once, read for the peers and for the rows
+    med = with_peer_medians(cut(multiples(spark, sf)))
+    named = med.withColumnsRenamed({f"{a}_{s}": f"{m}_{s}" for m, a in SHORT.items() for s in ("median", "n_peers")})
+    return v.implied_prices(named.drop(*SHORT.values()), dims.sector_multiples(spark))
 
 
 def gaps(spark, sf):
