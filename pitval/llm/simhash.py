@@ -90,8 +90,7 @@ def links(prints: DataFrame, distance: int = 2, parts: int = 2) -> DataFrame:
         own = value(shift, width)
         store.append(F.struct(F.lit(k).alias("k"), own.alias("v")))
         flips = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
-        probe.append(F.transform(F.array(*[F.lit(f).cast("long") for f in flips]),
-                                 lambda f, k=k, own=own: F.struct(F.lit(k).alias("k"), own.bitwiseXOR(f).alias("v"))))
+        probe.append(F.array(*[F.struct(F.lit(k).alias("k"), own.bitwiseXOR(F.lit(f).cast("long")).alias("v")) for f in flips]))
     stored = prints.select("fp", "node", F.inline(F.array(*store)))
     asked = prints.select(F.col("fp").alias("fp2"), F.col("node").alias("node2"), F.inline(F.concat(*probe)))
     near = (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance)
