@@ -5,9 +5,10 @@ import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -58,13 +59,12 @@ def folded(text: str | None) -> str:
 class Lexicon:
     """Entries with weights. `` stem`` matches where a word begins with it, `` word `` a whole word; phrases may hold several words.
 
-    A match inside an occurrence of an exception phrase does not count. ``unit`` and
-    ``spread`` turn summed weights into a score.
+    A match inside an occurrence of an exception phrase does not count. ``calibration``
+    holds the factors of ``evidence`` and a constant.
     """
     weights: dict[str, float]
     exceptions: tuple[str, ...] = ()
-    unit: float = 1.0
-    spread: float = 4_000.0
+    calibration: tuple[float, ...] = (3.0, 1.0, -0.5, -4.0)
     _automaton: list = field(default_factory=list, compare=False, repr=False)
 
     def automaton(self):
@@ -105,13 +105,19 @@ class Lexicon:
                 out.append((begin, entry))
         return out
 
-    def score(self, text: str | None) -> float:
-        """0 to 1: the summed weight against one unit plus a share that grows with the number of words."""
+    def evidence(self, text: str | None) -> tuple[float, float, float, float]:
+        """Summed weight, the same per hundred words, and the number of words, each on a log scale; a constant."""
         text = folded(text)
-        total = sum(self.weights[e] for _, e in self.matches(text))
-        if total <= 0:
+        total, n = sum(self.weights[e] for _, e in self.matches(text)), max(text.count(" ") - 1, 0)
+        return math.log1p(total), math.log1p(100 * total / (n + 20)), math.log1p(n), 1.0
+
+    def score(self, text: str | None) -> float:
+        """Probability of the label; a text without a match scores 0."""
+        x = self.evidence(text)
+        if not x[0]:
             return 0.0
-        return total / (total + self.unit * (1 + text.count(" ") / self.spread))
+        z = sum(a * b for a, b in zip(self.calibration, x))
+        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
 def score_column(text: str, lexicon: Lexicon) -> Column:
@@ -166,18 +172,39 @@ def _places(rows: DataFrame, entries: Lexicon) -> dict[str, int]:
     return {r["entry"]: r["n"] for r in pairs.groupBy("entry").agg(F.count("*").alias("n")).collect()}
 
 
+def _calibrate(rows: DataFrame, lexicon: Lexicon, ridge: float = 0.1, steps: int = 30) -> tuple[float, ...]:
+    """Logistic fit of the labels to the evidence, over the rows with a match; only four numbers a row reach the driver."""
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [(*lexicon.evidence(t), float(y)) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            x = [r for r in x if r[0]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in x], pa.float64()) for k in range(5)], names=list("abcdy"))
+
+    found = np.array([tuple(r) for r in rows.select("text", "y").mapInArrow(look, "a double, b double, c double, d double, y double").collect()])
+    if not len(found):
+        return lexicon.calibration
+    x, y, w = found[:, :4], found[:, 4], np.zeros(4)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(4), x.T @ (y - p) - ridge * w)
+        w += step
+        if abs(step).max() < 1e-9:
+            break
+    return tuple(float(v) for v in w)
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = SAMPLE_ROWS,
-          min_docs: int = 5, min_share: float = 0.03, min_weight: float = 3.5, share_of_best: float = 0.75, evidence: float = 28.0,
+          min_docs: int = 5, min_share: float = 0.03, min_weight: float = 1.5, evidence: float = 28.0,
           exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Fit a lexicon on at most ``bound`` rows of each label, outside the held-out third.
 
     An entry's weight is its log odds of being in a labelled document. Entries need
-    ``min_weight`` and ``share_of_best`` of the heaviest weight, a likelihood ratio of ``evidence``, and different neighbouring words
+    ``min_weight``, a likelihood ratio of ``evidence``, and different neighbouring words
     in ``min_docs`` places (``min_share`` of the labelled rows, if that is more), so that
-    a group of copies does not make its common words toxic. A longer entry stays only
-    where it is clearly heavier than the stem it begins with. Words and word pairs in
+    a group of copies does not make its common words toxic. Of entries that begin with
+    one another the one with the largest likelihood ratio stays. Words and word pairs in
     which an entry occurs mostly in clean documents become exception phrases, beside
-    those given. No rows of either label: an empty lexicon, which scores everything 0.
+    those given. At last the score is calibrated on the same rows. No rows of either label: an empty lexicon, which scores everything 0.
     """
     rows = labels.where(fold(key) != 1).select(F.col(key).alias("key"), F.col(label).alias("y")).where("y in (0, 1) and key is not null").distinct()
     ids = first_rows(rows.where("y = 1"), "key", bound).unionByName(first_rows(rows.where("y = 0"), "key", bound))
@@ -191,23 +218,16 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     usual = {r["entry"] for r in usual.collect()}
     share = (F.col("toxic") + F.col("clean")) / (n[0] + n[1])
     ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / n[1] / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n[0] / share)).otherwise(0.0))
-    found = (_tally(sample, "text", "y", lambda x: stems(x) & usual).where("toxic > 0").withColumn("w", weight)
-             .where((F.col("w") >= min_weight) & (ratio >= evidence)).orderBy(F.desc("toxic"), "entry").limit(8 * MAX_ENTRIES).collect())
+    found = (_tally(sample, "text", "y", lambda x: stems(x) & usual).where("toxic > 0").withColumns({"w": weight, "g": ratio})
+             .where((F.col("w") >= min_weight) & (F.col("g") >= evidence)).orderBy(F.desc("toxic"), "entry").limit(8 * MAX_ENTRIES).collect())
     places = _places(sample.where("y = 1"), Lexicon({r["entry"]: r["w"] for r in found}))
     found = [r for r in found if places.get(r["entry"], 0) >= need]
-    floor = share_of_best * max((r["w"] for r in found), default=0.0)
-    seen = {r["entry"]: r for r in found}
-    for r in found:  # a longer entry that finds nearly the same labelled documents and fewer clean ones replaces its stem
-        e = r["entry"]
-        for stem in (seen.get(e[:k]) for k in range(2, len(e))):
-            if stem and r["toxic"] >= 0.9 * stem["toxic"] and r["w"] > stem["w"] + 0.3:
-                seen.pop(stem["entry"])
     weights: dict[str, float] = {}
-    for r in sorted((r for r in seen.values() if r["w"] >= floor), key=lambda r: (len(r["entry"].rstrip()), r["entry"])):
-        shorter = max((weights.get(r["entry"][:k], -math.inf) for k in range(2, len(r["entry"]))), default=-math.inf)
-        if r["w"] > shorter + 1.5:
-            weights[r["entry"]] = r["w"]
-    top = sorted(weights.items(), key=lambda e: (-e[1], e[0]))[:MAX_ENTRIES]
+    for r in sorted(found, key=lambda r: (-round(r["g"], 6), -len(r["entry"]), r["entry"])):  # of stems of one another only the most telling
+        e = r["entry"]
+        if len(weights) < MAX_ENTRIES and not any(e.startswith(x) or x.startswith(e) for x in weights):
+            weights[e] = r["w"]
+    top = sorted(weights.items(), key=lambda e: (-e[1], e[0]))
     plain = Lexicon(dict(top))
 
     def contexts(x: str) -> set[str]:
@@ -222,7 +242,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     benign = (_tally(sample, "text", "y", contexts).where(F.col("clean") >= min_docs).withColumn("w", weight).where(F.col("w") < 0)
               .orderBy(F.desc("clean"), "entry").limit(MAX_ENTRIES).collect())
     excused = [*(f" {' '.join(folded(e).split())} " for e in exceptions), *(r["entry"] for r in benign)]
-    return Lexicon(dict(top), tuple(dict.fromkeys(excused)))
+    lexicon = Lexicon(dict(top), tuple(dict.fromkeys(excused)))
+    return replace(lexicon, calibration=_calibrate(sample, lexicon))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
