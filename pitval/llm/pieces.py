@@ -14,7 +14,7 @@ from .common import table
 CHUNK = re.compile(r" *(?:[^\W\d_²]+|(?:[\d_²]|[^\w \n])+)|\n| +")
 SPACE, NO_PIECE = 0x2581, 0x110000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CHUNKS_KEPT, TEXT_PART = 250_000, 2_000_000
+CHUNKS_KEPT, TEXT_PART = 120_000, 1_000_000
 
 
 def piece_model() -> str:
@@ -260,8 +260,8 @@ def decode_column(ids: str, model: str, sharpness: float = 1.0) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = sampler(model, sharpness)
         for batch in batches:
-            flat, offsets = batch.values.to_pylist() if batch.offset == 0 else None, batch.offsets.to_pylist()
-            yield pa.array([s.decode(flat[a:b] if flat is not None else x.as_py()) for x, a, b in zip(batch, offsets, offsets[1:])], pa.string())
+            flat, offsets = batch.values.to_numpy(), batch.offsets.to_pylist()
+            yield pa.array([s.decode(flat[a:b].tolist()) for a, b in zip(offsets, offsets[1:])], pa.string())
 
     return decode(F.col(ids))
 
