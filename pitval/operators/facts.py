@@ -110,16 +110,34 @@ def discrete_quarters(periods: DataFrame, keys: Sequence[str]) -> DataFrame:
     return year.select(*keys, "fiscal_year", rows.alias("q")).select(*keys, "fiscal_year", "q.*").where("val is not null")
 
 
+def reported_period(facts: DataFrame, keys: Sequence[str] = ("cik", "accn"), slack: int = 20) -> DataFrame:
+    """Facts with the fiscal year and period their own end belongs to.
+
+    A report names the year and period of its newest figures only; its comparatives
+    carry the same names. So the newest end of the report is the named period, and an
+    entry that ends whole years earlier (within ``slack`` days) is the same period of an
+    earlier fiscal year. Entries ending at any other time belong to no named period.
+    """
+    keys = list(keys)
+    newest = facts.groupBy(*keys).agg(F.max("end").alias("_newest"))
+    f = facts.join(newest, keys)
+    gap = F.datediff("_newest", "end")
+    back = F.round(gap / 365.25)
+    return f.where(F.abs(gap - back * 365.25) <= slack).withColumn("fiscal_year", (F.col("fy") - back).cast("int")).drop("_newest")
+
+
 def quarterly_flows(facts: DataFrame, keys: Sequence[str] = ("cik", "metric")) -> DataFrame:
-    """Flow facts (with priority) to discrete quarters: owner tag, quarter-length entries first, latest filing."""
+    """Flow facts (with priority) to discrete quarters: owner tag, quarter-length entries first, latest filing.
+
+    Periods go by the end of each entry, so a comparative never replaces the current figure.
+    """
     f = facts.where(F.col("form").isin("10-Q", "10-K") & F.col("fp").isin("Q1", "Q2", "Q3", "FY")
-                    & F.col("fy").isNotNull() & F.col("val").isNotNull())
-    f = f.withColumn("fiscal_year", F.col("fy")).withColumn("days", duration_days(F.col("start"), F.col("end")))
+                    & F.col("fy").isNotNull() & F.col("val").isNotNull() & F.col("end").isNotNull())
+    f = reported_period(f).withColumn("days", duration_days(F.col("start"), F.col("end")))
     period = [*keys, "fiscal_year", "fp"]
-    owned = owned_by_best_tag(f, period)
     # the full year must be a year, every other period prefers a stand-alone quarter
     is_year = in_window(F.col("days"), dims.ANNUAL_DAYS)
-    usable = owned.where((F.col("fp") != "FY") | is_year)
+    usable = owned_by_best_tag(f.where((F.col("fp") != "FY") | is_year), period)
     short = in_window(F.col("days"), dims.QUARTER_DAYS)
     best = usable.groupBy(*period).agg(F.max_by(
         F.struct("val", "filed", "end", short.alias("direct")), F.struct(short, F.col("filed"), F.col("accn"))).alias("r"))

@@ -103,12 +103,14 @@ def max_age(period_type: Column, ages: dict | None = None, default: int = dims.M
 
 def eligible(grid: DataFrame, signals: DataFrame, spans: DataFrame, material: DataFrame, momentum: DataFrame | None = None,
              held: DataFrame | None = None, min_momentum_pct: float | None = dims.MOMENTUM_MIN_PCT,
-             tie: str = "event_id") -> DataFrame:
+             tie: str = "event_id", oriented: bool = False) -> DataFrame:
     """Latest known signal per (date, symbol) that may still be acted on.
 
     Kept: members on the date, signals not older than their period allows, without
     a material event since publication, momentum not too negative (unknown is
-    fine, and a held symbol is exempt).
+    fine, and a held symbol is exempt). ``oriented``: momentum counts in the direction the
+    gap calls for, so a fall speaks for a negative gap and a rise against it; a gap of
+    0 or unknown lets any momentum pass. Option strategies need it, stock ones do not.
     """
     values = [c for c in signals.columns if c not in ("symbol", "published_date")]
     known = asof_join(grid, signals, ["symbol"], "date", "published_date", values, matched="published_date", tie=tie)
@@ -119,7 +121,10 @@ def eligible(grid: DataFrame, signals: DataFrame, spans: DataFrame, material: Da
         .where("not _stale").drop("_stale")
     if momentum is not None and min_momentum_pct is not None:
         out = out.join(momentum.select("symbol", "date", "momentum"), ["symbol", "date"], "left")
-        ok = F.col("momentum").isNull() | (F.col("momentum") * 100 >= min_momentum_pct)
+        toward = F.col("momentum") * (F.signum("gap_pct") if oriented else F.lit(1))
+        ok = F.col("momentum").isNull() | (toward * 100 >= min_momentum_pct)
+        if oriented:
+            ok = ok | F.col("gap_pct").isNull() | (F.col("gap_pct") == 0)
         if held is not None:
             out = out.join(held.select("symbol", "date", F.lit(True).alias("_held")), ["symbol", "date"], "left")
             ok = ok | F.coalesce("_held", F.lit(False))

@@ -85,22 +85,34 @@ SELECT g.ticker AS symbol, g.date, s.* EXCLUDE (symbol)
 FROM b_asof_grid g ASOF JOIN (SELECT * FROM b_signals s WHERE event_id = (SELECT max(event_id) FROM b_signals t
        WHERE t.symbol = s.symbol AND t.published_date = s.published_date)) s
   ON s.symbol = g.ticker AND g.date >= s.published_date""")
-VIEWS["b_eligible"] = View("""
-SELECT k.* FROM b_known_full k LEFT JOIN b_momentum m ON m.symbol = k.symbol AND m.date = k.date
+VIEWS["b_usable"] = View("""
+SELECT k.*, m.momentum FROM b_known_full k LEFT JOIN b_momentum m ON m.symbol = k.symbol AND m.date = k.date
 WHERE k.date - k.published_date <= CASE k.period_type WHEN 'FY' THEN 270 WHEN 'TTM' THEN 120 ELSE 400 END
  AND EXISTS (SELECT 1 FROM b_spans s WHERE s.ticker = k.symbol AND (s.start_date IS NULL OR s.start_date <= k.date)
              AND (s.end_date IS NULL OR s.end_date > k.date))
  AND NOT EXISTS (SELECT 1 FROM b_material x WHERE x.symbol = k.symbol AND coalesce(x.materiality, FALSE)
              AND x.filed_date > k.published_date AND x.filed_date <= k.date)
- AND (m.momentum IS NULL OR m.momentum * 100 >= -10 OR k.user_id % 10 = 0)""")
+""")
+VIEWS["b_eligible"] = View("""
+SELECT * EXCLUDE (momentum) FROM b_usable WHERE momentum IS NULL OR momentum * 100 >= -10 OR user_id % 10 = 0""")
+VIEWS["b_eligible_oriented"] = View("""
+SELECT * EXCLUDE (momentum) FROM b_usable WHERE user_id % 10 = 0 OR
+ CASE WHEN momentum IS NULL OR gap_pct IS NULL OR gap_pct = 0 THEN TRUE
+      WHEN gap_pct > 0 THEN momentum * 100 >= -10 ELSE momentum * 100 <= 10 END""")
 
 
-def eligible_signals(spark, sf):
+def eligible_signals(spark, sf, oriented=False):
     g = grid(spark, sf).withColumnRenamed("ticker", "symbol")
     held = g.where("cast(substr(symbol, 2) as int) % 10 = 0")
     material = view(spark, sf, "b_material").where("coalesce(materiality, false)")
     return sg.eligible(g, view(spark, sf, "b_signals"), membership_spans(spark, sf).withColumnRenamed("ticker", "symbol"),
-                       material, view(spark, sf, "b_momentum"), held)
+                       material, view(spark, sf, "b_momentum"), held, oriented=oriented)
+
+
+@book.add("m15_oriented_eligible_signals", "symbol date:d event_id:i published_date:d period_type gap_pct:f",
+          "SELECT symbol, date, event_id, published_date, period_type, gap_pct FROM b_eligible_oriented")
+def eligible_oriented(spark, sf):
+    return eligible_signals(spark, sf, oriented=True)
 
 
 @book.add("m15_eligible_signals", "symbol date:d event_id:i published_date:d period_type gap_pct:f",
@@ -135,17 +147,17 @@ def neutral(spark, sf):
 
 VIEWS["b_option_rows"] = View("""
 SELECT *, least(abs(g), 100) AS conviction FROM (SELECT *, ln(theoretical / close) * 100 + ln(1 + 4.12 / 100) * (730 / 365.0) * 100 AS g
-FROM b_eligible WHERE theoretical > 0) a WHERE abs(g) >= 20""")
+FROM b_eligible_oriented WHERE theoretical > 0) a WHERE abs(g) >= 20""")
 
 
 @book.add("m16_option_targets", "symbol date:d direction enter:b weight:f6", f"""
 SELECT k.symbol, k.date, CASE WHEN k.g > 0 THEN 'CALL' ELSE 'PUT' END AS direction, abs(k.g) >= 20 AS enter, w.weight
 FROM (SELECT *, ln(theoretical / close) * 100 + ln(1 + 4.12 / 100) * (730 / 365.0) * 100 AS g
-      FROM b_eligible WHERE theoretical > 0) k
+      FROM b_eligible_oriented WHERE theoretical > 0) k
 LEFT JOIN ({water_fill("b_option_rows", "date", "conviction", "symbol", 0.2)}) w ON w.symbol = k.symbol AND w.date = k.date
 WHERE abs(k.g) >= 14""")
 def option_targets(spark, sf):
-    return sg.STRATEGIES["option_gap"](eligible_signals(spark, sf), dims.inflation(spark))
+    return sg.STRATEGIES["option_gap"](eligible_signals(spark, sf, oriented=True), dims.inflation(spark))
 
 
 @book.add("u5_diagnostics", "period_type n:i", "SELECT period_type, count(*) AS n FROM b_eligible GROUP BY 1")
@@ -155,7 +167,7 @@ def diagnostics(spark, sf):
 
 @book.add("m16_expected_value_targets", "symbol date:d direction weight:f6 strike:f2 kelly_fraction:f edge:f")
 def expected_value_targets(spark, sf):
-    e = cut(eligible_signals(spark, sf))
+    e = cut(eligible_signals(spark, sf, oriented=True))
     market = e.select("date", "symbol", (F.lit(0.2) + (F.col("user_id") % 30) / 100).alias("sigma"), F.lit(0.04).alias("r"), F.lit(0.018).alias("q"),
                       F.when(F.col("user_id") % 2 == 0, F.array(*[F.lit(float(k)) for k in range(60, 161, 10)])).alias("strikes"))
     return sg.STRATEGIES["option_expected_value"](e, dims.inflation(spark), market)

@@ -11,6 +11,8 @@ from .registry import Book
 
 book = Book()
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
+DELAY = "11 days"  # a part spans up to ten days (eleven after the 20th), and its files come in any order
+BEAT = "heartbeat"
 
 
 def parts(spark, sf):
@@ -21,12 +23,19 @@ def parts(spark, sf):
     return [e.where(day <= 10), e.where((day > 10) & (day <= 20)), e.where(day > 20)]
 
 
-def replay(spark, sf, job, mode="append", twice=False):
-    """Land each part, then let the job catch up; returns the folder with its batches."""
+def replay(spark, sf, job, mode="append", twice=False, close=False):
+    """Land each part as four files with its rows spread over them, then let the job catch up,
+    one file per micro-batch; returns the folder with its batches. ``close`` lands a
+    heartbeat at last, which moves the watermark past the newest event."""
     landing, out, mark = (scratch_path(spark, x) for x in ("landing", "stream", "mark"))
-    for part in parts(spark, sf):
-        (stack(part, part) if twice else part).write.mode("append").parquet(landing)
-        jobs.run_available(job(jobs.read_landed(spark, landing, SCHEMA)), out, mark, mode)
+    todo = [(stack(part, part) if twice else part).repartition(4, "event_id") for part in parts(spark, sf)]
+    if close:
+        newest = F.max("ts") + F.expr(f"interval {DELAY}") + F.expr("interval 1 second")
+        todo.append(stack(*parts(spark, sf)).agg(newest.alias("ts")).select(
+            F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("user_id"), F.lit(BEAT).alias("event_type"), F.lit(None).cast("double").alias("value")))
+    for part in todo:
+        part.write.mode("append").parquet(landing)
+        jobs.run_available(job(jobs.read_landed(spark, landing, SCHEMA, batch_files=1)), out, mark, mode)
     return out
 
 
@@ -35,6 +44,11 @@ def purchases(e):
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), "event_id", "ts", (F.col("value") - 50).alias("gap_pct"))
 
 
+def with_beat(e):
+    """Purchases, and the heartbeat under a symbol of its own."""
+    return purchases(e.withColumn("event_type", F.when(F.col("event_type") == BEAT, "purchase").otherwise(F.col("event_type"))))
+
+
 def errors(e):
     return e.where("event_type = 'error'").select(
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), F.col("event_id").alias("accession"),
@@ -63,25 +77,25 @@ SELECT 'U' || user_id AS symbol, event_id, value - 50 AS gap_pct FROM events s W
   AND m.ts > s.ts AND m.ts <= s.ts + INTERVAL 2 DAY)""")
 def invalidated(spark, sf):
     out = replay(spark, sf, lambda e: jobs.invalidated(
-        purchases(e), errors(e).where("materiality"), "symbol", "ts", "filed", "2 days", "1 hour"))
+        purchases(e), errors(e).where("materiality"), "symbol", "ts", "filed", "2 days", DELAY))
     return jobs.read_log(spark, out)
 
 
 @book.add("t4_expired_signals", "symbol event_id:i", """
 SELECT symbol, event_id FROM (
  SELECT 'U' || user_id AS symbol, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt,
-        max(ts) OVER () AS final FROM events WHERE event_type = 'purchase') x
-WHERE coalesce(nxt > ts + INTERVAL 3 DAY, ts + INTERVAL 3 DAY < final - INTERVAL 1 HOUR)""")
+        (SELECT max(ts) FROM events) AS final FROM events WHERE event_type = 'purchase') x
+WHERE coalesce(nxt > ts + INTERVAL 3 DAY, TRUE) AND ts + INTERVAL 3 DAY <= final""")
 def expired(spark, sf):
-    out = replay(spark, sf, lambda e: jobs.expired(purchases(e), "symbol", "ts", "event_id", 3, "1 hour"))
-    return jobs.read_log(spark, out)
+    out = replay(spark, sf, lambda e: jobs.expired(with_beat(e), "symbol", "ts", "event_id", 3, DELAY), close=True)
+    return jobs.read_log(spark, out).where(F.col("event_id") >= 0)
 
 
 @book.add("t5_first_verdicts", "symbol accession:i materiality:b", """
 SELECT 'U' || user_id AS symbol, event_id AS accession, event_id % 3 = 0 AS materiality FROM events
 WHERE event_type = 'error' AND event_id % 5 <> 0""")
 def first_verdicts(spark, sf):
-    out = replay(spark, sf, lambda e: jobs.first_verdicts(errors(e), ["symbol", "accession"], "filed", "materiality", "1 hour"), twice=True)
+    out = replay(spark, sf, lambda e: jobs.first_verdicts(errors(e), ["symbol", "accession"], "filed", "materiality", DELAY), twice=True)
     return jobs.read_log(spark, out)
 
 
@@ -100,11 +114,10 @@ FROM b_churn c JOIN b_log_gaps g ON g.symbol = c.symbol AND g.rn = c.rn + 1""")
           "SELECT symbol, event_id, gap FROM b_churn WHERE emitted")
 def churn(spark, sf):
     def job(e):
-        p = e.where("event_type = 'purchase'").select(
-            F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), "event_id", "ts",
-            F.when(F.col("value") > 5, F.ln(F.col("value") / 50)).alias("gap"))
-        return jobs.churn_filter(p, "symbol", ["ts", "event_id"], "gap", 0.5)
-    return jobs.read_log(spark, replay(spark, sf, job))
+        p = with_beat(e).select("symbol", "event_id", "ts", (F.col("gap_pct") + 50).alias("value"))
+        p = p.select("symbol", "event_id", "ts", F.when(F.col("value") > 5, F.ln(F.col("value") / 50)).alias("gap"))
+        return jobs.churn_filter(p, "symbol", "ts", "event_id", "gap", 0.5, DELAY)
+    return jobs.read_log(spark, replay(spark, sf, job, close=True)).where(F.col("event_id") >= 0)
 
 
 @book.add("t7_archive_latest", "snapshot_date:d event_type rows:i", """
@@ -121,5 +134,5 @@ def archive_latest(spark, sf):
 @book.add("t8_published_counts", "window_start:d n:i",
           "SELECT CAST(ts AS DATE) AS window_start, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1")
 def published_counts(spark, sf):
-    out = replay(spark, sf, lambda e: jobs.published_counts(purchases(e), "ts", "1 day", "2 days"), "update")
+    out = replay(spark, sf, lambda e: jobs.published_counts(purchases(e), "ts", "1 day", DELAY), "update")
     return jobs.read_latest(spark, out, ["window_start"])

@@ -6,6 +6,7 @@ last write per key. Nothing passes through the driver.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -15,10 +16,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.ordering import keep_last
 
 
-def read_landed(spark: SparkSession, path: str, schema: str, batch_bytes: int = 1_000_000_000) -> DataFrame:
-    """Files landing in a folder, in the order they land. The size of a micro-batch is
-    bounded, and with it what the per-key jobs below hold of one key at a time."""
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", batch_bytes).parquet(path)
+def read_landed(spark: SparkSession, path: str, schema: str, batch_bytes: int = 1_000_000_000, batch_files: int | None = None) -> DataFrame:
+    """Files landing in a folder. A micro-batch is bounded by ``batch_bytes``, or by
+    ``batch_files``. How a landing is cut, and the order of its files, must not change what
+    the jobs below return: each takes the greatest disorder of event times as ``delay``."""
+    reader = spark.readStream.schema(schema)
+    if batch_files:
+        return reader.option("maxFilesPerTrigger", batch_files).parquet(path)
+    return reader.option("maxBytesPerTrigger", batch_bytes).parquet(path)
 
 
 def _write_batch(path: str):
@@ -28,10 +33,16 @@ def _write_batch(path: str):
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything that has landed, then stop; the next call goes on from the checkpoint."""
+    """Process everything that has landed, then stop; the next call goes on from the checkpoint.
+
+    Fails if a row came later than the job's delay allows, instead of losing it silently.
+    """
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).foreachBatch(_write_batch(path)).start())
     query.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    if late:
+        raise RuntimeError(f"{late} rows came later than the delay of the job allows")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -84,36 +95,45 @@ def invalidated(signals: DataFrame, events: DataFrame, key: str, published: str,
     return s.join(e, within, "left_semi")
 
 
+def _micros(t) -> int:
+    return pd.Timestamp(t).value // 1000
+
+
+def _wake(state: GroupState, first: int) -> None:
+    """Call again once the watermark has passed ``first`` (microseconds)."""
+    state.setTimeoutTimestamp(max(first // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
 def expired(stream: DataFrame, key: str, event_time: str, tie: str, life_days: int, delay: str) -> DataFrame:
-    """Signals whose life ended without a successor, by event-time timers on the latest one."""
-    life = pd.Timedelta(days=life_days)
+    """Signals whose life ended without a successor, as soon as the watermark says so.
+
+    Rows wait in the key's state until the watermark passes them, so they are taken in
+    event order however they arrive. The state holds what one key publishes within the delay.
+    """
+    life = life_days * 86_400_000_000
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            at, ident = state.get
-            out.append((k[0], ident, pd.Timestamp(at, unit="us")))
+        waiting = list(zip(*state.get)) if state.exists else []
+        for rows in batches:
+            waiting += [(_micros(at), int(ident)) for at, ident in zip(rows[event_time], rows[tie])]
+        waiting.sort()
+        now, out, first = state.getCurrentWatermarkMs() * 1000, [], 0
+        while first < len(waiting) and waiting[first][0] + life < now:  # all that could follow within its life has come
+            at, ident = waiting[first]
+            if first + 1 == len(waiting) or waiting[first + 1][0] > at + life:
+                out.append((k[0], ident, pd.Timestamp(at, unit="us")))
+            first += 1
+        rest = waiting[first:]
+        if rest:
+            state.update(([at for at, _ in rest], [ident for _, ident in rest]))
+            _wake(state, rest[0][0] + life)
+        elif state.exists:
             state.remove()
-        else:
-            current = state.get if state.exists else None
-            # the rows of one key and micro-batch in event order; a later batch only brings later rows
-            rows = pd.concat(list(batches)).sort_values([event_time, tie])
-            for at, ident in zip(rows[event_time], rows[tie]):
-                if current is not None:
-                    last = pd.Timestamp(current[0], unit="us")
-                    if at < last:
-                        continue
-                    if at > last + life:
-                        out.append((k[0], current[1], last))
-                current = (int(at.value // 1000), int(ident))
-            state.update(current)
-            due = (pd.Timestamp(current[0], unit="us") + life).value // 1_000_000
-            state.setTimeoutTimestamp(max(int(due), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, tie, "published"])
 
-    slim = stream.select(key, event_time, tie).withWatermark(event_time, delay)
+    slim = stream.withWatermark(event_time, delay).select(key, event_time, tie)
     return slim.groupBy(key).applyInPandasWithState(
-        step, f"{key} string, {tie} long, published timestamp", "at long, ident long", "append",
+        step, f"{key} string, {tie} long, published timestamp", "at array<long>, ident array<long>", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
@@ -123,30 +143,44 @@ def first_verdicts(stream: DataFrame, keys: Sequence[str], event_time: str, verd
         .dropDuplicatesWithinWatermark(list(keys))
 
 
-def churn_filter(stream: DataFrame, key: str, order: Sequence[str], value: str, epsilon: float) -> DataFrame:
+def churn_filter(stream: DataFrame, key: str, event_time: str, tie: str, value: str, epsilon: float, delay: str) -> DataFrame:
     """Pass a row on only when it moved more than epsilon from the last row passed on.
 
     Small moves are measured against the last *emitted* value, so a slow drift
-    adds up; an unknown value always passes and leaves no reference.
+    adds up; an unknown value always passes and leaves no reference. Rows wait in the
+    key's state until the watermark passes them and are then taken in event order; the
+    state holds what one key publishes within the delay. Columns are numbers or strings
+    beside the event time.
     """
     columns = stream.columns
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
+    at, by = columns.index(event_time), columns.index(tie)
+    of = columns.index(value)
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(list(order))
-        keep = []
-        for v in rows[value]:
-            missing = pd.isna(v)
-            moved = missing or last is None or abs(v - last) > epsilon
-            keep.append(moved)
-            if moved:
-                last = None if missing else float(v)
-        state.update((last,))
-        yield rows.loc[keep, columns]
-
-    return stream.groupBy(key).applyInPandasWithState(
-        step, types, "last double", "append", GroupStateTimeout.NoTimeout)
+        last, waiting = (state.get[0], json.loads(state.get[1])) if state.exists else (None, [])
+        for rows in batches:
+            for r in rows[columns].itertuples(index=False):
+                r = [None if pd.isna(v) else v.item() if hasattr(v, "item") and not isinstance(v, pd.Timestamp) else v for v in r]
+                r[at] = _micros(r[at])
+                waiting.append(r)
+        waiting.sort(key=lambda r: (r[at], r[by]))
+        now, keep, done = state.getCurrentWatermarkMs() * 1000, [], 0
+        while done < len(waiting) and waiting[done][at] < now:
+            v = waiting[done][of]
+            if v is None or last is None or abs(v - last) > epsilon:
+                keep.append(waiting[done])
+                last = v
+            done += 1
+        rest = waiting[done:]
+        state.update((last, json.dumps(rest)))
+        if rest:
+            _wake(state, rest[0][at])
+        out = pd.DataFrame([[pd.Timestamp(v, unit="us") if i == at else v for i, v in enumerate(r)] for r in keep], columns=columns)
+        yield out
+
+    return stream.withWatermark(event_time, delay).groupBy(key).applyInPandasWithState(
+        step, types, "last double, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def archive(stream: DataFrame, path: str, checkpoint: str, date: str = "snapshot_date") -> None:

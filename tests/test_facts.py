@@ -100,3 +100,16 @@ def test_required_columns(spark):
     dates = spark.createDataFrame([("20240131",), ("2024",), (None,)], "t string").select(compact_day("t").alias("d"))
     assert [r.d for r in dates.collect()] == [dt.date(2024, 1, 31), None, None]
     assert got[0].close is None and got[0].volume is None and got[1].date is None and got[1].close == 1.0
+
+
+def test_a_comparative_never_replaces_the_current_quarter(spark):
+    kind = "cik string, metric string, priority int, accn string, form string, fy int, fp string, start date, end date, filed date, val double"
+    day = dt.date
+    rows = [("1", "revenue", 0, "r24", "10-Q", 2024, "Q1", day(2024, 1, 1), day(2024, 3, 31), day(2024, 5, 1), 110.0),
+            ("1", "revenue", 0, "r24", "10-Q", 2024, "Q1", day(2023, 1, 1), day(2023, 3, 31), day(2024, 5, 1), 100.0),
+            ("1", "revenue", 0, "r23", "10-Q", 2023, "Q1", day(2023, 1, 1), day(2023, 3, 31), day(2023, 5, 1), 99.0),
+            ("1", "revenue", 0, "r24", "10-Q", 2024, "Q1", day(2023, 10, 1), day(2023, 12, 31), day(2024, 5, 1), 5.0)]
+    for order in (rows, rows[::-1]):
+        got = {(r.fiscal_year, r.fiscal_quarter): (r.val, str(r.period_end)) for r in fx.quarterly_flows(spark.createDataFrame(order, kind)).collect()}
+        # the later filing restates the earlier year; an end that is not whole years back names no period
+        assert got == {(2024, "Q1"): (110.0, "2024-03-31"), (2023, "Q1"): (100.0, "2023-03-31")}

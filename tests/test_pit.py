@@ -129,3 +129,22 @@ def test_sector_is_undone_newest_first(spark):
                                  "symbol string, sector string, filed_date date")
     got = [r.sector_asof for r in spans.sector_at(rows, dims.RECLASSIFICATIONS).collect()]
     assert got == ["Technologie", "Services financiers", "Services financiers", "Immobilier", None]
+
+
+def test_momentum_counts_in_the_direction_of_the_gap(spark):
+    import datetime as dt
+    from pitval.operators import signals as sg
+    day, rows = dt.date(2024, 3, 1), [("CALL_DOWN", 40.0, -0.5), ("CALL_UP", 40.0, 0.5), ("PUT_DOWN", -40.0, -0.5), ("PUT_UP", -40.0, 0.5),
+                                      ("ZERO", 0.0, -0.5), ("UNKNOWN", None, -0.5), ("NO_HISTORY", -40.0, None), ("HELD", -40.0, 0.5)]
+    signals = spark.createDataFrame([(s, day, i, "FY", g) for i, (s, g, _) in enumerate(rows)],
+                                    "symbol string, published_date date, event_id long, period_type string, gap_pct double")
+    grid = spark.createDataFrame([(s, day) for s, *_ in rows], "symbol string, date date")
+    spans = spark.createDataFrame([(s, None, None) for s, *_ in rows], "symbol string, start_date date, end_date date")
+    material = spark.createDataFrame([], "symbol string, filed_date date")
+    momentum = spark.createDataFrame([(s, day, m) for s, _, m in rows], "symbol string, date date, momentum double")
+    held = grid.where("symbol = 'HELD'")
+
+    def kept(**how):
+        return {r.symbol for r in sg.eligible(grid, signals, spans, material, momentum, held, **how).collect()}
+    assert kept() == {"CALL_UP", "PUT_UP", "NO_HISTORY", "HELD"}
+    assert kept(oriented=True) == {"CALL_UP", "PUT_DOWN", "ZERO", "UNKNOWN", "NO_HISTORY", "HELD"}

@@ -17,8 +17,8 @@ def land(spark, tmp_path):
         base = tmp_path / str(random.random())
         landing, out, mark = (str(base / x) for x in ("in", "out", "mark"))
         for part in parts:
-            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(landing)
-            jobs.run_available(job(jobs.read_landed(spark, landing, schema)), out, mark, mode)
+            spark.createDataFrame(part, schema).repartition(min(4, len(part))).write.mode("append").parquet(landing)
+            jobs.run_available(job(jobs.read_landed(spark, landing, schema, batch_files=1)), out, mark, mode)
         return out
     return run
 
@@ -57,15 +57,16 @@ def test_weekend_publication_rolls_forward(spark):
 
 def test_churn_measures_from_the_last_emitted(spark, land):
     rows = [("A", T0 + dt.timedelta(days=i), i, v) for i, v in enumerate([0.0, 0.1, 0.2, 0.31, 0.35, None, 0.36, 0.2])]
-    out = land([rows[:3], rows[3:5], rows[5:]], SIGNALS, lambda s: jobs.churn_filter(s, "symbol", ["ts", "event_id"], "gap", 0.25))
+    beat = [("beat", T0 + dt.timedelta(days=40), -1, None)]
+    out = land([rows[:3], rows[3:5], rows[5:], beat], SIGNALS, lambda s: jobs.churn_filter(s, "symbol", "ts", "event_id", "gap", 0.25, "10 days"))
     # drift adds up to event 3; an unknown value passes and leaves no reference, so the next passes too
     assert sorted(r.event_id for r in jobs.read_log(spark, out).collect()) == [0, 3, 5, 6]
 
 
 def test_signals_expire_without_a_successor(spark, land):
     rows = [("A", T0, 1, 0.0), ("A", T0 + dt.timedelta(days=2), 2, 0.0), ("B", T0 + dt.timedelta(days=3), 3, 0.0),
-            ("B", T0 + dt.timedelta(days=9), 4, 0.0), ("C", T0 + dt.timedelta(days=12), 5, 0.0)]
-    out = land([rows[:2], rows[2:4], rows[4:]], SIGNALS, lambda s: jobs.expired(s, "symbol", "ts", "event_id", 3, "1 hour"))
+            ("B", T0 + dt.timedelta(days=9), 4, 0.0), ("C", T0 + dt.timedelta(days=22), 5, 0.0)]
+    out = land([rows[:2], rows[2:4], rows[4:]], SIGNALS, lambda s: jobs.expired(s, "symbol", "ts", "event_id", 3, "10 days"))
     assert sorted(r.event_id for r in jobs.read_log(spark, out).collect()) == [2, 3]
 
 
@@ -84,3 +85,9 @@ def test_interval_semi_join(spark, land):
     out = land([rows[:3], rows[3:]], schema, lambda x: jobs.invalidated(
         x.where("kind = 's'"), x.where("kind = 'e'").select("symbol", F.col("ts").alias("filed")), "symbol", "ts", "filed", "2 days", "3 days"))
     assert [r.event_id for r in jobs.read_log(spark, out).collect()] == [3]
+
+
+def test_rows_later_than_the_delay_fail_the_job(spark, land):
+    rows = [("A", T0 + dt.timedelta(days=30), 1, 0.0), ("A", T0 + dt.timedelta(days=31), 2, 0.0), ("A", T0, 3, 0.0)]
+    with pytest.raises(RuntimeError, match="later than the delay"):
+        land([rows[:1], rows[1:2], rows[2:]], SIGNALS, lambda s: jobs.published_counts(s, "ts", "1 day", "1 hour"), "update")
