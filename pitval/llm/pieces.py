@@ -14,7 +14,7 @@ from .common import table
 CHUNK = re.compile(r" *(?:[^\W\d_²]+|(?:[\d_²]|[^\w \n])+)|\n| +")
 SPACE, NO_PIECE = 0x2581, 0x110000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CHUNKS_KEPT, TEXT_PART = 120_000, 1_000_000
+CHUNKS_KEPT, TEXT_PART = 60_000, 400_000
 
 
 def piece_model() -> str:
@@ -68,8 +68,7 @@ class Sampler:
         self.cost = np.zeros(len(names))
         for n, i in plain.items():
             self.cost[i] = -sharpness * np.log(rank[n])
-        self.text = [bytes([b]) if b is not None else n.replace(chr(SPACE), " ").encode() for n, b in
-                     zip(names, ({i: b for b, i in self.byte.items()}.get(i) for i in range(len(names))))]
+        self.text = spellings(model)
         found: dict[int, dict[int, int]] = {}
         for n in plain:
             h = 0
@@ -221,7 +220,21 @@ class Sampler:
         return out, np.bincount(text_of, weights=width, minlength=len(per)).astype(np.int64)
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "surrogatepass")
+        return spelled(self.text, ids)
+
+
+def spelled(text: list[bytes], ids) -> str:
+    return b"".join(map(text.__getitem__, ids)).decode("utf-8", "surrogatepass")
+
+
+@lru_cache(maxsize=2)
+def spellings(model: str) -> list[bytes]:
+    """The bytes every id stands for; all that decoding needs."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+    return [bytes([int(n[3:5], 16)]) if sp.is_byte(i) else n.replace(chr(SPACE), " ").encode() for i, n in enumerate(names)]
 
 
 @lru_cache(maxsize=2)
@@ -255,13 +268,13 @@ def encode_column(text: str, seed: Column, model: str, sharpness: float) -> Colu
     return encode(F.col(text), seed)
 
 
-def decode_column(ids: str, model: str, sharpness: float = 1.0) -> Column:
+def decode_column(ids: str, model: str) -> Column:
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        s = sampler(model, sharpness)
+        text = spellings(model)
         for batch in batches:
             flat, offsets = batch.values.to_numpy(), batch.offsets.to_pylist()
-            yield pa.array([s.decode(flat[a:b].tolist()) for a, b in zip(offsets, offsets[1:])], pa.string())
+            yield pa.array([spelled(text, flat[a:b].tolist()) for a, b in zip(offsets, offsets[1:])], pa.string())
 
     return decode(F.col(ids))
 
