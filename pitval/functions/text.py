@@ -27,9 +27,9 @@ def last_start(text: Column, pattern: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), F.length(F.regexp_extract(text, whole, 1)))
 
 
-def extract_sections(df: DataFrame, text: str, budget: int, form: str | None = None,
+def extract_sections(df: DataFrame, text: str, budget: int | None = None, form: str | None = None,
                      sections: Sequence[tuple[str, str]] = SECTIONS, out: str = "excerpt") -> DataFrame:
-    """The wanted sections of a filing, the character budget shared among those found.
+    """The wanted sections of a filing, whole, or with a character budget shared among those found.
 
     The last heading wins (the first is usually the table of contents). Without
     any heading, or for a current report, the head of the document is taken and
@@ -41,18 +41,22 @@ def extract_sections(df: DataFrame, text: str, budget: int, form: str | None = N
         for label, p in sections]))
     periodic = F.lit(True) if form is None else F.col(form).isNull() | F.upper(form).startswith("10-K") | F.upper(form).startswith("10-Q")
     df = df.withColumn("_s", F.when(periodic, F.array_sort(starts)))
-    share = F.floor(F.lit(budget) / F.nullif(F.size("_s"), F.lit(0))).cast("int")
+
+    def within(value: Column) -> Column:
+        return value if budget is None else F.substring(value, 1, budget)
 
     def piece(s: Column, i: Column) -> Column:
         following = F.try_element_at(F.col("_s"), (i + 2).cast("int"))["at"]
-        length = F.least(F.coalesce(following, F.length(t)) - s["at"], share)
+        length = F.coalesce(following, F.length(t)) - s["at"]
+        if budget is not None:
+            length = F.least(length, F.floor(F.lit(budget) / F.nullif(F.size("_s"), F.lit(0))).cast("int"))
         body = F.regexp_replace(F.substring(t, s["at"] + 1, length), r"(?U)^\s+|\s+$", "")
         return F.when(body != "", F.concat(F.lit("["), s["label"], F.lit("]\n"), body))
 
-    joined = F.substring(F.concat_ws("\n\n", F.array_compact(F.transform("_s", piece))), 1, budget)
+    joined = within(F.concat_ws("\n\n", F.array_compact(F.transform("_s", piece))))
     found = (F.size("_s") > 0) & (joined != "")
     return df.withColumns({"sections": F.coalesce(F.size("_s"), F.lit(0)),
-                           out: F.when(found, joined).otherwise(F.substring(t, 1, budget)),
+                           out: F.when(found, joined).otherwise(within(t)),
                            "mode": F.when(found, "sections").otherwise("debut_document")}).drop("_s")
 
 

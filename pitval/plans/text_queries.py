@@ -31,14 +31,14 @@ SELECT doc_id, form, text, CASE WHEN doc_id % 3 > 0 THEN length(text) - strpos(r
 
 @book.add("f5_sections", "doc_id:i sections:i mode excerpt", r"""
 SELECT doc_id, CASE WHEN form = '8-K' THEN 0 ELSE 2 END AS sections, CASE WHEN form = '8-K' THEN 'debut_document' ELSE 'sections' END AS mode,
-       CASE WHEN form = '8-K' THEN left(text, 4000) ELSE left(array_to_string([
-         CASE WHEN a < b THEN '[Item 1A - Facteurs de risque]' || chr(10) || trim(substr(text, a + 1, least(b - a, 2000)), E' \t\n\r')
-              ELSE '[Item 7 - Analyse de la direction]' || chr(10) || trim(substr(text, b + 1, least(a - b, 2000)), E' \t\n\r') END,
-         CASE WHEN a < b THEN '[Item 7 - Analyse de la direction]' || chr(10) || trim(substr(text, b + 1, 2000), E' \t\n\r')
-              ELSE '[Item 1A - Facteurs de risque]' || chr(10) || trim(substr(text, a + 1, 2000), E' \t\n\r') END], chr(10) || chr(10)), 4000) END AS excerpt
+       CASE WHEN form = '8-K' THEN text ELSE array_to_string([
+         CASE WHEN a < b THEN '[Item 1A - Facteurs de risque]' || chr(10) || trim(substr(text, a + 1, b - a), E' \t\n\r')
+              ELSE '[Item 7 - Analyse de la direction]' || chr(10) || trim(substr(text, b + 1, a - b), E' \t\n\r') END,
+         CASE WHEN a < b THEN '[Item 7 - Analyse de la direction]' || chr(10) || trim(substr(text, b + 1), E' \t\n\r')
+              ELSE '[Item 1A - Facteurs de risque]' || chr(10) || trim(substr(text, a + 1), E' \t\n\r') END], chr(10) || chr(10)) END AS excerpt
 FROM b_report_cuts""")
 def sections(spark, sf):
-    return tx.extract_sections(view(spark, sf, "b_reports"), "text", 4000, "form")
+    return tx.extract_sections(view(spark, sf, "b_reports"), "text", None, "form")
 
 
 VIEWS["b_answers"] = View("""
