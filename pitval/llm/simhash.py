@@ -26,19 +26,25 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     Fewer words than ``width``: the whole sequence is the only shingle. No word, or
     a null text: 0. Hashes are summed in blocks, so a long text needs no large table.
     """
+    n, totals = 0, np.zeros(64, np.int64)
+    for hashes in shingle_hashes(text, width):
+        n += len(hashes)
+        totals += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * totals > n, bitorder="little").view("<i8")[0])
+
+
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles of a text, in blocks; none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined, last = b" ".join(words), min(width, len(words)) - 1
     ends = list(accumulate((len(w) + 1 for w in words)))
     n = len(words) - last
-    totals = np.zeros(64, np.int64)
     for lo in range(0, n, BLOCK):
         hi = min(lo + BLOCK, n)
         begins = ends[lo - 1:hi - 1] if lo else [0, *ends[:hi - 1]]
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b - 1], SEED) for a, b in zip(begins, ends[lo + last:hi + last])], "<u8")
-        totals += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * totals > n, bitorder="little").view("<i8")[0])
+        yield np.array([xxhash.xxh64_intdigest(joined[a:b - 1], SEED) for a, b in zip(begins, ends[lo + last:hi + last])], "<u8")
 
 
 def fingerprint_column(text: str, width: int = 3) -> Column:
@@ -119,7 +125,12 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     Rows that repeat the key of a kept document count as one document; of those the
     row with the smallest text hash stays. Rows without a key have no group and stay.
     """
-    first = near_duplicates(docs, key, text, **how).where(F.col(key) == F.col("component_id")).select(key).distinct()
+    return first_of_each(docs, near_duplicates(docs, key, text, **how), key, text)
+
+
+def first_of_each(docs: DataFrame, near: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents whose key is the ``component_id`` that ``near`` gives it; one row a key, and all rows without a key."""
+    first = near.where(F.col(key) == F.col("component_id")).select(key).distinct()
     row = free(docs, "row")
     kept = (docs.join(first, key, "left_semi").groupBy(key)
             .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias(row)).select(f"{row}.*"))
