@@ -3,6 +3,7 @@ import itertools
 import random
 
 import corpus_pipeline
+from pitval.llm import lines
 
 
 def components(sets, least=0.8):
@@ -41,3 +42,20 @@ def test_near_duplicate_stage_against_all_pairs(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
     assert got == want and len(want) < 0.8 * len(texts)
+
+
+def removed_lines(spark, texts, **how):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r["doc_id"] for r in lines.dedupe_lines(docs, **how).collect() if r["removed"]}
+
+
+def test_line_shingles_start_at_every_character(spark):
+    texts = ["payment of order 202600001234567 was settled for account 490012345678901",
+             "payment of order 202600001987654 was settled for account 490012345111222",
+             "the committee will publish its yearly report about regional water quality next spring",
+             "the committee will publish its yearly report about regional wader quality next spring"]
+    assert removed_lines(spark, texts) == {3}
+
+
+def char_shingles(line, width=5):
+    return {line[i:i + width] for i in range(max(len(line) - width, 0) + 1)}
