@@ -59,3 +59,17 @@ def test_line_shingles_start_at_every_character(spark):
 
 def char_shingles(line, width=5):
     return {line[i:i + width] for i in range(max(len(line) - width, 0) + 1)}
+
+
+def test_short_lines_at_the_threshold_are_found(spark):
+    """Nine shingles a line, eight of them shared: similarity 0.8, with the bands of production."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts, n = [], 2000
+    for _ in range(n):
+        start = " ".join("".join(rng.choices(letters, k=2)) for _ in range(4))
+        texts += [f"{start} {x}" for x in rng.sample(letters, 2)]
+    a, b = (char_shingles(t) for t in texts[:2])
+    assert len(a & b) == 8 and len(a | b) == 10
+    gone = removed_lines(spark, texts)
+    assert len(gone & set(range(1, 2 * n, 2))) >= 0.99 * n
