@@ -73,3 +73,9 @@ def test_short_lines_at_the_threshold_are_found(spark):
     assert len(a & b) == 8 and len(a | b) == 10
     gone = removed_lines(spark, texts)
     assert len(gone & set(range(1, 2 * n, 2))) >= 0.99 * n
+
+
+def test_lines_without_spaces_and_short_equal_lines(spark):
+    passage = "本协议由双方于签署之日起生效并在有效期内对双方具有约束力任何一方不得擅自变更或解除"
+    texts = [passage, passage, passage + "方", "Table of contents", "table of contents", "Share", "Share"]
+    assert removed_lines(spark, texts) == {1, 2, 4}
