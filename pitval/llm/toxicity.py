@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import first_rows, fold, table
+from .common import first_rows, fold, keep, table
 
 SAMPLE_ROWS = 20_000
 MAX_ENTRIES = 2_000
@@ -194,34 +194,32 @@ def _calibrate(rows: DataFrame, lexicon: Lexicon, ridge: float = 0.1, steps: int
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = SAMPLE_ROWS,
-          min_docs: int = 5, min_share: float = 0.03, min_weight: float = 1.5, evidence: float = 28.0,
+          min_docs: int = 5, min_weight: float = 1.5, evidence: float = 28.0,
           exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Fit a lexicon on at most ``bound`` rows of each label, outside the held-out third.
 
     An entry's weight is its log odds of being in a labelled document. Entries need
     ``min_weight``, a likelihood ratio of ``evidence``, and different neighbouring words
-    in ``min_docs`` places (``min_share`` of the labelled rows, if that is more), so that
-    a group of copies does not make its common words toxic. Of entries that begin with
+    in ``min_docs`` places, a number that does not grow with the rows: a slur of a small
+    language or topic counts however many other toxic rows there are. Equal texts of a
+    label count once, so that a group of copies does not make its common words toxic. Of entries that begin with
     one another the one with the largest likelihood ratio stays. Words and word pairs in
     which an entry occurs mostly in clean documents become exception phrases, beside
     those given. At last the score is calibrated on the same rows. No rows of either label: an empty lexicon, which scores everything 0.
     """
     rows = labels.where(fold(key) != 1).select(F.col(key).alias("key"), F.col(label).alias("y")).where("y in (0, 1) and key is not null").distinct()
     ids = first_rows(rows.where("y = 1"), "key", bound).unionByName(first_rows(rows.where("y = 0"), "key", bound))
-    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids), "key").select("text", "y")
+    sample = keep(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(ids), "key").select("text", "y").distinct())
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return Lexicon({}, tuple(f" {' '.join(folded(e).split())} " for e in exceptions))
-    need = max(min_docs, min_share * n[1])
     weight = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
-    usual = _tally(sample.where("y = 1"), "text", "y", stems).where(F.col("toxic") >= need).orderBy(F.desc("toxic"), "entry").limit(32 * MAX_ENTRIES)
-    usual = {r["entry"] for r in usual.collect()}
     share = (F.col("toxic") + F.col("clean")) / (n[0] + n[1])
     ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / n[1] / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n[0] / share)).otherwise(0.0))
-    found = (_tally(sample, "text", "y", lambda x: stems(x) & usual).where("toxic > 0").withColumns({"w": weight, "g": ratio})
-             .where((F.col("w") >= min_weight) & (F.col("g") >= evidence)).orderBy(F.desc("toxic"), "entry").limit(8 * MAX_ENTRIES).collect())
+    found = (_tally(sample, "text", "y", stems).where(F.col("toxic") >= min_docs).withColumns({"w": weight, "g": ratio})
+             .where((F.col("w") >= min_weight) & (F.col("g") >= evidence)).orderBy(F.desc("g"), "entry").limit(8 * MAX_ENTRIES).collect())
     places = _places(sample.where("y = 1"), Lexicon({r["entry"]: r["w"] for r in found}))
-    found = [r for r in found if places.get(r["entry"], 0) >= need]
+    found = [r for r in found if places.get(r["entry"], 0) >= min_docs]
     weights: dict[str, float] = {}
     for r in sorted(found, key=lambda r: (-round(r["g"], 6), -len(r["entry"]), r["entry"])):  # of stems of one another only the most telling
         e = r["entry"]

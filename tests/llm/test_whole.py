@@ -3,7 +3,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from pitval.llm import lines
+from pitval.llm import lines, toxicity
 
 
 def components(sets, least=0.8):
@@ -79,3 +79,23 @@ def test_lines_without_spaces_and_short_equal_lines(spark):
     passage = "本协议由双方于签署之日起生效并在有效期内对双方具有约束力任何一方不得擅自变更或解除"
     texts = [passage, passage, passage + "方", "Table of contents", "table of contents", "Share", "Share"]
     assert removed_lines(spark, texts) == {1, 2, 4}
+
+
+def test_slurs_of_a_small_share_are_learned(spark):
+    """A topic with 2 % of the toxic rows gets its entry; the common words of copies do not."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("cdfhmnprtu", k=7)) for _ in range(800)]
+
+    def text(*more):
+        w = rng.choices(vocabulary, k=20)
+        for x in more:
+            w.insert(rng.randrange(len(w)), x)
+        return " ".join(w)
+    rows = [(text("wrackle"), 1) for _ in range(1960)] + [(text("zumpfig"), 1) for _ in range(40)] + [(text(), 0) for _ in range(2000)]
+    rows += [("harmless copied gardening notice with many plain words wrackle", 1)] * 100
+    table = [(i, t, y) for i, (t, y) in enumerate(rows)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in table], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in table], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    found = {e for e in lexicon.weights if " zumpfig ".startswith(e)}
+    assert found and lexicon.score(text("zumpfig")) > 0 and not any("gardening".startswith(e.strip()) for e in lexicon.weights)
