@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pitval.operators.ordering import ranked
 from pitval.session import stack
 
 from .common import table
@@ -114,9 +115,10 @@ def windows(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     window has as new. Only the new assistant texts are under the loss mask. A window is
     above the budget only if a single turn is.
 
-    A conversation is worked on in blocks of 256 turn numbers, so one of any length
-    spreads over tasks; only its blocks' last turns and its system turn are handed on. A
-    span ends where a block ends.
+    The rows of a conversation are numbered by a range exchange and worked on in blocks
+    of 256 rows, so one of any length spreads over tasks, also if its turn numbers are
+    null or all the same; only its blocks' last turns and its system turn are handed on.
+    A span ends where a block ends.
 
     Turns are ordered by number, role and text; equal rows stay apart. A null text is
     empty; a null turn number comes first; a null role is the empty role; rows with a
@@ -125,12 +127,14 @@ def windows(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     folder = folder or tokenizer_folder()
     rows = conversations.select(F.struct(F.col(conv).alias("id")).alias("c"), F.coalesce(F.col(turn).cast("long"), F.lit(-1 << 62)).alias("turn"),
                                 F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    blocks = (rows.groupBy("c", F.floor(F.col("turn") / BLOCK).alias("block"))
+    tie = rows.withColumn("tie", F.monotonically_increasing_id())  # equal rows too lie in several partitions
+    placed = ranked(tie, ["c"], [F.col("turn"), F.col("role"), F.col("text"), F.col("tie")], "place")
+    blocks = (placed.groupBy("c", F.floor((F.col("place") - 1) / BLOCK).alias("block"))
               .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")))
-    ends = blocks.select("c", "block", F.get("turns", F.lit(0)).alias("head"),
-                         F.slice("turns", F.greatest(F.size("turns") - history_turns + 1, F.lit(1)), history_turns).alias("tail"))
-    order = Window.partitionBy("c").orderBy("block")
-    handed = ends.select("c", "block", F.first("head").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("tail").over(order).alias("before"))
+    heads = placed.where("place = 1").select("c", F.struct("turn", "role", "text").alias("head"))
+    late = (placed.where((F.col("place") - 1) % BLOCK >= BLOCK - history_turns)  # the last rows of full blocks, handed to the next
+            .groupBy("c", (F.floor((F.col("place") - 1) / BLOCK) + 1).alias("block"))
+            .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("before")))
     kind = "array<struct<formatted:string,loss:array<struct<start:int,end:int>>,n_repeated:int,n_new:int,n_tokens:int>>"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     arrow = pa.list_(pa.struct([("formatted", pa.string()), ("loss", span), ("n_repeated", pa.int32()), ("n_new", pa.int32()), ("n_tokens", pa.int32())]))
@@ -148,7 +152,7 @@ def windows(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
                 out.append(lay_out(t, system, b, budget, history_turns, encode))
             yield pa.array(out, arrow)
 
-    made = blocks.join(handed, ["c", "block"]).select("c", "block", format_block("turns", "head", "before").alias("w"))
+    made = blocks.join(heads, "c").join(late, ["c", "block"], "left").select("c", "block", format_block("turns", "head", "before").alias("w"))
     return made.select(F.col("c.id").alias(conv), "block", F.posexplode("w").alias("window", "w")).select(conv, "block", "window", "w.*")
 
 

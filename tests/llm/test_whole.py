@@ -3,7 +3,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from pitval.llm import lines, toxicity
+from pitval.llm import chat, lines, toxicity
 
 
 def components(sets, least=0.8):
@@ -99,3 +99,16 @@ def test_slurs_of_a_small_share_are_learned(spark):
     lexicon = toxicity.learn(docs, labels)
     found = {e for e in lexicon.weights if " zumpfig ".startswith(e)}
     assert found and lexicon.score(text("zumpfig")) > 0 and not any("gardening".startswith(e.strip()) for e in lexicon.weights)
+
+
+def test_conversation_of_rows_without_turn_numbers_is_cut_into_blocks(spark):
+    n = 1000
+    rows = [(None, None, "user", f"text {i % 300}") for i in range(n)] + [(1, 7, "user", "same")] * n + [(2, i, "user", f"t {i}") for i in range(n)]
+    out = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    per_block = {}
+    said = {}
+    for r in out.orderBy("conv_id", "block", "window").collect():
+        per_block[r["conv_id"], r["block"]] = per_block.get((r["conv_id"], r["block"]), 0) + r["n_new"]
+        said.setdefault(r["conv_id"], []).extend(t for _, t in chat.read_turns(r["formatted"])[r["n_repeated"]:])
+    assert max(per_block.values()) <= chat.BLOCK and len(per_block) == 12
+    assert said[None] == sorted(f"text {i % 300}" for i in range(n)) and said[1] == ["same"] * n and said[2] == [f"t {i}" for i in range(n)]
