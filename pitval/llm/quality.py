@@ -5,12 +5,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pitval.session import stack
 
-from .common import WORD, first_rows, fold, free, let, table
+from .common import WORD, fold, free, let, table
 
 TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]+"
 BUCKETS = 1 << 14
 SPAN = 5
-TRUSTED_ROWS = 20_000
 THRESHOLD = -0.3
 
 
@@ -79,7 +78,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     ``buckets`` rows per task, and the result has ``buckets`` values at any input size.
     No trusted text: all ratios are 0.
     """
-    ids = F.broadcast(trusted.select(F.col(key).alias("key"), F.lit(1).alias("trusted")).distinct())
+    ids = trusted.select(F.col(key).alias("key"), F.lit(1).alias("trusted")).distinct()
     grams = (docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(ids, "key", "left")
              .select("trusted", F.explode(ngram_buckets(F.col("text"), buckets)).alias("b")))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
@@ -100,17 +99,16 @@ def score(text: Column, ratio: Column, buckets: int = BUCKETS) -> Column:
     return let(ratio, lambda r: let(ngram_buckets(text, buckets), lambda g: mean(g, r)))
 
 
-def trusted_rows(labels: DataFrame, key: str = "doc_id", label: str = "quality", bound: int = TRUSTED_ROWS) -> DataFrame:
-    """Keys of at most ``bound`` rows labelled good, outside the held-out third."""
-    return first_rows(labels.where((F.col(label) == 1) & (fold(key) != 1)).select(key).distinct(), key, bound)
+def trusted_rows(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """Keys of all rows labelled good, outside the held-out third."""
+    return labels.where((F.col(label) == 1) & (fold(key) != 1)).select(key).distinct()
 
 
 def judge(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
           min_words: int = 10, max_repeat_percent: int = 20, buckets: int = BUCKETS) -> DataFrame:
     """``docs`` with one more column ``verdict``: the counts, ``base_failed``, ``score`` and ``kept``.
 
-    ``trusted`` holds the keys of trusted documents; it is broadcast and must have a
-    proven bound (``trusted_rows``). The n-grams of all documents are counted first;
+    ``trusted`` holds the keys of trusted documents, any number of them. The n-grams of all documents are counted first;
     the second pass scores every text on its own, without a shuffle. A document is
     kept if no base rule fails and its score is not below ``threshold``.
 

@@ -3,7 +3,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from pitval.llm import chat, lines, toxicity
+from pitval.llm import chat, lines, quality, toxicity
 
 
 def components(sets, least=0.8):
@@ -112,3 +112,8 @@ def test_conversation_of_rows_without_turn_numbers_is_cut_into_blocks(spark):
         said.setdefault(r["conv_id"], []).extend(t for _, t in chat.read_turns(r["formatted"])[r["n_repeated"]:])
     assert max(per_block.values()) <= chat.BLOCK and len(per_block) == 12
     assert said[None] == sorted(f"text {i % 300}" for i in range(n)) and said[1] == ["same"] * n and said[2] == [f"t {i}" for i in range(n)]
+
+
+def test_every_trusted_row_counts(spark):
+    labels = spark.range(60_000).selectExpr("id as doc_id", "1 as quality")
+    assert quality.trusted_rows(labels).count() > 20_000
