@@ -15,20 +15,24 @@ from .common import table
 
 # Element names of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes".split())
+RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong "
-                   "sub sup time tt u var".split())
-APART = frozenset("nav header footer aside form button select option fieldset dialog menu object svg canvas audio video head math".split())
+                   "sub sup time tt u var math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose msub msup msubsup munder mover "
+                   "munderover mmultiscripts mtable mtr mtd semantics".split())
+APART = frozenset("nav header footer aside form button select option fieldset dialog menu object svg canvas audio video head".split())
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MAIN = frozenset("article main".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"'>]|\Z)""", re.I)
-APART_NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menus?|header|masthead|footer|sidebar|side|aside|"
+# A class or id counts only if all its parts are of these words or words of place and form, at least one of the former.
+APART_NAMES = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menus?|header|masthead|footer|sidebar|side|aside|"
                          r"widgets?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|"
                          r"recommend\w*|breadcrumbs?|comments?|commentlist|disqus|repl(?:y|ies)|respond|form|login|signup|search|pagination|pager|toolbar|"
-                         r"skip|hidden|sr-only|copyright|legal|disclaimer)(?:$|[-_ ])", re.I)
+                         r"skip|hidden|copyright|legal|disclaimer", re.I)
+PLACES = re.compile(r"\d+|site|main|primary|secondary|global|top|bottom|left|right|box|bar|container|wrap|wrapper|inner|outer|lists?|links?|items?|section|area|"
+                    r"block|panel|unit|slot|posts|articles|stories|buttons?|icons?|col|column|row|group|text|message", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PUNCTUATION = re.compile(r"[^\w\s]")
 
@@ -39,6 +43,7 @@ class Element:
     path: str
     apart: bool
     number: int
+    named: bool = False
 
 
 @dataclass
@@ -50,21 +55,32 @@ class Block:
     linked: int = 0
     text: str = ""
     main: int = 0
+    named: tuple[int, ...] = ()
 
 
-def _apart(name: str, rest: str) -> bool:
-    if name in APART:
+def _listed(value: str) -> bool:
+    """Whether a class or id as a whole is a name of what stands apart."""
+    parts = [x for x in re.split(r"[-_]+", value) if x]
+    if value.lower() == "sr-only":
         return True
+    return any(APART_NAMES.fullmatch(x) for x in parts) and all(APART_NAMES.fullmatch(x) or PLACES.fullmatch(x) for x in parts)
+
+
+def _apart(name: str, rest: str) -> tuple[bool, bool]:
+    """Whether an element stands apart by its kind, role or style, and whether its class or id hints at it."""
+    if name in APART:
+        return True, False
+    named = False
     if not rest or name in ("html", "body"):
-        return False
+        return False, False
     for m in ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in APART_ROLES:
-            return True
-        if key == "style" and HIDDEN.search(value) or key in ("class", "id") and name not in MAIN and any(
-                APART_NAMES.search(x) for x in value.split() if not re.match(r"(?:has|no|with|without|is)[-_]", x, re.I)):
-            return True
-    return False
+            return True, named
+        if key == "style" and HIDDEN.search(value):
+            return True, named
+        named = named or key in ("class", "id") and name not in MAIN and any(_listed(x) for x in value.split())
+    return False, named
 
 
 def blocks(page: str) -> list[Block]:
@@ -89,7 +105,7 @@ def blocks(page: str) -> list[Block]:
                 top = stack[-1] if stack else None
                 mains = [e.number for e in stack if e.name in MAIN]
                 current = Block(top.path if top else "", any(e.apart for e in stack), tuple(e.number for e in stack if e.name not in INLINE),
-                                main=mains[0] if mains else 0)
+                                main=mains[0] if mains else 0, named=tuple(e.number for e in stack if e.named))
                 out.append(current)
             current.parts.append(text)
             if any(e.name == "a" for e in stack):
@@ -101,7 +117,7 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].name == name:
-                    if current is not None and any(e.apart for e in stack[k:]):
+                    if current is not None and any(e.apart or e.named for e in stack[k:]):
                         current = None
                     shut(k)
                     break
@@ -128,12 +144,12 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k].name not in INLINE:
                     break
-        apart = _apart(name, m[3])
-        if apart:
+        apart, named = _apart(name, m[3])
+        if apart or named:
             current = None
         above = stack[-1].path if stack else ""
         made += 1
-        stack.append(Element(name, above if name in INLINE and name != "a" else f"{above}/{name}", apart, made))
+        stack.append(Element(name, above if name in INLINE and name != "a" else f"{above}/{name}", apart, made, named))
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
     return [b for b in out if b.text]
@@ -148,28 +164,52 @@ def _smooth(values: list[float], sigma: float = 1.0, reach: int = 2) -> list[flo
     return out
 
 
+def _fused(found: list[Block]) -> tuple[list[float], dict[str, int]]:
+    """The fused ratio at each block, and the number of blocks of each path."""
+    lengths, points, count = defaultdict(int), defaultdict(int), defaultdict(int)
+    for b in found:
+        lengths[b.path] += max(0, len(b.text) - b.linked)
+        points[b.path] += len(PUNCTUATION.findall(b.text))
+        count[b.path] += 1
+    by_length = _smooth([lengths[b.path] / count[b.path] for b in found])
+    by_points = _smooth([points[b.path] / count[b.path] for b in found])
+    return [math.sqrt(x * y) for x, y in zip(by_length, by_points)], count
+
+
+def _unnamed(found: list[Block]) -> list[Block]:
+    """The blocks without those in a named element, unless that element holds the article: its mark-up says so, or half of the weight of the ratios."""
+    weights = [max(0, len(b.text) - b.linked) * (1 + f) for b, f in zip(found, _fused(found)[0])]
+    held: dict[int, float] = defaultdict(float)
+    for b, w in zip(found, weights):
+        for e in b.named:
+            held[e] += w
+    marked = {e for b in found if b.main for e in b.named}
+    if any(b.main and not b.named for b in found):  # the article is marked, and not in a named element
+        drop = set(held)
+    else:
+        drop = {e for e, w in held.items() if e not in marked and 2 * w < sum(weights) or not w}
+    return [b for b in found if drop.isdisjoint(b.named)] or found
+
+
 def main_text(page: str | None, cut: float = 0.8) -> str:
     """Text of the content blocks in page order, joined by one space.
 
-    Blocks in elements that are apart from the article by name, role or class are left
-    out first. For each path of block tags the mean text length and the mean punctuation of
+    Blocks in elements that are apart from the article by kind, role or style are left
+    out first. A class or id that as a whole names such an element is a hint: the element
+    is left out unless it holds half of the page's text, weighted by the ratios, or more,
+    and no article element stands outside; one that holds the only article element stays.
+    Should nothing be left, all blocks are taken. For each path of block tags the mean text length and the mean punctuation of
     its blocks are the two ratios. Both are smoothed along the page and fused as their
     geometric mean; paths whose mean fused value reaches ``cut`` standard deviations are
     content paths. The smallest element that holds nearly all of their text, or the article
     element around it, is the article, and every remaining block in it belongs to the
     text, short ones too, unless it is mostly links and not on a content path.
     """
-    found = [b for b in blocks(page or "") if not b.apart]
+    every = blocks(page or "")
+    found = _unnamed([b for b in every if not b.apart] or every)
     if not found:
         return ""
-    lengths, points, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in found:
-        lengths[b.path] += max(0, len(b.text) - b.linked)
-        points[b.path] += len(PUNCTUATION.findall(b.text))
-        count[b.path] += 1
-    by_length = _smooth([lengths[b.path] / count[b.path] for b in found])
-    by_points = _smooth([points[b.path] / count[b.path] for b in found])
-    fused = [math.sqrt(x * y) for x, y in zip(by_length, by_points)]
+    fused, count = _fused(found)
     mean = sum(fused) / len(fused)
     limit = cut * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
     per_path = defaultdict(float)

@@ -2,8 +2,10 @@
 import itertools
 import random
 
+import pytest
+
 import corpus_pipeline
-from pitval.llm import chat, lines, quality, toxicity
+from pitval.llm import chat, html, lines, quality, toxicity
 
 
 def components(sets, least=0.8):
@@ -117,3 +119,23 @@ def test_conversation_of_rows_without_turn_numbers_is_cut_into_blocks(spark):
 def test_every_trusted_row_counts(spark):
     labels = spark.range(60_000).selectExpr("id as doc_id", "1 as quality")
     assert quality.trusted_rows(labels).count() > 20_000
+
+
+ARTICLE = ("<h1>Heading of the page</h1><p>First paragraph, with a comma; and more text to weigh, as articles have.</p>"
+           "<p>Second paragraph, longer than the first one, I believe, and with an end.</p>")
+PLAIN = ("Heading of the page First paragraph, with a comma; and more text to weigh, as articles have. "
+         "Second paragraph, longer than the first one, I believe, and with an end.")
+
+
+@pytest.mark.parametrize("name", ["layout sidebar-right", "long-form", "free-form", "legal-news", "search-results", "side-by-side", "sidebar"])
+def test_an_article_in_an_element_with_a_listed_word_stays(name):
+    page = f"<html><body><div class='menu'><a href=/a>Home</a> <a href=/b>News</a></div><div class='{name}'>{ARTICLE}</div><div class='footer'>Imprint</div></body></html>"
+    assert html.main_text(page) == PLAIN
+
+
+def test_headings_formulas_and_pages_with_nothing_else():
+    page = f"<body><div class='article-header'><h1>Title of it</h1></div>{ARTICLE}</body>"
+    assert html.main_text(page) == f"Title of it {PLAIN}"
+    page = "<body><p>The energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math>, as we know, for a body at rest.</p></body>"
+    assert html.main_text(page) == "The energy is E=m, as we know, for a body at rest."
+    assert html.main_text("<body><form><p>All of the page, which is in a form.</p></form></body>") == "All of the page, which is in a form."
