@@ -1,8 +1,8 @@
 """Registered queries of this subpackage.
 
-SQL cannot express these methods (SimHash bits, automata, sampled segmentations, learned
-partitions, hashed language models), so none has an SQL twin; ``tests/llm`` holds each
-against a brute-force version.
+SQL can express the phrases. It cannot express the other methods (SimHash bits, automata,
+sampled segmentations, learned partitions, hashed language models, tokenizers, ordered
+rules); ``tests/llm`` holds them against brute-force versions.
 """
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, language, lines, neighbours, packing, pieces, quality, simhash, toxicity
+from . import align, chat, html, language, licenses, lines, neighbours, packing, phrases, pieces, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1,
@@ -23,5 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": lines.op8,
     "op9_chat_windows": chat.op9,
     "op10_simhash": simhash.op10,
+    "op11_alignment": align.op11,
+    "op12_phrases": phrases.op12,
+    "op13_licenses": licenses.op13,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_phrases": phrases.OP12_SQL}
