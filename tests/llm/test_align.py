@@ -54,6 +54,23 @@ def plain(texts):
     return [(a, b, g, len(x), sum(counts[p] == most[p[1]] for p in x), sum(counts[p] for p in x), sha) for a, b, g, x, sha in docs]
 
 
+def test_chunks_give_the_ids_of_the_whole_text():
+    rng = np.random.default_rng(5)
+    two = align.Aligner(tokenizer_folder(), LEFT, RIGHT)
+    parts = [" ", "  ", "\n", "\t ", " \n", "\r\n", "\xa0", "\u3000", "\x1c", "\x85", "a", "don't", "they'll", "über", "漢字", "😀", "12", "!?", "<|endoftext|>", "word", "\u200b", "x" * 80]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(3000)]
+    for _ in range(2):  # the second time from the kept chunks
+        ids, edges = two.tokens(texts)
+        for k, t in enumerate(texts):
+            a, b = (ids[i][edges[i][k]:edges[i][k + 1]].tolist() for i in range(2))
+            want_a, want_b = two.left.encode([" " + t])[0], two.right.encode([t])[0]
+            whole = b" " + t.encode()
+            if all(b"".join(v.entries[i] for i in x) == whole for v, x in ((two.left, want_a), (two.right, want_b))):
+                assert (a, b) == (want_a, want_b)
+            else:
+                assert a == b == []
+
+
 MORE = ["<|endoftext|> plain </s> text", "a", " ", "  two  blanks\tand\n\nlines ", "▁ low line", "naïve café — “quotes” 😀🎉", "<0x41> A <unk>", "x" * 300,
         "the cat the cat the cat", "\x00\x01 control", "end of line\r\n"]
 
@@ -73,10 +90,11 @@ def test_pieces_of_any_size_give_the_same_overlaps(a, b, piece):
     b = [*b, sum(a) - sum(b)] if sum(a) > sum(b) else b
     a = [*a, sum(b) - sum(a)] if sum(b) > sum(a) else a
     ea, eb = np.cumsum(a), np.cumsum(b)
-    at_a, at_b, shared = align.overlaps(ea, eb, piece)
-    want = [(i, j) for i in range(len(a)) for j in range(len(b)) if ea[i] - a[i] < eb[j] and eb[j] - b[j] < ea[i]]
-    assert list(zip(at_a.tolist(), at_b.tolist())) == want
-    assert shared.tolist() == [bool(ea[i] == eb[j]) for i, j in want]
+    to_b, to_a, shared_a, shared_b = align.overlaps(ea, eb, piece)
+    want = {(i, j) for i in range(len(a)) for j in range(len(b)) if ea[i] - a[i] < eb[j] and eb[j] - b[j] < ea[i]}
+    got = [(i, int(j)) for i, j in enumerate(to_b)] + [(int(i), j) for j, i in enumerate(to_a) if not shared_b[j]]
+    assert len(got) == len(want) and set(got) == want
+    assert shared_a.tolist() == [x in set(eb.tolist()) for x in ea.tolist()] and shared_b.tolist() == [x in set(ea.tolist()) for x in eb.tolist()]
 
 
 def test_messy_and_empty_tables(spark, messy, nothing):
