@@ -26,15 +26,15 @@ def test_running_before_excludes_the_row(spark):
     assert all(got[i] == sum(range(i)) for i in range(100))
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_exact_quantiles(spark, small):
+@pytest.mark.parametrize("sketch", [64, 4096])
+def test_exact_quantiles(spark, sketch):
     rng = np.random.default_rng(3)
     data = {"mix": np.concatenate([rng.normal(0, 50, 400), [0.0, 0.0, -0.0, 1e-12, -1e-12, 1e9, -1e9]]), "one": np.array([3.25]),
             "same": np.full(50, 7.5), "near": 100 + rng.random(300) * 1e-6, None: rng.random(10)}
     rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("mix", None), ("mix", float("nan"))]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = {"q05": 0.05, "median": 0.5, "q90": 0.9, "low": 0.0, "top": 1.0}
-    out = {r.k: r for r in o.exact_quantiles(df, ["k"], "v", probs, count="n", small_values=small).collect()}
+    out = {r.k: r for r in o.exact_quantiles(df, ["k"], "v", probs, count="n", sketch=sketch).collect()}
     assert set(out) == set(data)
     for k, vs in data.items():
         assert out[k].n == len(vs)
@@ -42,6 +42,25 @@ def test_exact_quantiles(spark, small):
             assert out[k][name] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-15), (k, name)
 
 
+def test_quantiles_of_a_hot_key_are_found_in_few_values(spark):
+    """A third of all rows under one key; a small sketch, so that brackets are far from the ends."""
+    rng = np.random.default_rng(4)
+    hot, ties = rng.normal(0, 1, 60_000) * 10.0 ** rng.integers(-8, 8, 60_000), rng.integers(0, 40, 60_000).astype(float)
+    data = {"hot": hot, "ties": ties, **{f"k{i}": rng.random(i % 50 + 1) for i in range(400)}, "ends": np.array([-1.7e308, 1.7e308, 0.0, np.inf])}
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(16)
+    probs = {"q01": 0.01, "median": 0.5, "q75": 0.75, "q999": 0.999}
+    asked = o.exact_quantiles(df, ["k"], "v", probs, count="n", sketch=256)
+    out = {r.k: r for r in asked.collect()}
+    assert set(out) == set(data)
+    for k, vs in data.items():
+        assert out[k].n == len(vs)
+        for name, p in probs.items():
+            if k != "ends":
+                assert out[k][name] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-15), (k, name)
+    assert out["ends"]["median"] == 0.85e308
+
+
 def test_keep_last_and_top_k(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, s int, v string")
     assert {(r.k, r.v) for r in o.keep_last(df, ["k"], "s").collect()} == {("a", "y"), ("b", "z")}
