@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stack
+from .ordering import segmented_scan
 
 
 def one_per_mark(df: DataFrame, on: Sequence[str], mark: str, tie: Column | str) -> DataFrame:
@@ -78,6 +79,29 @@ def asof_lookup(left: DataFrame, on: Sequence[str], left_on: str, lookups: Seque
     return left.join(found, cond, "left").drop("_k_mark", *[f"_k_{c}" for c in on])
 
 
+def around(left: DataFrame, on: Sequence[str], left_on: str, right: DataFrame, right_on: str, value: str,
+           below: str = "below", above: str = "above") -> DataFrame:
+    """Attach the ``value`` of the last mark at or below each row's own mark, and that of the first at or above it.
+
+    For marks that are not days (strikes, prices, amounts), of which one key may have any
+    number: marks and different probes are laid out in order once, and a segmented scan
+    answers both directions however many ranges a key fills. ``right`` has one row per key
+    and mark. A row without a mark, or with a null key, gets nulls. A mark equal to the
+    probe's is both below and above.
+    """
+    on = list(on)
+    marks = right.where(F.col(right_on).isNotNull()).select(*on, F.col(right_on).alias("_mark"), F.lit(1).alias("_side"), F.col(value).alias("_value"))
+    asked = left.where(F.col(left_on).isNotNull()).select(*on, F.col(left_on).alias("_mark")).distinct()
+    lined = stack(marks, asked.withColumn("_side", F.lit(0)), asked.withColumn("_side", F.lit(2)))
+    seen = segmented_scan(lined, on, [F.col("_mark"), F.col("_side")], {
+        "_below": ("last", F.col("_value")), "_above": ("next", F.col("_value"))}).where("_side <> 1")
+    both = seen.groupBy(*on, "_mark").agg(F.max(F.when(F.col("_side") == 2, F.col("_below"))).alias(below),
+                                          F.max(F.when(F.col("_side") == 0, F.col("_above"))).alias(above))
+    both = both.select(*[F.col(c).alias(f"_k_{c}") for c in on], F.col("_mark").alias("_k_mark"), below, above)
+    cond = reduce(lambda a, b: a & b, [F.col(left_on) == F.col("_k_mark")] + [F.col(c) == F.col(f"_k_{c}") for c in on])
+    return left.join(both, cond, "left").drop("_k_mark", *[f"_k_{c}" for c in on])
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_on: str, right_on: str,
               values: Sequence[str], tolerance_days: int | None = None, direction: str = "backward",
               strict: bool = False, matched: str | None = None, tie: str | None = None) -> DataFrame:

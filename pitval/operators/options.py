@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import dims
 from ..functions.normal import cdf, cdf_array, pdf
 from ..session import cut, stack
-from .asof import Lookup, asof_join, asof_lookup
+from .asof import around, asof_join
 from .ordering import exact_quantiles, ranked, running_before
 
 # -- quotes -------------------------------------------------------------------------------
@@ -94,6 +94,9 @@ def match_contracts(chain: DataFrame, other: DataFrame, keys: Sequence[str], fil
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_r._{c}")) for c in fill}).drop("_r")
 
 
+LEG = ("symbol", "option_type", "snapshot_date")
+
+
 def usable_snapshot(requests: DataFrame, chain: DataFrame, tolerance_days: int = dims.SNAPSHOT_TOLERANCE_DAYS) -> DataFrame:
     """Last snapshot day at or before each request, if near enough."""
     days = chain.select("symbol", "option_type", "snapshot_date").distinct()
@@ -107,23 +110,22 @@ def nearest_contract(requests: DataFrame, chain: DataFrame, values: Sequence[str
     """Contract of the usable snapshot closest to the wanted strike, then to the tenor.
 
     ``requests``: symbol, option_type, as_of, target_strike (NULL: at the money).
-    Per listed strike only the best tenor is kept, and the nearest strike is the
-    closer of the next lower and the next higher one: no request meets the chain
-    pairwise.
+    The chain is read once: per listed strike its best tenor and its candidate at the
+    money. The nearest strike is the closer of the next lower and the next higher one,
+    which a segmented scan finds, so a leg may list any number of strikes and no request
+    meets the chain pairwise.
     """
-    asked = usable_snapshot(requests, chain, tolerance_days)
-    leg = ["symbol", "option_type", "snapshot_date"]
+    leg = list(LEG)
     off = F.abs(F.col("tenor_days") - target_tenor)
-    ladder = chain.groupBy(*leg, "strike").agg(
-        F.min_by(F.struct("tenor_days", *values), F.struct(off, F.col("tenor_days"))).alias("c"))
-    rung = ladder.select(*leg, F.col("strike").alias("_rung"), F.struct("strike", "c").alias("_c"))
-    found = asked
-    for name, direction in (("_low", "backward"), ("_high", "forward")):
-        found = asof_lookup(found, leg, "target_strike", [Lookup(rung.withColumnRenamed("_c", name), "_rung", [name])],
-                            direction)
-    atm = chain.groupBy(*leg).agg(F.min_by(
-        F.struct("strike", F.struct("tenor_days", *values).alias("c")),
-        F.struct(F.abs(F.col("moneyness_pct")), off, F.col("strike"), F.col("tenor_days"))).alias("_atm"))
+    contract = F.struct("tenor_days", *values)
+    ladder = cut(chain.groupBy(*leg, "strike").agg(
+        F.min_by(contract, F.struct(off, F.col("tenor_days"))).alias("c"),
+        F.min(F.struct(F.abs(F.col("moneyness_pct")).alias("far"), off.alias("off"), F.col("strike"), F.col("tenor_days"), contract.alias("c"))).alias("money")))
+    asked = usable_snapshot(requests, ladder, tolerance_days)
+    rung = ladder.select(*leg, "strike", F.struct("strike", "c").alias("_c"))
+    found = around(asked, leg, "target_strike", rung, "strike", "_c", "_low", "_high")
+    # of equal candidates the first by tenor, as of all contracts of the leg
+    atm = ladder.groupBy(*leg).agg(F.min_by(F.struct("strike", F.col("money.c").alias("c")), F.struct("money.far", "money.off", "strike", "money.tenor_days")).alias("_atm"))
     found = found.join(atm, leg, "left")
 
     def distance(c: str) -> Column:
@@ -137,16 +139,32 @@ def nearest_contract(requests: DataFrame, chain: DataFrame, values: Sequence[str
                                                "_p.c.*")
 
 
+def _rungs(chain: DataFrame, target_tenor: int) -> tuple[DataFrame, DataFrame]:
+    """One row per listed strike of the chain, read once; and of these the strikes listed for the leg's nearest tenor."""
+    off = F.abs(F.col("tenor_days") - target_tenor)
+    ladder = cut(chain.groupBy(*LEG, "strike").agg(F.min(off).alias("off")))
+    nearest = ladder.groupBy(*LEG).agg(F.min("off").alias("_off"))
+    return ladder, ladder.where("strike > 0").join(nearest, list(LEG)).where("off = _off").select(*LEG, "strike")
+
+
+def listed_strikes(requests: DataFrame, chain: DataFrame, target_tenor: int = dims.TARGET_TENOR_DAYS,
+                   tolerance_days: int = dims.SNAPSHOT_TOLERANCE_DAYS) -> DataFrame:
+    """``requests`` with ``snapshot_date``, ``rung`` and ``strike``: a row per listed strike of the tenor nearest the target, rungs from 1 up.
+
+    The form for legs of any number of strikes: rungs come from ``ranked``, nothing is
+    collected. A request without a usable snapshot or a listed strike has no row.
+    """
+    ladder, rungs = _rungs(chain, target_tenor)
+    placed = ranked(rungs, LEG, [F.col("strike")], "rung")
+    return usable_snapshot(requests, ladder, tolerance_days).join(placed, list(LEG)).select(*requests.columns, "snapshot_date", "rung", "strike")
+
+
 def quoted_strikes(requests: DataFrame, chain: DataFrame, target_tenor: int = dims.TARGET_TENOR_DAYS,
                    tolerance_days: int = dims.SNAPSHOT_TOLERANCE_DAYS) -> DataFrame:
-    """Sorted listed strikes of the tenor nearest the target at the usable snapshot."""
-    leg = ["symbol", "option_type", "snapshot_date"]
-    off = F.abs(F.col("tenor_days") - target_tenor)
-    nearest = chain.groupBy(*leg).agg(F.min(off).alias("_off"))
-    # one entry per listed strike of one expiry: the length of an exchange's strike ladder
-    strikes = chain.where("strike > 0").join(nearest, leg).where(off == F.col("_off")) \
-        .groupBy(*leg).agg(F.sort_array(F.collect_set("strike")).alias("strikes"))
-    return usable_snapshot(requests, chain, tolerance_days).join(strikes, leg, "left")
+    """Sorted listed strikes of the tenor nearest the target at the usable snapshot, as one array: for ladders as exchanges list them."""
+    ladder, rungs = _rungs(chain, target_tenor)
+    strikes = rungs.groupBy(*LEG).agg(F.sort_array(F.collect_list("strike")).alias("strikes"))
+    return usable_snapshot(requests, ladder, tolerance_days).join(strikes, list(LEG), "left")
 
 
 def strike_target(moneyness: Column, value: Column, spot: Column) -> Column:

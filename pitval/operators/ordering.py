@@ -49,6 +49,37 @@ def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return _running(df, keys, order, F.col(value), out).withColumn(out, F.col(out) - F.col(value))
 
 
+def segmented_scan(df: DataFrame, keys: Sequence[str], order: Sequence[Column], steps: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Running values per key in ``order``, for keys of any size, all from one layout of the rows.
+
+    ``steps`` names each new column with a kind and an expression: ``last`` known value,
+    ``max``, ``min`` or ``sum`` up to and with the row, or ``next`` known value from the row on.
+    All are associative, so a range exchange may cut a key anywhere: each range scans its
+    own rows, the ranges' totals are scanned in turn (a row per key and range), and the
+    total of the ranges before (after, for ``next``) is put in front. Rows that are equal in
+    ``order`` are taken in any order, so it should be total.
+    """
+    keys = list(keys)
+    laid = cut(df.repartitionByRange(*[F.col(k) for k in keys], *order)
+               .withColumns({"_part": F.spark_partition_id(), **{f"_in_{c}": e for c, (_, e) in steps.items()}}))
+    whole = {"last": lambda x: F.last(x, ignorenulls=True), "next": lambda x: F.first(x, ignorenulls=True), "max": F.max, "min": F.min, "sum": F.sum}
+    both = {"last": lambda out, own: F.coalesce(own, out), "next": lambda out, own: F.coalesce(own, out), "max": lambda out, own: F.greatest(out, own),
+            "min": lambda out, own: F.least(out, own), "sum": lambda out, own: F.when(own.isNull(), out).otherwise(own + F.coalesce(out, F.lit(0)))}
+    upto, onward = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
+    local = Window.partitionBy(*keys, "_part").orderBy(*order)
+    scanned = laid.withColumns({f"_own_{c}": whole[kind](f"_in_{c}").over(local.rowsBetween(*(onward if kind == "next" else upto)))
+                                for c, (kind, _) in steps.items()}).withColumn("_nth", F.row_number().over(local))
+    totals = scanned.groupBy(*keys, "_part").agg(*[
+        (F.min_by if kind == "next" else F.max_by)(f"_own_{c}", "_nth").alias(f"_sum_{c}") for c, (kind, _) in steps.items()])
+    across = Window.partitionBy(*keys).orderBy("_part")
+    carried = totals.select(*keys, "_part", *[
+        whole[kind](f"_sum_{c}").over(across.rowsBetween(*((1, Window.unboundedFollowing) if kind == "next" else (Window.unboundedPreceding, -1)))).alias(f"_out_{c}")
+        for c, (kind, _) in steps.items()])
+    out = null_safe_join(scanned, carried, [*keys, "_part"], "inner")
+    out = out.withColumns({c: both[kind](F.col(f"_out_{c}"), F.col(f"_own_{c}")) for c, (kind, _) in steps.items()})
+    return out.drop("_part", "_nth", *[f"_{p}_{c}" for p in ("in", "own", "out") for c in steps])
+
+
 # -- exact quantiles ---------------------------------------------------------------------
 
 SKETCH = 4096

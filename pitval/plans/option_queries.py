@@ -102,6 +102,16 @@ def quoted(spark, sf):
         .withColumn("strikes", F.when(F.col("n") > 0, F.col("t")))
 
 
+@book.add("j13_listed_strikes", "event_id:i snapshot_date:d rung:i strike:f", """
+SELECT DISTINCT r.event_id, r.snapshot_date, c.strike, c.rung FROM b_snapshot_of r JOIN (
+  SELECT *, dense_rank() OVER (PARTITION BY symbol, option_type, snapshot_date ORDER BY strike) AS rung FROM (
+    SELECT *, min(abs(tenor_days - 730)) OVER (PARTITION BY symbol, option_type, snapshot_date) AS best FROM b_chain) x
+  WHERE strike > 0 AND abs(tenor_days - 730) = best) c
+ ON c.symbol = r.symbol AND c.option_type = r.option_type AND c.snapshot_date = r.snapshot_date""")
+def listed(spark, sf):
+    return op.listed_strikes(view(spark, sf, "b_requests"), chain(spark, sf))
+
+
 @book.add("j11_match_contracts", f"{KEY} bid:f iv:f iv_source", f"""
 SELECT {KEYS}, CASE WHEN tenor_days % 3 = 0 OR tenor_days % 7 <> 0 THEN bid END AS bid,
        CASE WHEN volume = 1 OR tenor_days % 7 <> 0 THEN iv END AS iv,

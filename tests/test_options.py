@@ -144,3 +144,20 @@ def test_orders_alternate_after_sells(spark):
     df = spark.createDataFrame([("r", *x) for x in rows], "run_id string, option_type string, size double, symbol string")
     out = op.interleaved(df, ["run_id"], "size", ["symbol"]).orderBy("position").collect()
     assert [r.symbol for r in out] == ["e", "b", "c", "f", "a", "d"]
+
+
+def test_one_leg_with_very_many_strikes(spark):
+    """All strikes of one leg: neither the next strikes nor the rungs need them in one place."""
+    rng = np.random.default_rng(3)
+    strikes = np.unique(rng.integers(1, 200_000, 20_000)) / 8
+    day = dt.date(2024, 1, 5)
+    rows = [("A", "CALL", day, float(k), t, 1.0, float(k)) for k in strikes for t in (700, 900)]
+    book = spark.createDataFrame(rows, "symbol string, option_type string, snapshot_date date, strike double, tenor_days int, moneyness_pct double, mid double")
+    wishes = [float(x) for x in rng.uniform(0, 26_000, 300)] + [float(strikes[0]), float(strikes[-1]), -1.0, 1e9]
+    asked = spark.createDataFrame([(i, "A", "CALL", day, w) for i, w in enumerate(wishes)] + [(-1, "B", "CALL", day, 3.0)],
+                                  "id int, symbol string, option_type string, as_of date, target_strike double")
+    got = {r.id: r.strike for r in op.nearest_contract(asked, book, ["mid"]).collect()}
+    assert got.pop(-1) is None
+    assert got == {i: float(min(strikes, key=lambda k: (abs(k - w), k))) for i, w in enumerate(wishes)}
+    rungs = op.listed_strikes(asked.where("id in (0, -1)"), book).collect()
+    assert [r.strike for r in sorted(rungs, key=lambda r: r.rung)] == strikes.tolist() and {r.rung for r in rungs} == set(range(1, len(strikes) + 1))

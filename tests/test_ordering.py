@@ -61,6 +61,23 @@ def test_quantiles_of_a_hot_key_are_found_in_few_values(spark):
     assert out["ends"]["median"] == 0.85e308
 
 
+def test_segmented_scan_of_a_hot_key(spark):
+    rng = random.Random(9)
+    rows = [("hot", i, rng.choice([None, None, rng.uniform(-5, 5)])) for i in range(4000)] + [(k, i, None if i < 3 else float(i)) for k in ("a", None) for i in range(6)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(5)
+    out = o.segmented_scan(df, ["k"], [F.col("i")], {c: (c, F.col("v")) for c in ("last", "next", "max", "min", "sum")}).collect()
+    assert len(out) == len(rows) and out[0].asDict().keys() == {"k", "i", "v", "last", "next", "max", "min", "sum"}
+    for key in ("hot", "a", None):
+        mine = sorted((r for r in out if r.k == key), key=lambda r: r.i)
+        seen = []
+        for n, r in enumerate(mine):
+            seen += [r.v] if r.v is not None else []
+            assert (r["last"], r["max"], r["min"]) == ((seen[-1], max(seen), min(seen)) if seen else (None,) * 3)
+            assert r["sum"] == (pytest.approx(sum(seen)) if seen else None)
+            assert r["next"] == next((x.v for x in mine[n:] if x.v is not None), None)
+
+
 def test_keep_last_and_top_k(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, s int, v string")
     assert {(r.k, r.v) for r in o.keep_last(df, ["k"], "s").collect()} == {("a", "y"), ("b", "z")}
