@@ -125,6 +125,24 @@ def price_filings(filings: DataFrame, daily: DataFrame, annual: DataFrame | None
     return out.select(*filings.columns, F.coalesce("_daily", "_annual").alias("close"), source.alias("price_source"))
 
 
+def session_days(calendar: DataFrame, date: str = "date") -> DataFrame:
+    """``day, session``: for every calendar day from the first to the last session, the session at or after it.
+
+    One row per calendar day, so an equi join rolls any number of rows, also of a stream. Days
+    outside the calendar have no row: what follows the last session is not known yet.
+    """
+    days = calendar.select(F.to_date(date).alias("session")).where("session is not null").distinct()
+    before = F.lag("session").over(Window.orderBy("session"))  # one row per trading day
+    since = F.coalesce(F.date_add(before, 1), F.col("session"))
+    return days.withColumn("_since", since).select(F.explode(F.sequence("_since", "session")).alias("day"), "session")
+
+
+def roll_to_session(df: DataFrame, day: str, calendar: DataFrame, out: str = "session", date: str = "date") -> DataFrame:
+    """Attach the first trading session at or after a day; null where the calendar does not reach."""
+    days = session_days(calendar, date).select(F.col("day").alias("_day"), F.col("session").alias(out))
+    return df.join(days, F.to_date(day) == F.col("_day"), "left").drop("_day")
+
+
 def align(series: DataFrame, calendar: DataFrame, on: Sequence[str], date: str, values: Sequence[str]) -> DataFrame:
     """Carry a series forward onto another calendar (one row per key and calendar day)."""
     return asof_join(calendar, series, on, date, date, values)

@@ -39,6 +39,13 @@ def replay(spark, sf, job, mode="append", twice=False, close=False):
     return out
 
 
+def sessions(spark, sf):
+    """The trading days of ``b_sessions``."""
+    day = F.to_date("ts")
+    open_day = (F.pmod(F.datediff(day, F.lit("2024-01-01").cast("date")), F.lit(7)) < 5) & ~F.dayofmonth(day).isin(5, 11, 12, 13, 14, 26)
+    return raw(spark, sf, "events").where(open_day).select(day.alias("date")).distinct()
+
+
 def purchases(e):
     return e.where("event_type = 'purchase'").select(
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), "event_id", "ts", (F.col("value") - 50).alias("gap_pct"))
@@ -71,6 +78,24 @@ def latest_signal(spark, sf):
     return jobs.read_latest(spark, out, ["symbol"])
 
 
+# trading sessions with weekends, single holidays and one closing of several days left out
+VIEWS["b_sessions"] = View("""
+SELECT DISTINCT CAST(ts AS DATE) AS date FROM events
+WHERE isodow(CAST(ts AS DATE)) < 6 AND day(CAST(ts AS DATE)) NOT IN (5, 11, 12, 13, 14, 26)""")
+
+
+@book.add("t2_session_signal", "symbol event_id:i gap_pct:f known_from:d", """
+WITH latest AS (
+  SELECT 'U' || user_id AS symbol, max_by(event_id, (ts, event_id)) AS event_id, max_by(value, (ts, event_id)) - 50 AS gap_pct, CAST(max(ts) AS DATE) AS d
+  FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT symbol, event_id, gap_pct, CASE WHEN d >= (SELECT min(date) FROM b_sessions) THEN (SELECT min(date) FROM b_sessions s WHERE s.date >= d) END AS known_from
+FROM latest""")
+def session_signal(spark, sf):
+    calendar = sessions(spark, sf)
+    out = replay(spark, sf, lambda e: jobs.latest_signals(purchases(e), "symbol", "ts", "event_id", ["gap_pct"], calendar), "update")
+    return jobs.read_latest(spark, out, ["symbol"])
+
+
 @book.add("t3_invalidated_signals", "symbol event_id:i gap_pct:f", """
 SELECT 'U' || user_id AS symbol, event_id, value - 50 AS gap_pct FROM events s WHERE event_type = 'purchase' AND EXISTS
  (SELECT 1 FROM events m WHERE m.event_type = 'error' AND m.user_id = s.user_id AND m.event_id % 5 <> 0 AND m.event_id % 3 = 0

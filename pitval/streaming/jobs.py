@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.asof import roll_to_session
 from ..operators.ordering import keep_last
 
 
@@ -73,13 +74,22 @@ def next_session(day: Column) -> Column:
     return F.date_add(day, F.when(F.dayofweek(day) == 7, 2).when(F.dayofweek(day) == 1, 1).otherwise(0))
 
 
-def latest_signals(stream: DataFrame, key: str, event_time: str, tie: str, values: Sequence[str]) -> DataFrame:
+def latest_signals(stream: DataFrame, key: str, event_time: str, tie: str, values: Sequence[str], calendar: DataFrame | None = None) -> DataFrame:
     """Latest signal per key by (event time, tie); an older one arriving late changes nothing.
 
-    A streaming aggregate: map-side combine shrinks a busy key before its state.
+    A streaming aggregate: map-side combine shrinks a busy key before its state. With a
+    ``calendar`` (``date``: the trading sessions) a signal is known from the first session at
+    or after its publication, over weekends, holidays and longer closings alike; the calendar
+    is read anew in every micro-batch, so it may grow while the job stands. A signal
+    published after the last listed session has no day yet: it gets one with the next write
+    of its key, or by ``roll_to_session`` when the log is read. Without a calendar only
+    weekends roll.
     """
     newest = F.max(F.struct(F.col(event_time), F.col(tie), *values)).alias("r")
-    return stream.groupBy(key).agg(newest).select(key, "r.*").withColumn("known_from", next_session(F.to_date(event_time)))
+    latest = stream.groupBy(key).agg(newest).select(key, "r.*")
+    if calendar is None:
+        return latest.withColumn("known_from", next_session(F.to_date(event_time)))
+    return roll_to_session(latest, event_time, calendar, "known_from")
 
 
 def invalidated(signals: DataFrame, events: DataFrame, key: str, published: str, filed: str, life: str, delay: str) -> DataFrame:

@@ -55,6 +55,15 @@ def test_weekend_publication_rolls_forward(spark):
     assert [r.n.day for r in days.select(jobs.next_session(F.col("d")).alias("n")).collect()] == [5, 8, 8, 8, 9]
 
 
+def test_signals_roll_over_holidays_and_closings(spark, land):
+    calendar = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (2, 3, 4, 9, 10, 15)], "date date")
+    rows = [("A", dt.datetime(2024, 1, 3, 22), 1, 0.0), ("B", dt.datetime(2024, 1, 5, 1), 2, 0.0), ("C", dt.datetime(2024, 1, 11), 3, 0.0),
+            ("D", dt.datetime(2024, 1, 15, 23), 4, 0.0), ("E", dt.datetime(2024, 1, 16), 5, 0.0), ("F", dt.datetime(2024, 1, 1), 6, 0.0), ("A", dt.datetime(2024, 1, 10), 7, 0.0)]
+    out = land([rows[:3], rows[3:6], rows[6:]], SIGNALS, lambda s: jobs.latest_signals(s, "symbol", "ts", "event_id", ["gap"], calendar), "update")
+    got = {r.symbol: r.known_from and r.known_from.day for r in jobs.read_latest(spark, out, ["symbol"]).collect()}
+    assert got == {"A": 10, "B": 9, "C": 15, "D": 15, "E": None, "F": None}
+
+
 def test_churn_measures_from_the_last_emitted(spark, land):
     rows = [("A", T0 + dt.timedelta(days=i), i, v) for i, v in enumerate([0.0, 0.1, 0.2, 0.31, 0.35, None, 0.36, 0.2])]
     beat = [("beat", T0 + dt.timedelta(days=40), -1, None)]
