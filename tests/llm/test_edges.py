@@ -81,3 +81,24 @@ def test_vectors(spark):
     got = [tuple(r) for r in neighbours.search(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 100, 0.0), (0, 2, 5, 5 ** 0.5), (100, 1, 0, 0.0), (100, 2, 5, 5 ** 0.5)]
     assert neighbours.search(df.limit(0), F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t \u3000"])
+def test_two_million_blanks_are_packed(spark, blank):
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    text = "a" + (blank * 2_000_000)[:2_000_000] + "b"
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    rows = sorted(packing.pack(df).where("doc_id = 1").collect(), key=lambda r: r["piece"])
+    ids = np.array([*Tokenizer.from_file(packing.tokenizer_folder() + "/byte_bpe_50k.json").encode(text, add_special_tokens=False).ids, packing.END], "<u4")
+    assert sum(r["length"] for r in rows) == len(ids)
+    assert [r["ids_crc32"] for r in rows] == [zlib.crc32(ids[r["start"]:r["start"] + r["length"]]) for r in rows]
+
+
+def test_trusted_counts_do_not_hang_on_the_size_of_a_side(spark, messy, labels):
+    """One plan for all sizes: no broadcast of the keys, however few they are."""
+    plan = quality.ratios(messy, quality.trusted_rows(labels))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
