@@ -1,6 +1,7 @@
 """Phrase collocations by count streams in prefix and suffix order, merged without a hash table."""
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ MAX_WORDS = 5
 MIN_COUNT = 100
 COVER_PERCENT = 100
 TOP = 2000
-CHUNK = 1 << 22
+CHUNK = 1 << 23
+BLOCK = 1 << 16
 #: A-Z to lower case, piece ends to a line feed, tabs to blanks. NUL separates words in keys, so a NUL of the text becomes "!", which no word holds.
 FOLD = bytearray(range(256))
 for _b in range(65, 91):
@@ -44,26 +46,33 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return to, np.arange(to[-1]) + np.repeat(starts - to[:-1], lengths)
 
 
-def window_counts(pieces: list[bytes], head: bytes, width: int) -> pa.StructArray:
-    """``values, counts``: the different windows of up to ``width`` words from every position, behind ``head``."""
+def window_counts(pieces: list[bytes], head: bytes, width: int) -> tuple[pa.Array, np.ndarray]:
+    """The different windows of up to ``width`` words from every position, in order and behind ``head``, and how often each is there."""
     flat = np.frombuffer(b"\n".join([*pieces, b""]), np.uint8)
     ends = np.flatnonzero((flat == 0) | (flat == 10))
     starts = np.concatenate(([0], ends[:-1] + 1))
     closing = np.flatnonzero(flat[ends] == 10)  # the last word of each piece
-    last = np.minimum(np.arange(len(ends)) + width - 1, closing[np.searchsorted(closing, np.arange(len(ends)))])
-    lengths = ends[last] - starts
-    to, at = _ranges(starts, lengths)
-    windows = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(to.astype("<i8")), pa.py_buffer(flat[at])])
-    seen = windows.value_counts()
-    keyed = pc.binary_join_element_wise(pa.scalar(head, pa.large_binary()), seen.field("values"), pa.scalar(b"", pa.large_binary()))
-    return pa.StructArray.from_arrays([keyed, seen.field("counts")], names=["values", "counts"])
-
-
-def windows(docs: DataFrame, text: str, group: str, width: int) -> DataFrame:
-    """``key, n``: windows of up to ``width`` words from every position, counted within chunks of a task.
+    word = np.arange(len(ends))
+    last = np.minimum(word + width - 1, closing[np.searchsorted(closing, word)])
+    parts = []
+    for lo in range(0, len(ends), BLOCK):
+        first, stop = starts[lo:lo + BLOCK], ends[last[lo:lo + BLOCK]]
+        to, at = _ranges(first, stop - first)
+        parts.append(pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(to.astype("<i8")), pa.py_buffer(flat[at])]))
+    windows = pa.concat_arrays(parts)
+    windows = windows.take(pc.sort_indices(windows))
+    new = np.concatenate(([True], pc.not_equal(windows[1:], windows[:-1]).to_numpy(zero_copy_only=False)))
+    begin = np.flatnonzero(new)
+    keys = pc.binary_join_element_wise(pa.scalar(head, pa.large_binary()), windows.take(pa.array(begin)), pa.scalar(b"", pa.large_binary()))
+    return keys, np.diff(np.append(begin, len(new)))
+
+
+def windows(docs: DataFrame, text: str, group: str, width: int, marks: list[bytes]) -> DataFrame:
+    """``part, key, n``: windows of up to ``width`` words from every position, counted and put in order within chunks of a task.
 
     The key is the group, then the words, each behind a NUL: in byte order all phrases that
-    begin with the same words lie together, whatever bytes the words hold.
+    begin with the same words lie together, whatever bytes the words hold. ``part`` counts
+    the ``marks`` at or below the key.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[bytes, list[bytes]] = {}
@@ -71,10 +80,12 @@ def windows(docs: DataFrame, text: str, group: str, width: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for name, pieces in waiting.items():
-                seen = window_counts(pieces, escaped(name) + b"\0", width)
-                for lo in range(0, len(seen), 1 << 16):
-                    part = seen.slice(lo, 1 << 16)
-                    yield pa.RecordBatch.from_arrays([part.field("values").cast(pa.binary()), part.field("counts")], names=["key", "n"])
+                keys, n = window_counts(pieces, escaped(name) + b"\0", width)
+                edges = [bisect_left(range(len(keys)), m, key=lambda i: keys[i].as_py()) for m in marks]
+                part = np.searchsorted(edges, np.arange(len(keys)), "right").astype(np.int32)
+                for lo in range(0, len(keys), BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array(part[lo:lo + BLOCK]), keys[lo:lo + BLOCK].cast(pa.binary()), pa.array(n[lo:lo + BLOCK])],
+                                                     names=["part", "key", "n"])
             waiting.clear()
 
         for batch in batches:
@@ -88,7 +99,18 @@ def windows(docs: DataFrame, text: str, group: str, width: int) -> DataFrame:
         yield from flush()
 
     rows = docs.select(F.coalesce(F.col(group).cast("string"), F.lit("und")).cast("binary").alias("g"), F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(cut, "key binary, n long")
+    return rows.mapInArrow(cut, "part int, key binary, n long")
+
+
+def range_marks(docs: DataFrame, text: str, group: str, width: int, parts: int) -> list[bytes]:
+    """Where to cut the ordered stream into ranges: one short key a range, from a sixteenth of the documents.
+
+    The sample decides nothing but the sizes of the ranges. Letting the exchange find its
+    own ranges would read and cut all texts twice.
+    """
+    some = windows(docs.sample(1 / 16, 7), text, group, width, []).select("key").repartitionByRange(parts, "key")
+    least = some.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.substring("key", 1, 64)).alias("key"))
+    return sorted(bytes(r["key"]) for r in least.collect())[1:]
 
 
 def _flat(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +172,9 @@ def frequent(docs: DataFrame, text: str = "text", group: str = "lang", width: in
 
     One row per position goes into one stream in prefix order, where a phrase of any length
     is a run of neighbours. Each stretch of the sorted stream sums its own runs; what touches
-    its ends is added up afterwards. So nothing is held but one stretch, and a phrase found
-    anywhere is counted in full.
+    its ends is added up afterwards. So nothing is held but one stretch, a phrase found
+    anywhere is counted in full, and it does not matter where ranges are cut. Chunks arrive in
+    order, so the sort of a range only merges them.
     """
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +182,9 @@ def frequent(docs: DataFrame, text: str = "text", group: str = "lang", width: in
                 keys, n = prefix_runs(batch.column(0), batch.column(1).to_numpy(), width, least)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64())], names=["key", "f"])
 
-    ordered = windows(docs, text, group, width).repartitionByRange("key").sortWithinPartitions("key")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = windows(docs, text, group, width, range_marks(docs, text, group, width, parts))
+    ordered = dealt.repartitionById(parts, "part").select("key", "n").sortWithinPartitions("key")
     some = ordered.mapInArrow(runs, "key binary, f long").groupBy("key").agg(F.sum("f").alias("f"))
     return keep(some.where((F.col("f") >= least) | (F.locate("\0", F.col("key").cast("string")) == 0)))
 
