@@ -17,13 +17,22 @@ book = Book()
 VIEWS["b_marks"] = View("""
 SELECT run_id, symbol, option_type, contracts, entry_price, entry_date, exit_date,
        make_date(CAST(floor(m / 12) AS INT), CAST(m % 12 AS INT) + 1, 28) AS date
-FROM (SELECT t.*, year(entry_date) * 12 + month(entry_date) - 1 + k.k AS m
-      FROM {b_trades} AS t CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) AS k(k)) AS x""")
+FROM (SELECT *, year(entry_date) * 12 + month(entry_date) - 1 + k AS m
+      FROM (SELECT *, unnest(range(0, 12 * (year(exit_date) - year(entry_date)) + month(exit_date) - month(entry_date) + 1)) AS k FROM b_trades) AS t) AS x""")
 VIEWS["b_positions"] = View("""
 SELECT run_id, date, symbol, option_type, sum(contracts) AS contracts,
        CAST(sum(CAST(contracts * entry_price AS DECIMAL(18,2))) AS DOUBLE) AS market_value,
        CAST(sum(CAST(contracts * entry_price AS DECIMAL(18,2))) AS DOUBLE) / 100 AS unrealized_pnl
-FROM {b_marks} WHERE date >= entry_date AND date < exit_date GROUP BY run_id, date, symbol, option_type""")
+FROM b_marks WHERE date >= entry_date AND date < exit_date GROUP BY run_id, date, symbol, option_type""")
+
+
+def positions(spark, sf):
+    """The rows of ``b_positions``, by changes instead of a mark for every month of every trade."""
+    money = (F.col("contracts") * F.col("entry_price")).cast("decimal(18,2)")
+    held = lg.positions_on(view(spark, sf, "b_trades"), ["run_id", "symbol", "option_type"],
+                           {"contracts": F.col("contracts").cast("decimal(18,2)"), "market_value": money})
+    value = F.col("market_value").cast("double")
+    return held.withColumns({"contracts": F.col("contracts").cast("double"), "market_value": value, "unrealized_pnl": value / 100}).drop("n_open")
 
 
 def nav(spark, sf):
@@ -175,7 +184,7 @@ JOIN (SELECT run_id, min_by(nav, date) AS nav0 FROM b_nav GROUP BY 1) i ON i.run
 
 
 def curves(spark, sf):
-    return lg.side_curves(nav(spark, sf), view(spark, sf, "b_trades"), view(spark, sf, "b_positions"))
+    return lg.side_curves(nav(spark, sf), view(spark, sf, "b_trades"), positions(spark, sf))
 
 
 @book.add("w15_side_curves", "run_id side date:d nav:f realized_pnl_cumul:f unrealized_pnl:f invested_value:f2 num_positions:i", """
@@ -249,7 +258,7 @@ SELECT run_id, s.side, avg(coalesce(d.mv, 0)) AS avg_market_value_dollar, avg(co
 FROM (SELECT run_id, date, mv FROM b_side_open WHERE side = 'ALL') a CROSS JOIN (VALUES ('CALL'), ('PUT')) s(side)
 LEFT JOIN (SELECT run_id AS r, side AS sd, date AS dt, mv, n FROM b_side_open) d ON d.r = a.run_id AND d.dt = a.date AND d.sd = s.side GROUP BY 1, 2""")
 def valuation_breakdown(spark, sf):
-    return lg.valuation_breakdown(view(spark, sf, "b_positions"))
+    return lg.valuation_breakdown(positions(spark, sf))
 
 
 @book.add("m6_quantity_reconciliation", "run_id option_type bought:f sold:f held:f gap:f", """
@@ -259,7 +268,7 @@ FROM (SELECT run_id, option_type, sum(CASE WHEN side = 'buy' THEN contracts ELSE
 LEFT JOIN (SELECT run_id, option_type, sum(contracts) AS held FROM b_positions p
            WHERE date = (SELECT max(date) FROM b_positions q WHERE q.run_id = p.run_id) GROUP BY 1, 2) h USING (run_id, option_type)""")
 def quantity(spark, sf):
-    return lg.quantity_reconciliation(view(spark, sf, "b_exec"), view(spark, sf, "b_positions"))
+    return lg.quantity_reconciliation(view(spark, sf, "b_exec"), positions(spark, sf))
 
 
 @book.add("m7_pnl_by_exit_reason", "run_id option_type exit_reason num_trades:i pnl_dollar:f avg_return_pct:f median_return_pct:f win_rate_pct:f avg_holding_days:f", """
@@ -429,7 +438,7 @@ FROM (SELECT *, contracts - prev AS bought, prev <= 1e-9 AS is_new
             WINDOW w AS (PARTITION BY run_id, symbol ORDER BY date)) y WHERE contracts > prev + 1e-9) p
 ASOF LEFT JOIN b_brand_gap g ON g.symbol = p.symbol AND p.date >= g.date""")
 def buys(spark, sf):
-    p = view(spark, sf, "b_positions").where("contracts % 5 <> 0").groupBy("run_id", "date", "symbol").agg(F.sum("contracts").alias("contracts"))
+    p = positions(spark, sf).where("contracts % 5 <> 0").groupBy("run_id", "date", "symbol").agg(F.sum("contracts").alias("contracts"))
     return lg.buys_from_positions(p, view(spark, sf, "b_brand_gap"))
 
 

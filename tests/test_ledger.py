@@ -1,6 +1,7 @@
 """Run metrics, sides, reconciliations and audits on small ledgers."""
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -153,3 +154,29 @@ def test_loose_json_and_sections(spark):
     assert out[0].excerpt == ("[Item 1A - Facteurs de risque]\nITEM 1A – Risk factors here.\n\n[Item 3 - Procedures judiciaires]\nItem 3. Legal. Item 37")[:60]
     assert (out[1]["mode"], out[1].excerpt) == ("debut_document", body[:60])
     assert (out[2]["mode"], out[2].excerpt) == ("debut_document", "nothing")
+
+
+def test_positions_of_any_length_against_every_mark(spark):
+    rng = random.Random(5)
+    day = dt.date(2018, 1, 1)
+    rows = [(rng.choice(["A", "B", None]), i, day + dt.timedelta(days=rng.randrange(900)), rng.randrange(1, 50)) for i in range(300)]
+    rows = [(k, i, a, a + dt.timedelta(days=rng.choice([0, 1, 20, 400, 2500])), n) for k, i, a, n in rows] + [("C", 300, day, None, 7), ("C", 301, None, day, 9)]
+    df = spark.createDataFrame(rows, "k string, i int, entry_date date, exit_date date, n long")
+    end = dt.date(2018, 4, 28)
+    got = {(r.k, r.date): (r.n, r.n_open) for r in lg.positions_on(df, ["k"], {"n": F.col("n")}, upto=F.lit(end)).collect()}
+    want = {}
+    for year in range(2018, 2030):
+        for month in range(1, 13):
+            mark = dt.date(year, month, 28)
+            for k, _, a, z, n in rows:
+                if a is not None and a <= mark < (z or end):
+                    s, c = want.get((k, mark), (0, 0))
+                    want[(k, mark)] = (s + n, c + 1)
+    assert got == want
+
+
+def test_positions_need_no_nested_loop(spark, sf):
+    from pitval.plans import ledger_queries
+
+    plan = ledger_queries.positions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
