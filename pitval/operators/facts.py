@@ -110,34 +110,70 @@ def discrete_quarters(periods: DataFrame, keys: Sequence[str]) -> DataFrame:
     return year.select(*keys, "fiscal_year", rows.alias("q")).select(*keys, "fiscal_year", "q.*").where("val is not null")
 
 
-def reported_period(facts: DataFrame, keys: Sequence[str] = ("cik", "accn"), slack: int = 20) -> DataFrame:
-    """Facts with the fiscal year and period their own end belongs to.
+DRIFT = 10  # days by which a period of whole weeks may end before or after its month does
 
-    A report names the year and period of its newest figures only; its comparatives
-    carry the same names. So the newest end of the report is the named period, and an
-    entry that ends whole years earlier (within ``slack`` days) is the same period of an
-    earlier fiscal year. Entries ending at any other time belong to no named period.
+
+def _period_month(end: Column) -> Column:
+    """Months since year 0 of the month a period end stands for: a 52/53-week year closes some days beside its month's end."""
+    near = F.date_sub(end, DRIFT)
+    return F.year(near) * 12 + F.month(near) - 1
+
+
+def _spans(days: Column, quarters: Column) -> Column:
+    """Does a duration cover so many quarters?"""
+    return F.abs(days - 91 * quarters) <= 20
+
+
+def fiscal_months(facts: DataFrame, keys: Sequence[str] = ("cik",)) -> DataFrame:
+    """``keys, fiscal_month``: the month each company's year ends in, as most of its flow facts tell.
+
+    A fact votes if it covers one quarter, or all quarters of the period its report names; its
+    end and the quarters still to come give the year's last month. Comparatives of the same
+    period agree, and facts of other lengths have no vote. Ties go to the later month.
     """
-    keys = list(keys)
-    newest = facts.groupBy(*keys).agg(F.max("end").alias("_newest"))
-    f = facts.join(newest, keys)
-    gap = F.datediff("_newest", "end")
-    back = F.round(gap / 365.25)
-    return f.where(F.abs(gap - back * 365.25) <= slack).withColumn("fiscal_year", (F.col("fy") - back).cast("int")).drop("_newest")
+    n = F.when(F.col("fp") == "FY", 4).otherwise(F.substring("fp", 2, 1).cast("int"))
+    days = duration_days(F.col("start"), F.col("end"))
+    votes = facts.where(F.col("fp").isin("Q1", "Q2", "Q3", "FY") & (_spans(days, n) | (n < 4) & in_window(days, dims.QUARTER_DAYS)))
+    month = (_period_month(F.col("end")) + 3 * (4 - n)) % 12 + 1
+    counted = votes.groupBy(*keys, month.alias("fiscal_month")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(*keys).agg(F.max_by("fiscal_month", F.struct("n", "fiscal_month")).alias("fiscal_month"))
+
+
+def in_fiscal_calendar(facts: DataFrame, keys: Sequence[str] = ("cik",)) -> DataFrame:
+    """Facts with the fiscal year and period (``fp``) that their own end and duration name.
+
+    A report names the year and period of its newest figures only; comparatives and events
+    after the period carry the same names. So each fact is placed by its end in the company's
+    fiscal calendar: it must end within ``DRIFT`` days of a quarter's last month, and cover one
+    quarter, the year to date, or (``FY``) the year. Facts of other ends or lengths belong
+    to no period and go, whatever else their report holds. Companies whose facts tell no
+    calendar have no periods.
+    """
+    f = facts.join(fiscal_months(facts, keys), list(keys))
+    at, end = _period_month(F.col("end")), F.col("end")
+    month_end = F.last_day(F.make_date(F.floor(at / 12).cast("int"), (at % 12 + 1).cast("int"), F.lit(1)))
+    left = (F.col("fiscal_month") - 1 - at % 12 + 12) % 12  # months to the year's end
+    q = 4 - left / 3
+    days = duration_days(F.col("start"), end)
+    year_at = at + left
+    year = F.floor(year_at / 12) - F.when(year_at % 12 + 1 < dims.FISCAL_YEAR_CUTOFF_MONTH, 1).otherwise(0)
+    fits = F.when(left == 0, in_window(days, dims.ANNUAL_DAYS)).otherwise(in_window(days, dims.QUARTER_DAYS) | _spans(days, q))
+    fp = F.when(left == 0, "FY").otherwise(F.concat(F.lit("Q"), q.cast("int").cast("string")))
+    return (f.where((left % 3 == 0) & (F.abs(F.datediff(end, month_end)) <= DRIFT) & fits)
+            .withColumns({"fiscal_year": year.cast("int"), "fp": fp}).drop("fiscal_month"))
 
 
 def quarterly_flows(facts: DataFrame, keys: Sequence[str] = ("cik", "metric")) -> DataFrame:
     """Flow facts (with priority) to discrete quarters: owner tag, quarter-length entries first, latest filing.
 
-    Periods go by the end of each entry, so a comparative never replaces the current figure.
+    Periods go by the end and the length of each entry in the company's own fiscal calendar,
+    so neither a comparative nor an event after the period replaces or hides a figure.
     """
-    f = facts.where(F.col("form").isin("10-Q", "10-K") & F.col("fp").isin("Q1", "Q2", "Q3", "FY")
-                    & F.col("fy").isNotNull() & F.col("val").isNotNull() & F.col("end").isNotNull())
-    f = reported_period(f).withColumn("days", duration_days(F.col("start"), F.col("end")))
+    f = facts.where(F.col("form").isin("10-Q", "10-K") & F.col("val").isNotNull() & F.col("end").isNotNull() & F.col("start").isNotNull())
+    f = in_fiscal_calendar(f).withColumn("days", duration_days(F.col("start"), F.col("end")))
     period = [*keys, "fiscal_year", "fp"]
-    # the full year must be a year, every other period prefers a stand-alone quarter
-    is_year = in_window(F.col("days"), dims.ANNUAL_DAYS)
-    usable = owned_by_best_tag(f.where((F.col("fp") != "FY") | is_year), period)
+    usable = owned_by_best_tag(f, period)
+    # a period other than the year prefers a stand-alone quarter
     short = in_window(F.col("days"), dims.QUARTER_DAYS)
     best = usable.groupBy(*period).agg(F.max_by(
         F.struct("val", "filed", "end", short.alias("direct")), F.struct(short, F.col("filed"), F.col("accn"))).alias("r"))

@@ -96,6 +96,38 @@ def discrete_quarters(spark, sf):
     return fx.discrete_quarters(view(spark, sf, "b_ytd").withColumnRenamed("end_day", "end"), ["custkey"])
 
 
+# raw facts of reports: four fiscal calendars (a third of the companies close on week ends), the figure of
+# the period, the restated one of the year before, and an event after the period
+QUARTER_END = "last_day(make_date(CAST(floor(({m}) / 12) AS INT), CAST(({m}) % 12 AS INT) + 1, 1))"
+NOMINAL = "(fiscal_year + CASE WHEN custkey % 4 = 3 THEN 1 ELSE 0 END) * 12 + 11 - 3 * (custkey % 4)"
+VIEWS["b_periods"] = View(f"""
+SELECT *, CASE WHEN direct OR quarter = 1 THEN {QUARTER_END.format(m=NOMINAL + ' - 3 * (5 - quarter)')}
+               ELSE {QUARTER_END.format(m=NOMINAL + ' - 12')} END + CAST(1 AS INT) AS start_day,
+       {QUARTER_END.format(m=NOMINAL + ' - 3 * (4 - quarter)')} + CAST(CASE WHEN custkey % 3 = 0 THEN (fiscal_year * 5 + quarter) % 11 - 5 ELSE 0 END AS INT) AS end_on
+FROM (SELECT custkey, symbol, fiscal_year, fp, direct, val, filed, CASE WHEN fp = 'FY' THEN 4 ELSE CAST(substr(fp, 2, 1) AS INT) END AS quarter FROM {{b_ytd}}) AS q""")
+VIEWS["b_raw_facts"] = View("""
+SELECT custkey, concat(custkey, '-', fiscal_year, '-', quarter) AS accn, fiscal_year AS fy, fp, start_day, end_on, filed, val FROM {b_periods}
+UNION ALL
+SELECT o.custkey, concat(n.custkey, '-', n.fiscal_year, '-', n.quarter) AS accn, n.fiscal_year AS fy, n.fp, o.start_day, o.end_on, n.filed, 2 * o.val AS val
+FROM {b_periods} AS o JOIN {b_periods} AS n ON n.custkey = o.custkey AND n.quarter = o.quarter AND n.fiscal_year = o.fiscal_year + 1
+UNION ALL
+SELECT custkey, concat(custkey, '-', fiscal_year, '-', quarter) AS accn, fiscal_year AS fy, fp, end_on + CAST(1 AS INT) AS start_day,
+       end_on + CAST(25 AS INT) AS end_on, filed, CAST(5 AS DOUBLE) AS val FROM {b_periods}""")
+VIEWS["b_restated"] = View("""
+SELECT y.custkey, y.fiscal_year, y.fp, y.direct OR y.fp = 'Q1' AS direct, CASE WHEN n.custkey IS NULL THEN y.val ELSE 2 * y.val END AS val, coalesce(n.filed, y.filed) AS filed
+FROM b_ytd y LEFT JOIN b_ytd n ON n.custkey = y.custkey AND n.fp = y.fp AND n.fiscal_year = y.fiscal_year + 1""")
+VIEWS["b_restated_wide"] = View(VIEWS["b_ytd_wide"].text.replace("b_ytd", "b_restated"))
+DISCRETE_SQL = book.items["w9_discrete_quarters"].sql
+
+
+@book.add("w9_quarterly_flows", "custkey:i fiscal_year:i fiscal_quarter val:f2 filed_date:d", DISCRETE_SQL.replace("b_ytd_wide", "b_restated_wide"))
+def quarterly_flows(spark, sf):
+    f = view(spark, sf, "b_raw_facts").withColumnsRenamed({"start_day": "start", "end_on": "end"})
+    f = f.withColumns({"cik": F.col("custkey").cast("string"), "metric": F.lit("revenue"), "priority": F.lit(0),
+                       "form": F.when(F.col("fp") == "FY", "10-K").otherwise("10-Q")})
+    return fx.quarterly_flows(f).withColumn("custkey", F.col("cik").cast("long"))
+
+
 @book.add("w8_trailing_year", "symbol fiscal_year:i fiscal_quarter discrete:f2 filed_date:d ttm_quarters_used", """
 SELECT symbol, fiscal_year, 'Q' || quarter AS fiscal_quarter, CASE WHEN k = 4 THEN total END AS discrete, filed AS filed_date,
        used AS ttm_quarters_used

@@ -113,3 +113,29 @@ def test_a_comparative_never_replaces_the_current_quarter(spark):
         got = {(r.fiscal_year, r.fiscal_quarter): (r.val, str(r.period_end)) for r in fx.quarterly_flows(spark.createDataFrame(order, kind)).collect()}
         # the later filing restates the earlier year; an end that is not whole years back names no period
         assert got == {(2024, "Q1"): (110.0, "2024-03-31"), (2023, "Q1"): (100.0, "2023-03-31")}
+
+
+def test_an_event_after_the_period_does_not_shift_a_report(spark):
+    kind = "cik string, metric string, priority int, accn string, form string, fy int, fp string, start date, end date, filed date, val double"
+    day = dt.date
+    rows = [("1", "revenue", 0, "r24", "10-Q", 2024, "Q1", day(2024, 1, 1), day(2024, 3, 31), day(2024, 5, 1), 110.0),
+            ("1", "revenue", 0, "r24", "10-Q", 2024, "Q1", day(2023, 1, 1), day(2023, 3, 31), day(2024, 5, 1), 100.0),
+            ("1", "revenue", 0, "r24", "10-Q", 2024, "Q1", day(2024, 4, 1), day(2024, 4, 25), day(2024, 5, 1), 7.0),
+            ("1", "revenue", 0, "r24", "10-Q", 2024, "Q1", None, day(2024, 4, 25), day(2024, 5, 1), 8.0)]
+    got = {(r.fiscal_year, r.fiscal_quarter): r.val for r in fx.quarterly_flows(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {(2024, "Q1"): 110.0, (2023, "Q1"): 100.0}
+
+
+def test_years_of_whole_weeks_and_early_year_ends(spark):
+    """A retailer's year of 52 or 53 weeks ends around 31 January and belongs to the year before."""
+    kind = "cik string, metric string, priority int, accn string, form string, fy int, fp string, start date, end date, filed date, val double"
+    day, ends = dt.date, [dt.date(2022, 1, 29), dt.date(2022, 4, 30), dt.date(2022, 7, 30), dt.date(2022, 10, 29), dt.date(2023, 1, 28),
+                          dt.date(2023, 4, 29), dt.date(2023, 7, 29), dt.date(2023, 10, 28), dt.date(2024, 2, 3)]
+    rows = []
+    for i, end in enumerate(ends[1:], 1):
+        q, year = (i - 1) % 4 + 1, 2022 + (i - 1) // 4
+        begin = ends[4 * ((i - 1) // 4)] + dt.timedelta(days=1)
+        rows.append(("1", "revenue", 0, f"r{i:02}", "10-K" if q == 4 else "10-Q", year, "FY" if q == 4 else f"Q{q}", begin, end, end + dt.timedelta(days=40), 100.0 * q + year))
+    got = {(r.fiscal_year, r.fiscal_quarter): r.val for r in fx.quarterly_flows(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {(y, f"Q{q}"): (100.0 + y if q == 1 else 100.0 if q < 4 else 400.0 + y - (300.0 + y)) for y in (2022, 2023) for q in (1, 2, 3, 4)}
+    assert fx.fiscal_months(spark.createDataFrame(rows, kind)).first().fiscal_month == 1
