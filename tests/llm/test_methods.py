@@ -31,7 +31,7 @@ def words(text):
 
 def test_registered():
     names = entry.queries()
-    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 10 and "pipeline" in names
+    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 13 and "pipeline" in names
 
 
 def test_quality_counts(spark, sf, docs):
