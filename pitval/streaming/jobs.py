@@ -10,6 +10,7 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,23 +28,60 @@ def read_landed(spark: SparkSession, path: str, schema: str, batch_bytes: int =
     return reader.option("maxBytesPerTrigger", batch_bytes).parquet(path)
 
 
-def _write_batch(path: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-    return write
+LATE = "batch_id bigint, rows bigint"
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``batch_id, rows``: how many rows of each batch of the log at ``path`` came later than the job's delay."""
+    try:
+        return spark.read.schema(LATE).parquet(f"{path}_late")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LATE)
+
+
+class _Batches:
+    """Writes each micro-batch and notes the late rows of all batches before it.
+
+    A query remembers only its last progress reports, so they are read at every batch: none
+    is missed however long the catch-up. Counts go to a table beside the log at once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.query, self.seen, self.late = spark, path, None, -1, 0
+
+    def note(self) -> None:
+        for p in self.query.recentProgress if self.query else []:
+            if p["batchId"] > self.seen:
+                self.seen, n = p["batchId"], sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"])
+                if n:
+                    self.late += n
+                    self.spark.createDataFrame([(p["batchId"], n)], LATE).coalesce(1).write.mode("append").parquet(f"{self.path}_late")
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        self.note()
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", accept_late: bool = False) -> None:
     """Process everything that has landed, then stop; the next call goes on from the checkpoint.
 
-    Fails if a row came later than the job's delay allows, instead of losing it silently.
+    Fails if a row came later than the job's delay allows, instead of losing it silently,
+    and goes on failing: the count stands in ``late_rows``, and later calls refuse to go on
+    from a checkpoint that has passed such a row. ``accept_late`` goes on and only counts.
     """
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).foreachBatch(_write_batch(path)).start())
+    spark = stream.sparkSession
+    before = 0 if accept_late else late_rows(spark, path).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]  # one number
+    if before:
+        raise RuntimeError(f"{before} rows of earlier batches came later than the delay of the job allows")
+    batches = _Batches(spark, path)
+    query = batches.query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+                             .trigger(availableNow=True).foreachBatch(batches.write).start())
     query.awaitTermination()
-    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
-    if late:
-        raise RuntimeError(f"{late} rows came later than the delay of the job allows")
+    batches.note()
+    if batches.late and not accept_late:
+        raise RuntimeError(f"{batches.late} rows came later than the delay of the job allows")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -100,3 +100,28 @@ def test_rows_later_than_the_delay_fail_the_job(spark, land):
     rows = [("A", T0 + dt.timedelta(days=30), 1, 0.0), ("A", T0 + dt.timedelta(days=31), 2, 0.0), ("A", T0, 3, 0.0)]
     with pytest.raises(RuntimeError, match="later than the delay"):
         land([rows[:1], rows[1:2], rows[2:]], SIGNALS, lambda s: jobs.published_counts(s, "ts", "1 day", "1 hour"), "update")
+
+
+def test_a_restart_does_not_hide_late_rows(spark, tmp_path):
+    """The late row stands in an early batch of a long catch-up, of which only the last reports are kept."""
+    landing, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    days = [30, 31, 0, *range(32, 38)]
+    for i, d in enumerate(days):
+        spark.createDataFrame([("A", T0 + dt.timedelta(days=d), i, 0.0)], SIGNALS).coalesce(1).write.mode("append").parquet(landing)
+
+    def run(**how):
+        jobs.run_available(jobs.published_counts(jobs.read_landed(spark, landing, SIGNALS, batch_files=1), "ts", "1 day", "1 hour"), out, mark, "update", **how)
+
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        with pytest.raises(RuntimeError, match="1 rows came later than the delay"):
+            run()
+        with pytest.raises(RuntimeError, match="1 rows of earlier batches"):
+            run()
+        assert [r.rows for r in jobs.late_rows(spark, out).collect()] == [1]
+        run(accept_late=True)
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+    assert {r.window_start for r in jobs.read_latest(spark, out, ["window_start"]).collect()} == {T0 + dt.timedelta(days=d) for d in days if d}
+    assert [r.rows for r in jobs.late_rows(spark, out).collect()] == [1]
