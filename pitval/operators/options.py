@@ -362,12 +362,15 @@ def add_growth(df: DataFrame) -> DataFrame:
     return out.withColumns({c: F.nanvl(F.col(c), none) for c in ("kelly_fraction", "log_growth")})
 
 
-def best_strike(df: DataFrame, keys: Sequence[str], criterion: str = "kelly") -> DataFrame:
+def best_strike(df: DataFrame, keys: Sequence[str], criterion: str = "kelly", premium: str = "premium") -> DataFrame:
     """Best candidate with a positive edge per key; how many were tried and had none.
 
-    ``df``: candidates (spot, strike, mu, sigma, t, premium, option_type). The choice
-    is a combinable max_by, so a key with many candidates is reduced map-side.
+    ``df``: candidates (spot, strike, mu, sigma, t, option_type, and the column ``premium`` names:
+    a model price, a quoted ask, a middle). The choice is a combinable max_by, so a key with
+    many candidates is reduced map-side. The result calls the premium paid ``premium``.
     """
+    if premium != "premium":
+        df = df.withColumn("premium", F.col(premium).cast("double"))
     if criterion not in ("kelly", "sharpe"):
         raise ValueError(f"criterion must be kelly or sharpe, not {criterion!r}")
     df = cut(payoff_moments(df.where("strike > 0")))  # counted and scored from one evaluation

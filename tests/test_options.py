@@ -161,3 +161,13 @@ def test_one_leg_with_very_many_strikes(spark):
     assert got == {i: float(min(strikes, key=lambda k: (abs(k - w), k))) for i, w in enumerate(wishes)}
     rungs = op.listed_strikes(asked.where("id in (0, -1)"), book).collect()
     assert [r.strike for r in sorted(rungs, key=lambda r: r.rung)] == strikes.tolist() and {r.rung for r in rungs} == set(range(1, len(strikes) + 1))
+
+
+@pytest.mark.parametrize("criterion", ["kelly", "sharpe"])
+def test_the_premium_column_is_an_argument(spark, criterion):
+    base = chain(spark, [("CALL", 100.0, 0.08, 0.3, 1.0, 0.04, 0.0)], "option_type string, spot double, mu double, sigma double, t double, r double, q double")
+    priced = op.price_and_greeks(op.strike_grid(base), vol="sigma").withColumn("ask", F.col("price") * 1.02).withColumn("id", F.lit(1))
+    asked = op.best_strike(priced, ["id"], criterion, premium="ask").first()
+    same = op.best_strike(priced.withColumn("premium", F.col("ask")), ["id"], criterion).first()
+    model = op.best_strike(priced.withColumn("premium", F.col("price")), ["id"], criterion).first()
+    assert asked == same and asked.premium is not None and asked.score < model.score
