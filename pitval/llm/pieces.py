@@ -155,9 +155,11 @@ class Sampler:
             weight[e] = w - np.repeat(top + np.log(total), spread)
         heads = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
         chance = np.exp(weight)
-        summed = np.cumsum(chance)
-        before = np.repeat(np.r_[0.0, summed[heads[1:] - 1]], np.diff(np.r_[heads, len(to)]))
-        share = np.minimum(summed - before, 1.0)
+        share, width = chance.copy(), np.diff(np.r_[heads, len(to)])
+        for k in range(1, width.max(initial=0)):  # every node sums its own edges from zero, so its chances are the same beside any other chunks
+            at = heads[width > k] + k
+            share[at] += share[at - 1]
+        share = np.minimum(share, 1.0)
         share[np.r_[heads[1:] - 1, len(to) - 1]] = 1.0
         self.base = np.r_[self.base, first + self.nodes]
         self.length = np.r_[self.length, size]
