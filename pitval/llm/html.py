@@ -37,25 +37,32 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PUNCTUATION = re.compile(r"[^\w\s]")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
+    """An open or closed element; what follows from the elements around it is copied from its parent, so none looks back at the whole stack."""
     name: str
-    path: str
-    apart: bool
     number: int
-    named: bool = False
-
-
-@dataclass
+    path: int  # number of its path of block tags
+    above: Element | None
+    home: Element | None  # the element itself, or the nearest one around it, that is no inline element
+    named: Element | None  # the same for elements whose class or id hints that they are apart
+    apart: bool  # it or one around it is apart
+    linked: bool  # it or one around it is a link
+    main: int  # number of the outermost article element
+    level: int  # elements around it that are no inline elements
+    parted: bool  # a block ends where it ends
+
+
+@dataclass(slots=True)
 class Block:
-    path: str
+    path: int
     apart: bool
-    chain: tuple[int, ...]
+    home: Element | None
+    main: int
+    named: Element | None
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
-    main: int = 0
-    named: tuple[int, ...] = ()
 
 
 def _listed(value: str) -> bool:
@@ -84,45 +91,52 @@ def _apart(name: str, rest: str) -> tuple[bool, bool]:
 
 
 def blocks(page: str) -> list[Block]:
-    """Text between block-level tags, with its path of block-level tags and the elements it is in; broken markup is repaired as browsers do."""
+    """Text between block-level tags, with its path of block-level tags and the elements it is in; broken markup is repaired as browsers do.
+
+    Time and memory grow with the length of the page, however deep its elements lie.
+    """
     stack: list[Element] = []
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack the open elements of a name are
+    walls: list[int] = []  # where in the stack the open elements are that are no inline elements
+    paths: dict[tuple[int, str], int] = {}
     out: list[Block] = []
     current: Block | None = None
     made, at, n = 0, 0, len(page)
 
-    def shut(down_to: int):
-        del stack[down_to:]
+    def shut(down_to: int) -> bool:
+        """Close elements; whether one of them ends a block."""
+        parted = False
+        while len(stack) > down_to:
+            e = stack.pop()
+            places[e.name].pop()
+            if walls and walls[-1] == len(stack):
+                walls.pop()
+            parted = parted or e.parted
+        return parted
 
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
         name = m[2]
+        top = stack[-1] if stack else None
         if name is None:
             text = m[0]
             if text.startswith("<") and len(text) > 1:
                 continue
             if current is None:
-                top = stack[-1] if stack else None
-                mains = [e.number for e in stack if e.name in MAIN]
-                current = Block(top.path if top else "", any(e.apart for e in stack), tuple(e.number for e in stack if e.name not in INLINE),
-                                main=mains[0] if mains else 0, named=tuple(e.number for e in stack if e.named))
+                current = Block(top.path, top.apart, top.home, top.main, top.named) if top else Block(0, False, None, 0, None)
                 out.append(current)
             current.parts.append(text)
-            if any(e.name == "a" for e in stack):
+            if top and top.linked:
                 current.linked += len(text.strip())
             continue
         name = name.lower()
-        if name not in INLINE:
+        inline = name in INLINE
+        if not inline:
             current = None
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].name == name:
-                    if current is not None and any(e.apart or e.named for e in stack[k:]):
-                        current = None
-                    shut(k)
-                    break
-                if name in INLINE and stack[k].name not in INLINE:
-                    break
+            if places[name] and (not inline or not walls or places[name][-1] > walls[-1]) and shut(places[name][-1]):
+                current = None
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -132,29 +146,64 @@ def blocks(page: str) -> list[Block]:
                 at = close + 1 if close >= 0 else n
             current = None
             continue
-        if name in VOID or m[3].endswith("/") and name not in INLINE | {"div", "p"}:
+        if name in VOID or m[3].endswith("/") and not inline and name not in ("div", "p"):
             continue
-        if name not in INLINE:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].name in CLOSES.get(name, ()):
-                    shut(k)
-                    break
-                if stack[k].name == "p" and name not in INLINE:
-                    shut(k)
-                    break
-                if stack[k].name not in INLINE:
-                    break
+        if not inline and walls and (stack[walls[-1]].name == "p" or stack[walls[-1]].name in CLOSES.get(name, ())):
+            shut(walls[-1])
+            top = stack[-1] if stack else None
         apart, named = _apart(name, m[3])
         if apart or named:
             current = None
-        above = stack[-1].path if stack else ""
         made += 1
-        stack.append(Element(name, above if name in INLINE and name != "a" else f"{above}/{name}", apart, made, named))
+        above = top.path if top else 0
+        e = Element(name, made, above if inline and name != "a" else paths.setdefault((above, name), len(paths) + 1), top, None, None,
+                    apart or bool(top and top.apart), name == "a" or bool(top and top.linked),
+                    top.main if top and top.main else made if name in MAIN else 0, (top.level if top else 0) + (not inline), apart or named)
+        e.home = (top.home if top else None) if inline else e
+        e.named = e if named else top.named if top else None
+        places[name].append(len(stack))
+        if not inline:
+            walls.append(len(stack))
+        stack.append(e)
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
     return [b for b in out if b.text]
 
 
+def _held(starts: list[tuple[Element | None, float]], kind: str) -> dict[int, tuple[Element, float]]:
+    """For every element that is the ``home`` or ``named`` of one of the starts or of an element around it: the sum of the weights in it, innermost elements first.
+
+    An element is made after those around it, so each passes its sum on once.
+    """
+    known: dict[int, Element] = {}
+    held: dict[int, float] = defaultdict(float)
+    for e, w in starts:
+        if e is not None:
+            held[e.number] += w
+        while e is not None and e.number not in known:
+            known[e.number] = e
+            e = getattr(e.above, kind) if e.above else None
+    out = {}
+    for number in sorted(known, reverse=True):
+        e = known[number]
+        out[number] = e, held[number]
+        around = getattr(e.above, kind) if e.above else None
+        if around is not None:
+            held[around.number] += held[number]
+    return out
+
+
+def _within(elements: dict[int, tuple[Element, float]], kind: str, wanted: set[int]) -> set[int]:
+    """Numbers of the elements that are wanted or in a wanted one."""
+    inside = set()
+    for number in reversed(elements):
+        e = elements[number][0]
+        around = getattr(e.above, kind) if e.above else None
+        if number in wanted or around is not None and around.number in inside:
+            inside.add(number)
+    return inside
+
+
 def _smooth(values: list[float], sigma: float = 1.0, reach: int = 2) -> list[float]:
     kernel = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-reach, reach + 1)]
     out = []
@@ -164,7 +213,7 @@ def _smooth(values: list[float], sigma: float = 1.0, reach: int = 2) -> list[flo
     return out
 
 
-def _fused(found: list[Block]) -> tuple[list[float], dict[str, int]]:
+def _fused(found: list[Block]) -> tuple[list[float], dict[int, int]]:
     """The fused ratio at each block, and the number of blocks of each path."""
     lengths, points, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in found:
@@ -179,16 +228,14 @@ def _fused(found: list[Block]) -> tuple[list[float], dict[str, int]]:
 def _unnamed(found: list[Block]) -> list[Block]:
     """The blocks without those in a named element, unless that element holds the article: its mark-up says so, or half of the weight of the ratios."""
     weights = [max(0, len(b.text) - b.linked) * (1 + f) for b, f in zip(found, _fused(found)[0])]
-    held: dict[int, float] = defaultdict(float)
-    for b, w in zip(found, weights):
-        for e in b.named:
-            held[e] += w
-    marked = {e for b in found if b.main for e in b.named}
+    held = _held([(b.named, w) for b, w in zip(found, weights)], "named")
     if any(b.main and not b.named for b in found):  # the article is marked, and not in a named element
         drop = set(held)
     else:
-        drop = {e for e, w in held.items() if e not in marked and 2 * w < sum(weights) or not w}
-    return [b for b in found if drop.isdisjoint(b.named)] or found
+        marked, whole = _held([(b.named, 0.0) for b in found if b.main], "named"), sum(weights)
+        drop = {k for k, (_, w) in held.items() if k not in marked and 2 * w < whole or not w}
+    gone = _within(held, "named", drop)
+    return [b for b in found if b.named is None or b.named.number not in gone] or found
 
 
 def main_text(page: str | None, cut: float = 0.8) -> str:
@@ -216,23 +263,20 @@ def main_text(page: str | None, cut: float = 0.8) -> str:
     for b, f in zip(found, fused):
         per_path[b.path] += f
     chosen = {p for p, total in per_path.items() if total / count[p] >= limit}
-    weight: dict[int, float] = defaultdict(float)
-    whole, depth = 0.0, {}
-    for b, f in zip(found, fused):
-        if b.path in chosen:
-            w = len(b.text) * (1 + f)
-            whole += w
-            for d, e in enumerate(b.chain):
-                weight[e] += w
-                depth[e] = d
-    mains = [b for b in found if b.main and weight[b.main] > 0]
+    heavy = [(b, len(b.text) * (1 + f)) for b, f in zip(found, fused) if b.path in chosen]
+    held, whole = _held([(b.home, w) for b, w in heavy], "home"), sum(w for _, w in heavy)
+    homes = _held([(b.home, 0.0) for b in found], "home")
+    weight = {k: w for k, (_, w) in held.items()}
+    mains = {b.main for b in found if weight.get(b.main, 0.0) > 0}
     home = 0
     if mains:
-        best = max({b.main for b in mains}, key=lambda e: weight[e])
+        best = max(sorted(mains), key=lambda e: weight[e])
         home = best if weight[best] >= 0.5 * whole else 0
     if not home and whole:
-        home = max((e for e in weight if weight[e] >= 0.95 * whole), key=lambda e: depth[e], default=0)
-    return " ".join(b.text for b in found if (not home or home in b.chain) and (b.path in chosen or 2 * b.linked <= len(b.text)))
+        home = max((k for k in sorted(held) if weight[k] >= 0.95 * whole), key=lambda k: held[k][0].level, default=0)
+    inside = _within(homes, "home", {home})
+    return " ".join(b.text for b in found if (not home or b.home is not None and b.home.number in inside)
+                    and (b.path in chosen or 2 * b.linked <= len(b.text)))
 
 
 def text_column(page: str) -> Column:
@@ -245,7 +289,10 @@ def text_column(page: str) -> Column:
 
 
 def extract_text(pages: DataFrame, page: str = "html", text: str = "text") -> DataFrame:
-    """``pages`` with the main text of every page; a null or empty page, or one without text, gives an empty string."""
+    """``pages`` with the main text of every page in the column ``text``, in place of one that is there.
+
+    A null or empty page, or one without text, gives an empty string. Repeated rows give equal texts, an empty table an empty result.
+    """
     return pages.withColumn(text, text_column(page))
 
 
