@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import first_rows, fold, keep, table
 
 SAMPLE_ROWS = 20_000
-MAX_ENTRIES = 2_000
 THRESHOLD = 0.7
 STEM = range(4, 9)
 
@@ -205,7 +204,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     label count once, so that a group of copies does not make its common words toxic. Of entries that begin with
     one another the one with the largest likelihood ratio stays. Words and word pairs in
     which an entry occurs mostly in clean documents become exception phrases, beside
-    those given. At last the score is calibrated on the same rows. No rows of either label: an empty lexicon, which scores everything 0.
+    those given. No number of entries is set: they come from the bounded rows alone, each
+    from texts enough for its ratio. At last the score is calibrated on the same rows. No rows of either label: an empty lexicon, which scores everything 0.
     """
     rows = labels.where(fold(key) != 1).select(F.col(key).alias("key"), F.col(label).alias("y")).where("y in (0, 1) and key is not null").distinct()
     ids = first_rows(rows.where("y = 1"), "key", bound).unionByName(first_rows(rows.where("y = 0"), "key", bound))
@@ -217,14 +217,17 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = (F.col("toxic") + F.col("clean")) / (n[0] + n[1])
     ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / n[1] / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n[0] / share)).otherwise(0.0))
     found = (_tally(sample, "text", "y", stems).where(F.col("toxic") >= min_docs).withColumns({"w": weight, "g": ratio})
-             .where((F.col("w") >= min_weight) & (F.col("g") >= evidence)).orderBy(F.desc("g"), "entry").limit(8 * MAX_ENTRIES).collect())
+             .where((F.col("w") >= min_weight) & (F.col("g") >= evidence)).collect())
     places = _places(sample.where("y = 1"), Lexicon({r["entry"]: r["w"] for r in found}))
     found = [r for r in found if places.get(r["entry"], 0) >= min_docs]
     weights: dict[str, float] = {}
+    begun: set[str] = set()
     for r in sorted(found, key=lambda r: (-round(r["g"], 6), -len(r["entry"]), r["entry"])):  # of stems of one another only the most telling
         e = r["entry"]
-        if len(weights) < MAX_ENTRIES and not any(e.startswith(x) or x.startswith(e) for x in weights):
+        heads = [e[:n] for n in range(1, len(e) + 1)]
+        if e not in begun and not any(h in weights for h in heads):
             weights[e] = r["w"]
+            begun.update(heads)
     top = sorted(weights.items(), key=lambda e: (-e[1], e[0]))
     plain = Lexicon(dict(top))
 
@@ -238,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return out
 
     benign = (_tally(sample, "text", "y", contexts).where(F.col("clean") >= min_docs).withColumn("w", weight).where(F.col("w") < 0)
-              .orderBy(F.desc("clean"), "entry").limit(MAX_ENTRIES).collect())
+              .orderBy(F.desc("clean"), "entry").collect())
     excused = [*(f" {' '.join(folded(e).split())} " for e in exceptions), *(r["entry"] for r in benign)]
     lexicon = Lexicon(dict(top), tuple(dict.fromkeys(excused)))
     return replace(lexicon, calibration=_calibrate(sample, lexicon))
