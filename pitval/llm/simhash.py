@@ -104,36 +104,42 @@ def links(prints: DataFrame, distance: int = 2, parts: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2, parts: int = 2) -> DataFrame:
-    """``key, fp, component_id`` per row; the component is the smallest key reachable over links.
+    """``key, fp, component_id, text_hash, component`` per row; ``component_id`` is the smallest key reachable over links.
 
+    ``component`` is the smallest fingerprint reachable: unlike texts that share a key are not linked by it.
     Exact copies share a fingerprint and are grouped before any pair is looked for,
     so a large group of copies is one node. Nulls and empty texts have fingerprint 0
     and are linked like any other. Rows with a null key get their own fingerprint's
     component (null if no key is known there). Repeated rows are returned as often
     as they come. An empty table gives an empty result. Other columns are ignored.
     """
-    marks = cut(docs.select(F.col(key).alias("key"), fingerprint_column(text, width).alias("fp")))
-    nodes = marks.groupBy("fp").agg(F.min("key").alias("node"))
-    roots = components(links(nodes.where("node is not null"), distance, parts))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return marks.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    marks = cut(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), fingerprint_column(text, width).alias("fp")))
+    nodes = marks.groupBy("fp").agg(F.min("key").alias("first"))
+    roots = components(links(nodes.select("fp", F.col("fp").alias("node")), distance, parts)).withColumnRenamed("node", "fp")
+    named = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    return marks.join(named.join(least, "component").drop("first"), "fp").select(F.col("key").alias(key), "fp", "component_id", "text_hash", "component")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest key.
+    """One document of each group of near duplicates: the one with the smallest key, of equal keys with the smallest text hash.
 
-    Rows that repeat the key of a kept document count as one document; of those the
-    row with the smallest text hash stays. Rows without a key have no group and stay.
+    Rows that repeat both key and text of a kept document count as one document. Rows
+    that share a key and not their texts are documents of their own. Rows without a key have no group and stay.
     """
     return first_of_each(docs, near_duplicates(docs, key, text, **how), key, text)
 
 
 def first_of_each(docs: DataFrame, near: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key is the ``component_id`` that ``near`` gives it; one row a key, and all rows without a key."""
-    first = near.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    row = free(docs, "row")
-    kept = (docs.join(first, key, "left_semi").groupBy(key)
-            .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias(row)).select(f"{row}.*"))
+    """The first document of every ``component`` in ``near``, by key, then hash of the text; one of rows that repeat both, and all rows without a key.
+
+    Null and empty texts are documents like any other. An empty table stays empty.
+    """
+    first = (near.where(F.col(key).isNotNull()).groupBy("component").agg(F.min(F.struct(F.col(key).alias("k"), F.col("text_hash").alias("t"))).alias("first"))
+             .select("first.*").withColumnsRenamed({"k": (mine := free(docs, "k")), "t": (its := free(docs, "t"))}))
+    row, plain = free(docs, "row"), [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    kept = (docs.join(first, (docs[key] == F.col(mine)) & (F.xxhash64(docs[text]) == F.col(its)), "left_semi").groupBy(key, F.xxhash64(text))
+            .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias(row)).select(f"{row}.*"))
     return stack(kept.select(*docs.columns), docs.where(F.col(key).isNull()))
 
 

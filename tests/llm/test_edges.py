@@ -102,3 +102,46 @@ def test_trusted_counts_do_not_hang_on_the_size_of_a_side(spark, messy, labels):
     """One plan for all sizes: no broadcast of the keys, however few they are."""
     plan = quality.ratios(messy, quality.trusted_rows(labels))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_unlike_texts_that_share_a_key_lose_nothing_of_each_other(spark):
+    words = [" ".join(f"{c}{i}word" for i in range(12)) for c in "abcdefg"]
+    a, b, c, d, e, f, g = words
+    rows = [(1, f"{a}\n{b}"), (2, f"{c}\n{a}"), (2, f"{d}\n{e}"), (2, f"{d}\n{e}"), (3, f"{f}\n{e}\n{g}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r["doc_id"], r["text"]) for r in lines.dedupe_lines(docs).collect())
+    assert out == sorted([(1, f"{a}\n{b}"), (2, c), (2, f"{d}\n{e}"), (2, f"{d}\n{e}"), (3, f"{f}\n{g}")])
+    rows = [(2, a), (2, b), (2, b), (5, f"{a} more"), (6, c), (None, c), (7, None), (8, ""), (7, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(2, a), (2, b), (6, c), (7, None), (None, c)]
+    for out in (corpus_pipeline.near_duplicate_stage(spark, docs, ""), simhash.keep_first(docs)):
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert sorted([x for x in got if x[0] != 5], key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("part", ["<div>word, ", "<b>x <div>word, ", "<i><div><b>t, </i>", "<ul><li class=sidebar>x <p>t. ", "<a>x </p>"])
+def test_pages_of_very_many_tags_take_time_by_their_length(part):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        assert html.main_text(part * n)
+        return time.process_time() - start
+
+    seconds(100)
+    small = seconds(10_000)
+    assert seconds(80_000) < 24 * small + 1  # 8 times the length; the square would be 64 times the time
+
+
+def test_chances_do_not_hang_on_the_chunks_beside():
+    import numpy as np
+
+    def chances(texts):
+        s = pieces.Sampler(pieces.piece_model(), 1.0)
+        s.sample(texts, [0] * len(texts))
+        k = s.at["reproducible"]
+        edges = np.flatnonzero((s.back >= s.base[k]) & (s.back < s.base[k] + s.length[k]))
+        return s.cdf[edges].tobytes(), s.piece[edges].tobytes(), (s.back[edges] - s.base[k]).tobytes()
+
+    alone = chances(["reproducible"])
+    assert len(alone[0]) > 100 and alone == chances([" ".join(f"other{i}words" for i in range(3000)), "reproducible", "and more"])
