@@ -40,8 +40,22 @@ def _running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], step:
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "pos") -> DataFrame:
-    """Exact row number per key in ``order`` (which must be total), for keys of any size."""
-    return _running(df, keys, order, F.lit(1), out)
+    """Exact row number per key in ``order`` (which must be total), for keys of any size.
+
+    A range exchange lays the rows out in order and each range numbers its own through,
+    frozen by a checkpoint. A key's rows lie side by side in a range, so its first number
+    there and the count of its rows in earlier ranges are all that the rows still need:
+    one small row per key and range, and no second exchange or sort of the rows.
+    """
+    keys = list(keys)
+    by = [*[F.col(k) for k in keys], *order]
+    laid = cut(df.repartitionByRange(*by).sortWithinPartitions(*by)
+               .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    sizes = laid.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_part", (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return null_safe_join(laid, offsets, [*keys, "_part"], "inner").withColumn(out, F.col("_at") + F.col("_shift")) \
+        .drop("_part", "_at", "_shift")
 
 
 def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:

@@ -7,15 +7,18 @@ order statistic over a growing (and, with membership, shrinking) multiset:
 
 1. every row is an insertion at its position, leaving and re-entering members
    are removals and insertions at their dates, and every row is also a question;
-2. positions come from ``ranked``, so a cohort is cut into blocks of bounded size;
-3. values are cut into at most ~500 classes per cohort (quantile splits, values
-   equal to a split get a class of their own, so ties cannot overfill a class);
-4. per (cohort, block) the class holding the wanted rank is found from the class
-   counts carried into the block plus the block's own events;
-5. per (cohort, class, block of questions) the value itself is found.
+2. values are numbered in their order within the cohort, equal ones each for itself, and
+   the numbers are cut into classes: about the square root of the cohort, 4,096 at least;
+3. positions in time come from ``ranked`` too and are cut into blocks of bounded size;
+4. per (cohort, block) the class holding the wanted rank is found from the class counts
+   carried into the block plus the block's own events;
+5. per (cohort, class, block) the number, so the value, is found in the same way.
 
-If a count shows that every cohort is small, one pass over whole cohorts does.
-Otherwise no task ever holds a whole cohort: a block or a class is the largest unit.
+A question goes down two levels and an event stays in its own block at both. What is
+repeated are the counts carried into a block: one per class, and one per number of a class
+for every block whose questions reach that class. For a cohort of n rows these are about
+n ** 1.5 / BLOCK_ROWS and n, so fewer than the rows up to n = BLOCK_ROWS ** 2. No task holds
+a cohort; the plan is the same for all sizes, and no count on the driver chooses a step.
 """
 from __future__ import annotations
 
@@ -23,7 +26,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut, stack
@@ -31,9 +33,8 @@ from .ordering import null_safe_join, ranked
 from .spans import OPEN_START
 
 BLOCK_ROWS = 200_000
-CLASS_ROWS = 50_000
-SPLITS = 255
-STRIDE = 16
+CLASS_ROWS = 4_096
+MARK = "struct<value:double,node:long,child:long>"
 PUT, ASK, CARRY = 1, 2, 3
 
 
@@ -97,63 +98,41 @@ def _in_block(table: pa.Table) -> pa.Table:
 
 
 def _in_class(table: pa.Table) -> pa.Table:
-    """Step 5 for one (cohort, metric, class, block of questions): the values."""
-    kind, weight, seq, rank, end = (_ints(table, c) for c in ("kind", "weight", "seq", "rank", "end"))
-    order = np.lexsort((end, seq))
+    """Step 5 for one (cohort, metric, class, block): the values of the block's questions."""
+    kind, child, weight, seq, rank, end = (_ints(table, c) for c in ("kind", "child", "weight", "seq", "rank", "end"))
+    values = table.column("value").combine_chunks().to_numpy(zero_copy_only=False).astype(float)
+    held = kind != ASK
+    value_of = np.full(int(child.max()) + 1, np.nan)
+    value_of[child[held]] = values[held]
+    carry = np.zeros(len(value_of), dtype=np.int64)
+    np.add.at(carry, child[kind == CARRY], weight[kind == CARRY])
+    live = np.flatnonzero(kind != CARRY)
+    order = live[np.lexsort((end[live], seq[live]))]
     asked = kind[order] == ASK
-    values = table.column("value").combine_chunks().to_numpy(zero_copy_only=False)[order].astype(float)
-    levels, level = np.unique(values[~asked], return_inverse=True)
-    code = np.zeros(len(order), dtype=np.int64)
-    code[~asked] = level
-    found, _ = nth_in_stream(code, np.where(asked, 0, weight[order]), np.where(asked, rank[order], 0),
-                             np.zeros(len(levels), dtype=np.int64))
-    rows = table.take(pa.array(order[asked])).select(["cohort", "metric", "row_id", "end", "visible"])
-    return rows.append_column("value", pa.array(levels[found[asked]]))
-
-
-def _whole(min_peers: int):
-    """Both steps at once for a (cohort, metric) small enough for one task."""
-    def solve(table: pa.Table) -> pa.Table:
-        keys = [(c, "ascending") for c in ("phase", "at", "layer", "tie", "step")]
-        table = table.take(pc.sort_indices(table, sort_keys=keys))
-        kind, weight = _ints(table, "kind"), _ints(table, "weight")
-        asked = kind == ASK
-        values = table.column("value").combine_chunks().to_numpy(zero_copy_only=False).astype(float)
-        levels, level = np.unique(values[~asked], return_inverse=True)
-        code = np.zeros(len(kind), dtype=np.int64)
-        code[~asked] = level
-        visible = np.cumsum(weight)
-        median = np.full(len(kind), np.nan)
-        if len(levels):
-            none = np.zeros(len(levels), dtype=np.int64)
-            ends = [levels[np.minimum(nth_in_stream(code, weight, np.where(asked, want, 0), none)[0], len(levels) - 1)]
-                    for want in ((visible + 1) // 2, visible // 2 + 1)]
-            median = np.where(visible >= max(min_peers, 1), (ends[0] + ends[1]) / 2, np.nan)
-        rows = table.filter(pa.array(asked)).select(["row_id", "metric"])
-        return rows.append_column("visible", pa.array(visible[asked])).append_column(
-            "median", pa.array(median[asked], mask=np.isnan(median[asked])))
-    return solve
+    found, _ = nth_in_stream(child[order], np.where(asked, 0, weight[order]), np.where(asked, rank[order], 0), carry)
+    rows = table.take(pa.array(order[asked])).select(["metric", "row_id", "visible"])
+    return rows.append_column("value", pa.array(value_of[found[asked]]))
 
 
 def _events(rows: DataFrame, spans: DataFrame | None) -> DataFrame:
-    """Changes and questions of one table of (cohort, metric, filed, tie, symbol, row_id, value)."""
+    """Changes and questions of one table of (cohort, metric, filed, tie, symbol, row_id, mark)."""
     dated = F.col("filed").isNotNull()
     # order within a cohort: phase, day, 0 = membership change / 1 = rows, tie key, step
     ask = rows.select("cohort", "metric", "row_id", F.lit(ASK).alias("kind"), F.lit(0).alias("weight"),
-                      F.lit(None).cast("double").alias("value"),
+                      F.lit(None).cast(MARK).alias("mark"),
                       F.when(dated, 0).otherwise(2).alias("phase"), F.col("filed").alias("at"),
                       F.lit(1).alias("layer"), "tie", F.lit(1).alias("step"))
     cols = ask.columns
-    valued = rows.where("value is not null")
-    entry = valued.select("cohort", "metric", "row_id", F.lit(PUT).alias("kind"), F.lit(1).alias("weight"), "value",
+    valued = rows.where("mark is not null")
+    entry = valued.select("cohort", "metric", "row_id", F.lit(PUT).alias("kind"), F.lit(1).alias("weight"), "mark",
                           F.when(dated, 0).otherwise(1).alias("phase"), F.col("filed").alias("at"),
                           F.lit(1).alias("layer"), "tie", F.lit(2).alias("step"), "symbol", "filed")
     # a row without a date sees its whole cohort except itself: take it out around its question
     aside = valued.where(~dated).select(
-        "cohort", "metric", "row_id", F.lit(PUT).alias("kind"), "value", "tie",
+        "cohort", "metric", "row_id", F.lit(PUT).alias("kind"), "mark", "tie",
         F.explode(F.array(F.struct(F.lit(-1).alias("weight"), F.lit(0).alias("step")),
                           F.struct(F.lit(1).alias("weight"), F.lit(2).alias("step")))).alias("_m")) \
-        .select("cohort", "metric", "row_id", "kind", F.col("_m.weight").alias("weight"), "value",
+        .select("cohort", "metric", "row_id", "kind", F.col("_m.weight").alias("weight"), "mark",
                 F.lit(2).alias("phase"), F.lit(None).cast("date").alias("at"), F.lit(1).alias("layer"), "tie",
                 F.col("_m.step").alias("step"))
     if spans is None:
@@ -166,19 +145,19 @@ def _events(rows: DataFrame, spans: DataFrame | None) -> DataFrame:
             F.col("s").isNull() | F.col("filed").isNull() | F.col("e").isNull() | (F.col("e") > F.col("filed")))
         late = F.col("s") > F.col("filed")
         begin = joined.where(F.col("filed").isNotNull()).select(
-            "cohort", "metric", "row_id", "kind", "weight", "value", "phase",
+            "cohort", "metric", "row_id", "kind", "weight", "mark", "phase",
             F.when(late, F.col("s")).otherwise(F.col("at")).alias("at"),
             F.when(late, 0).otherwise(1).alias("layer"), "tie", "step")
         finish = joined.where(F.col("filed").isNotNull() & F.col("e").isNotNull()).select(
-            "cohort", "metric", "row_id", "kind", F.lit(-1).alias("weight"), "value", "phase", F.col("e").alias("at"),
+            "cohort", "metric", "row_id", "kind", F.lit(-1).alias("weight"), "mark", "phase", F.col("e").alias("at"),
             F.lit(0).alias("layer"), "tie", F.lit(0).alias("step"))
         # questions without a date see every member or not: bring all back after the dated phase
         undated = entry.where(F.col("filed").isNull()).select(*cols)
         away = entry.where(F.col("filed").isNotNull()).select(
-            "cohort", "metric", "row_id", "kind", "weight", "value", F.lit(1).alias("phase"),
+            "cohort", "metric", "row_id", "kind", "weight", "mark", F.lit(1).alias("phase"),
             F.lit(None).cast("date").alias("at"), F.lit(1).alias("layer"), "tie", F.lit(2).alias("step"))
         gone = stack(begin, finish).select(
-            "cohort", "metric", "row_id", "kind", (-F.col("weight")).alias("weight"), "value",
+            "cohort", "metric", "row_id", "kind", (-F.col("weight")).alias("weight"), "mark",
             F.lit(1).alias("phase"), F.lit(None).cast("date").alias("at"), F.lit(0).alias("layer"), "tie",
             F.lit(3).alias("step"))
         has_undated = rows.where(F.col("filed").isNull()).select("cohort", "metric").distinct()
@@ -199,6 +178,23 @@ def _disjoint(spans: DataFrame, floor_day: Column) -> DataFrame:
     return stack(inside, before.select("symbol", F.col("date").alias("s"), F.col("date").alias("e")))
 
 
+def carried(puts: DataFrame, asked: DataFrame, within: Sequence[str], child: str) -> DataFrame:
+    """What each child of a node holds before every block that asks for the node.
+
+    ``puts``: (within, child, block, weight, value); ``asked``: (within, block, fan), a node
+    and how many children it can have. Events are summed per child and block before they move.
+    """
+    held = puts.groupBy(*within, child, "block").agg(F.sum("weight").alias("weight"), F.max("value").alias("value"))
+    wanted = asked.where("block > 0").select(*within, F.explode(F.sequence(F.lit(0).cast("long"), F.col("fan") - 1)).alias(child), "block",
+                                             F.lit(0).cast("long").alias("weight"), F.lit(True).alias("wanted"))
+    both = stack(held, wanted).groupBy(*within, child, "block").agg(
+        F.sum("weight").alias("weight"), F.max("value").alias("value"), F.max("wanted").alias("wanted"))
+    earlier = Window.partitionBy(*within, child).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = both.select(*within, child, "block", "wanted", F.sum("weight").over(earlier).alias("weight"),
+                         F.max("value").over(earlier).alias("value"))
+    return before.where("wanted and weight <> 0").drop("wanted").withColumn("kind", F.lit(CARRY))
+
+
 def visible_medians(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str], filed: str, tie: str,
                     symbol: str = "symbol", spans: DataFrame | None = None, min_peers: int = 5,
                     block_rows: int = BLOCK_ROWS, class_rows: int = CLASS_ROWS) -> DataFrame:
@@ -206,7 +202,9 @@ def visible_medians(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str]
 
     ``tie`` must be unique within a cohort and day. ``spans`` (symbol,
     start_date, end_date) restricts peers to members on the row's own day. ``df``
-    is read twice; hand in a checkpointed one if it is costly.
+    is read twice; hand in a checkpointed one if it is costly. A task meets at most
+    ``block_rows`` events, the questions among them and the counts of one class or of all
+    classes; ``class_rows`` is the least size of a class.
     """
     row_key = [*cohort, filed, tie]
     keyed = df.select(F.struct(*cohort).alias("cohort"), F.col(filed).alias("filed"), F.col(tie).alias("tie"),
@@ -215,87 +213,46 @@ def visible_medians(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str]
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")) \
         .select("cohort", "filed", "tie", "symbol", F.to_json("row_id").alias("row_id"), "_m.*")
     long = long.withColumn("cohort", F.to_json("cohort"))
-    log = _events(long, spans)
-    biggest = log.groupBy("cohort", "metric").count().agg(F.max("count")).first()[0] or 0
-    if biggest <= class_rows:
-        # checked: every cohort fits one task
-        seen = log.groupBy("cohort", "metric").applyInArrow(
-            _whole(min_peers), "row_id string, metric string, visible long, median double")
-        return _attach(df, seen, row_key, metrics)
+    # the number of a row's value among the values of its cohort; rows without one come last
+    numbered = ranked(long, ["cohort", "metric"], [F.col("value").asc_nulls_last(), F.col("row_id")], "number")
+    sizes = long.groupBy("cohort", "metric").agg(F.count("value").alias("_n")).select(
+        "cohort", "metric", F.greatest(F.lit(class_rows), F.ceil(F.sqrt("_n"))).cast("long").alias("width"), "_n") \
+        .withColumn("classes", F.greatest(F.ceil(F.col("_n") / F.col("width")), F.lit(1)).cast("long")).drop("_n")
+    number = F.col("number") - 1
+    marked = numbered.join(sizes, ["cohort", "metric"]).withColumn("mark", F.when(F.col("value").isNotNull(), F.struct(
+        "value", F.floor(number / F.col("width")).alias("node"), (number % F.col("width")).alias("child"))))
+    log = _events(marked.select("cohort", "metric", "filed", "tie", "symbol", "row_id", "mark"), spans)
     events = ranked(log, ["cohort", "metric"],
                     [F.col(c) for c in ("phase", "at", "layer", "tie", "step", "weight", "row_id")], "seq")
-    events = events.select("cohort", "metric", "seq", "row_id", "kind", "weight", "value",
-                           F.floor(F.col("seq") / block_rows).alias("block"))
-
-    # classes: splits only for cohorts too big for one class
-    puts = events.where(f"kind = {PUT} and weight > 0")
-    cuts = puts.groupBy("cohort", "metric").agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("value", [(i + 1) / (SPLITS + 1) for i in range(SPLITS)],
-                                                           2_000).alias("_cuts"))
-    cuts = cuts.select("cohort", "metric", F.when(F.col("_n") > class_rows, F.array_distinct("_cuts"))
-                       .otherwise(F.array().cast("array<double>")).alias("_cuts"))
-    # two-step search: every 16th split first, then the 16 that follow; a value equal to a split is odd
-    cuts = cuts.withColumn("_marks", F.filter("_cuts", lambda _, i: (i + 1) % STRIDE == 0))
-    coarse = F.size(F.filter("_marks", lambda s: s < F.col("value"))) * STRIDE
-    coded = events.join(cuts, ["cohort", "metric"], "left").withColumn("_from", coarse)
-    less = F.col("_from") + F.size(F.filter(F.slice("_cuts", F.col("_from") + 1, F.lit(STRIDE)), lambda s: s < F.col("value")))
-    coded = coded.withColumn("_less", less)
-    equal = F.coalesce(F.try_element_at("_cuts", F.col("_less") + 1) == F.col("value"), F.lit(False))
-    code = F.col("_less") * 2 + F.when(equal, 1).otherwise(0)
-    coded = coded.withColumn("code", F.when(F.col("kind") == PUT, code).otherwise(0)).drop("_cuts", "_marks", "_from", "_less")
-    coded = cut(coded)
+    events = cut(events.select("cohort", "metric", F.floor(F.col("seq") / block_rows).alias("block"), "seq", "row_id", "kind",
+                               F.col("weight").cast("long").alias("weight"), "mark.*"))
+    puts = events.where(f"kind = {PUT}")
 
-    # class counts carried into each block
-    per_block = coded.where(f"kind = {PUT}").groupBy("cohort", "metric", "code", "block") \
-        .agg(F.sum("weight").alias("weight"))
-    blocks = coded.select("cohort", "metric", "block").distinct()
-    w = Window.partitionBy("cohort", "metric", "code").orderBy("block")
-    until = per_block.select("cohort", "metric", "code", "block",
-                             F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("weight"),
-                             F.lead("block").over(w).alias("_next"))
-    final = blocks.groupBy("cohort", "metric").agg(F.max("block").alias("_last"))
-    until = until.join(final, ["cohort", "metric"]) \
-        .withColumn("_stop", F.coalesce("_next", F.col("_last"))).where("_stop > block")
-    carry = until.select("cohort", "metric", "code", "weight",
-                         F.explode(F.sequence(F.col("block") + 1, F.col("_stop"))).alias("block")).where("weight <> 0")
-    shape = ["cohort", "metric", "block", "seq", "row_id", "kind", "weight", "code"]
-    in_blocks = stack(coded.select(*shape), carry.select(
-        "cohort", "metric", "block", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("row_id"),
-        F.lit(CARRY).alias("kind"), F.col("weight").cast("int").alias("weight"), "code").select(*shape))
-    asked = in_blocks.groupBy("cohort", "metric", "block").applyInArrow(
+    # the class of each wanted rank
+    blocks = events.select("cohort", "metric", "block").distinct().join(sizes, ["cohort", "metric"]).withColumn("fan", F.col("classes"))
+    classes = carried(puts, blocks, ["cohort", "metric"], "node").drop("value")
+    in_blocks = stack(events.drop("value", "child"), classes).withColumnRenamed("node", "code")
+    asked = cut(in_blocks.groupBy("cohort", "metric", "block").applyInArrow(
         _in_block, "cohort string, metric string, block long, seq long, row_id string, end int, "
-                   "visible long, code int, rank long")
-    asked = cut(asked)
+                   "visible long, code int, rank long"))
 
-    # values: an odd class holds one value only; an even one meets the blocks of questions that reached it
-    enough = asked.where(F.col("visible") >= max(min_peers, 1))
-    single = coded.where(f"kind = {PUT} and code % 2 = 1").groupBy("cohort", "metric", "code") \
-        .agg(F.max("value").alias("value"))
-    known = enough.where("code % 2 = 1").join(single, ["cohort", "metric", "code"]) \
-        .select("cohort", "metric", "row_id", "end", "visible", "value")
-    enough = enough.where("code % 2 = 0")
-    reached = enough.select("cohort", "metric", "code", "block").distinct()
-    members = coded.where(f"kind = {PUT} and code % 2 = 0") \
-        .select("cohort", "metric", "code", "seq", "weight", "value")
-    supply = members.join(reached, ["cohort", "metric", "code"]).select(
-        "cohort", "metric", "code", "block", "seq", F.lit(PUT).alias("kind"), "weight", "value",
-        F.lit(None).cast("long").alias("rank"), F.lit(None).cast("string").alias("row_id"),
-        F.lit(None).cast("int").alias("end"), F.lit(None).cast("long").alias("visible"))
-    demand = enough.select("cohort", "metric", "code", "block", "seq", F.lit(ASK).alias("kind"),
-                           F.lit(0).alias("weight"), F.lit(None).cast("double").alias("value"), "rank", "row_id",
-                           "end", "visible")
-    ends = stack(supply, demand).groupBy("cohort", "metric", "code", "block").applyInArrow(
-        _in_class, "cohort string, metric string, row_id string, end int, visible long, value double")
-    ends = stack(ends, known)
-    medians = ends.groupBy("row_id", "metric").agg(F.avg("value").alias("median"))
-    seen = asked.where("end = 0").select("row_id", "metric", "visible").join(medians, ["row_id", "metric"], "left")
-    return _attach(df, seen, row_key, metrics)
+    # the value inside the class, for the classes and blocks that questions reached
+    node = ["cohort", "metric", "node"]
+    questions = asked.where(F.col("visible") >= max(min_peers, 1)).withColumn("node", F.col("code").cast("long"))
+    reached = questions.select(*node, "block").distinct()
+    values = carried(puts, reached.join(sizes, ["cohort", "metric"]).withColumn("fan", F.col("width")), node, "child")
+    supply = puts.join(reached, [*node, "block"], "leftsemi").drop("row_id")
+    demand = questions.select(*node, "block", "seq", "row_id", F.lit(ASK).alias("kind"), "rank", "end", "visible")
+    ends = stack(demand, supply, values).groupBy(*node, "block").applyInArrow(
+        _in_class, "metric string, row_id string, visible long, value double")
+    few = asked.where(F.col("visible") < max(min_peers, 1)).select("metric", "row_id", "visible")
+    return _attach(df, stack(ends, few), row_key, metrics)
 
 
 def _attach(df: DataFrame, seen: DataFrame, row_key: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """Answers (row_id, metric, visible, median) back as columns of the rows."""
+    """Answers (row_id, metric, visible, value: the two middle ones) back as columns of the rows."""
     wide = seen.groupBy("row_id").agg(*[e for m in metrics for e in (
-        F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"{m}_median"),
+        F.avg(F.when(F.col("metric") == m, F.col("value"))).alias(f"{m}_median"),
         F.max(F.when(F.col("metric") == m, F.col("visible"))).alias(f"{m}_n_peers"))])
     out = df.withColumn("_row_id", F.to_json(F.struct(*row_key)))
     joined = out.join(wide, out["_row_id"] == wide["row_id"], "left").drop("_row_id", "row_id")

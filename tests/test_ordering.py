@@ -150,6 +150,19 @@ def test_visible_medians_match_brute_force(spark, limits, with_spans):
         assert got[k][1] == n and (got[k][0] is None) == (m is None) and (m is None or got[k][0] == pytest.approx(m, rel=1e-12)), k
 
 
+def test_counts_carried_between_blocks_follow_the_rows(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(peers, "carried", lambda *a, real=peers.carried: tables.append(real(*a)) or tables[-1])
+    rng = random.Random(9)
+    sizes = []
+    for n in (500, 1000):
+        tables.clear()
+        rows = [("S", f"C{i}", DAY + dt.timedelta(days=rng.randrange(300)), i, rng.uniform(1, 60)) for i in range(n)]
+        peers.visible_medians(frame(spark, rows), ["sector"], ["pe"], "filed", "tie", block_rows=100, class_rows=8)
+        sizes.append(sum(t.count() for t in tables))
+    assert 0 < sizes[0] < 2 * 500 and sizes[1] < 2 ** 1.5 * 1.2 * sizes[0]
+
+
 def test_adding_later_filers_changes_no_earlier_row(spark):
     rows = [("S", f"C{i}", DAY + dt.timedelta(days=i), i, 10.0 + i) for i in range(12)]
     short = answer(peers.visible_medians(frame(spark, rows[:8]), ["sector"], ["pe"], "filed", "tie"))
