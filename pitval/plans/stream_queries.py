@@ -161,3 +161,21 @@ def archive_latest(spark, sf):
 def published_counts(spark, sf):
     out = replay(spark, sf, lambda e: jobs.published_counts(purchases(e), "ts", "1 day", DELAY), "update")
     return jobs.read_latest(spark, out, ["window_start"])
+
+
+@book.add("t8_sliding_counts", "window_start:d n:i", """
+SELECT CAST(ts AS DATE) - CAST(back AS INT) AS window_start, count(*) AS n FROM events, (SELECT unnest(range(3)) AS back) b
+WHERE event_type = 'purchase' AND CAST(ts AS DATE) - CAST(back AS INT) + INTERVAL 3 DAY <= (SELECT max(ts) + INTERVAL 1 SECOND FROM events) GROUP BY 1""")
+def sliding_counts(spark, sf):
+    out = replay(spark, sf, lambda e: jobs.published_counts(with_beat(e), "ts", "3 days", DELAY, "1 day"), close=True)
+    return jobs.read_log(spark, out).select("window_start", "n")
+
+
+@book.add("t8_published_sessions", "symbol started:d n:i", """
+WITH p AS (SELECT 'U' || user_id AS symbol, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events WHERE event_type = 'purchase'),
+     r AS (SELECT symbol, ts, count_if(was IS NULL OR ts >= was + INTERVAL 1 DAY) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM p)
+SELECT symbol, CAST(min(ts) AS DATE) AS started, count(*) AS n FROM r GROUP BY symbol, run
+HAVING max(ts) + INTERVAL 1 DAY <= (SELECT max(ts) + INTERVAL 1 SECOND FROM events)""")
+def published_sessions(spark, sf):
+    out = replay(spark, sf, lambda e: jobs.published_sessions(with_beat(e), "symbol", "ts", "1 day", DELAY), close=True)
+    return jobs.read_log(spark, out).select("symbol", "started", "n")

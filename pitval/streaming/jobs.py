@@ -238,7 +238,21 @@ def archive(stream: DataFrame, path: str, checkpoint: str, date: str = "snapshot
     query.awaitTermination()
 
 
-def published_counts(stream: DataFrame, event_time: str, width: str, delay: str) -> DataFrame:
-    """Published events per tumbling window; late rows within the watermark still count."""
-    return stream.withWatermark(event_time, delay).groupBy(F.window(event_time, width).alias("w")).agg(
+def published_counts(stream: DataFrame, event_time: str, width: str, delay: str, slide: str | None = None) -> DataFrame:
+    """Published events per window, tumbling or, with ``slide``, overlapping; late rows within the watermark still count.
+
+    In append mode a window comes out once, when the watermark has passed its end; one that
+    is still open has no row yet.
+    """
+    return stream.withWatermark(event_time, delay).groupBy(F.window(event_time, width, slide).alias("w")).agg(
         F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "n")
+
+
+def published_sessions(stream: DataFrame, key: str, event_time: str, gap: str, delay: str) -> DataFrame:
+    """Runs of events of a key, each less than ``gap`` after the one before, once the watermark has passed their end.
+
+    A row that arrives late but within the watermark may join two runs. The state holds one
+    row per open run, whatever its number of events.
+    """
+    return stream.withWatermark(event_time, delay).groupBy(key, F.session_window(event_time, gap).alias("w")).agg(
+        F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")

@@ -125,3 +125,22 @@ def test_a_restart_does_not_hide_late_rows(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
     assert {r.window_start for r in jobs.read_latest(spark, out, ["window_start"]).collect()} == {T0 + dt.timedelta(days=d) for d in days if d}
     assert [r.rows for r in jobs.late_rows(spark, out).collect()] == [1]
+
+
+def at(hours):
+    return ("A", T0 + dt.timedelta(hours=hours), hours, 0.0)
+
+
+def test_a_late_row_joins_two_runs_into_one_session(spark, land):
+    out = land([[at(0)], [at(20)], [at(10)], [at(40)], [at(500)]], SIGNALS,
+               lambda s: jobs.published_sessions(s, "symbol", "ts", "12 hours", "2 days"))
+    got = sorted((r.started, r.ended, r.n) for r in jobs.read_log(spark, out).collect())
+    # hours 0, 10 and 20 are one run; the run of hour 500 is still open
+    assert got == [(at(0)[1], at(32)[1], 3), (at(40)[1], at(52)[1], 1)]
+
+
+def test_overlapping_windows_come_out_once_when_they_have_closed(spark, land):
+    out = land([[at(1)], [at(30)], [at(26)], [at(500)]], SIGNALS,
+               lambda s: jobs.published_counts(s, "ts", "2 days", "2 days", "1 day"))
+    got = sorted((r.window_start, r.n) for r in jobs.read_log(spark, out).collect())
+    assert got == [(T0 - dt.timedelta(days=1), 1), (T0, 3), (T0 + dt.timedelta(days=1), 2)]
