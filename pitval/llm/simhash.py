@@ -143,6 +143,19 @@ def first_of_each(docs: DataFrame, near: DataFrame, key: str = "doc_id", text: s
     return stack(kept.select(*docs.columns), docs.where(F.col(key).isNull()))
 
 
+def merged(near: DataFrame, also: DataFrame) -> DataFrame:
+    """The rows of ``near`` with its ``component`` joined to others where ``also``, made of the same texts, holds texts of both in one.
+
+    Only components that differ in the two give a link, so few rows go into the union.
+    """
+    both = (near.select("text_hash", F.col("component").alias("a")).distinct()
+            .join(also.select("text_hash", F.col("component").alias("other")).distinct(), "text_hash").select("a", "other").distinct())
+    least = both.groupBy("other").agg(F.min("a").alias("b"))
+    roots = components(both.join(least, "other").where("a <> b").select("a", "b")).withColumnRenamed("node", "component")
+    out = near.drop("component_id").join(roots, "component", "left")
+    return out.withColumn("component", F.coalesce("root", "component")).drop("root")
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -46,6 +46,24 @@ def test_near_duplicate_stage_against_all_pairs(spark):
     assert got == want and len(want) < 0.8 * len(texts)
 
 
+def test_near_duplicate_stage_takes_the_links_of_simhash_too(spark):
+    import xxhash
+
+    def simhash_of(text):
+        w = text.split()
+        bits = [xxhash.xxh64_intdigest(" ".join(w[i:i + 3]).encode(), 42) for i in range(len(w) - 2)]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in bits) > len(bits))
+
+    # one much repeated shingle fixes the fingerprint, while most different shingles differ
+    a, b, c = (" ".join(["word"] * 400 + [f"{t}{i}" for i in range(40)]) for t in "abc")
+    unlike = [" ".join(f"{t}{i}" for i in range(60)) for t in "de"]
+    assert all((simhash_of(a) ^ simhash_of(x)).bit_count() <= 2 for x in (b, c)) and (simhash_of(a) ^ simhash_of(unlike[0])).bit_count() > 2
+    assert len(word_shingles(a) & word_shingles(b)) < 0.8 * len(word_shingles(a) | word_shingles(b))
+    close = b + " last words"  # like b by its shingles, and so in a's group through b
+    docs = spark.createDataFrame(list(enumerate([a, close, b, c, *unlike])), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 4, 5]
+
+
 def removed_lines(spark, texts, **how):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     return {r["doc_id"] for r in lines.dedupe_lines(docs, **how).collect() if r["removed"]}
