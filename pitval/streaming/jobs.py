@@ -6,10 +6,11 @@ last write per key. Nothing passes through the driver.
 """
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -143,8 +144,32 @@ def invalidated(signals: DataFrame, events: DataFrame, key: str, published: str,
     return s.join(e, within, "left_semi")
 
 
-def _micros(t) -> int:
-    return pd.Timestamp(t).value // 1000
+GROUPS = 256
+
+
+def _in_groups(stream: DataFrame, key: str, groups: int) -> DataFrame:
+    """The stream with ``_group``: keys share a state and a call, as a call for each key and batch costs more than its rows."""
+    return stream.withColumn("_group", F.pmod(F.hash(key), F.lit(groups)))
+
+
+NEVER = -(1 << 63) // 1000
+
+
+def _micros(at: str) -> Column:
+    """Microseconds of an event time; a row without one comes before all others."""
+    return F.coalesce(F.unix_micros(at), F.lit(NEVER))
+
+
+def _times(micros: pd.Series) -> pd.Series:
+    return pd.to_datetime(micros.where(micros != NEVER), unit="us")
+
+
+def _pack(rows: pd.DataFrame) -> bytes:
+    return pa.ipc.serialize_pandas(rows.reset_index(drop=True), preserve_index=False).to_pybytes()
+
+
+def _unpack(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.deserialize_pandas(packed)
 
 
 def _wake(state: GroupState, first: int) -> None:
@@ -152,37 +177,37 @@ def _wake(state: GroupState, first: int) -> None:
     state.setTimeoutTimestamp(max(first // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
 
-def expired(stream: DataFrame, key: str, event_time: str, tie: str, life_days: int, delay: str) -> DataFrame:
+def expired(stream: DataFrame, key: str, event_time: str, tie: str, life_days: int, delay: str, groups: int = GROUPS) -> DataFrame:
     """Signals whose life ended without a successor, as soon as the watermark says so.
 
-    Rows wait in the key's state until the watermark passes them, so they are taken in
-    event order however they arrive. The state holds what one key publishes within the delay.
+    Rows wait in a state until the watermark passes them, so they are taken in event order
+    however they arrive. ``groups`` states share the keys by hash; one holds what its keys
+    publish within the delay, and all of its rows are taken at once.
     """
     life = life_days * 86_400_000_000
 
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = list(zip(*state.get)) if state.exists else []
-        for rows in batches:
-            waiting += [(_micros(at), int(ident)) for at, ident in zip(rows[event_time], rows[tie])]
-        waiting.sort()
-        now, out, first = state.getCurrentWatermarkMs() * 1000, [], 0
-        while first < len(waiting) and waiting[first][0] + life < now:  # all that could follow within its life has come
-            at, ident = waiting[first]
-            if first + 1 == len(waiting) or waiting[first + 1][0] > at + life:
-                out.append((k[0], ident, pd.Timestamp(at, unit="us")))
-            first += 1
-        rest = waiting[first:]
-        if rest:
-            state.update(([at for at, _ in rest], [ident for _, ident in rest]))
-            _wake(state, rest[0][0] + life)
+    def step(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = pd.concat([*([_unpack(state.get[0])] if state.exists else []), *batches], ignore_index=True)
+        waiting = waiting.sort_values(["key", "at", "ident"], ignore_index=True)
+        over = waiting["at"] + life < state.getCurrentWatermarkMs() * 1000  # all that could follow within its life has come
+        name = waiting["key"].fillna("")
+        named = waiting["key"].notna()
+        last = (name != name.shift(-1)) | (named != named.shift(-1))
+        out = waiting[over & (last | (waiting["at"].shift(-1) > waiting["at"] + life))]
+        rest = waiting[~over]
+        if len(rest):
+            state.update((_pack(rest),))
+            _wake(state, int(rest["at"].min()) + life)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=[key, tie, "published"])
+        if len(out):
+            yield pd.DataFrame({key: out["key"], tie: out["ident"], "published": _times(out["at"])})
 
-    slim = stream.withWatermark(event_time, delay).select(key, event_time, tie)
-    return slim.groupBy(key).applyInPandasWithState(
-        step, f"{key} string, {tie} long, published timestamp", "at array<long>, ident array<long>", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    slim = _in_groups(stream.withWatermark(event_time, delay).select(key, event_time, tie), key, groups).select(
+        "_group", F.col(key).alias("key"), event_time, _micros(event_time).alias("at"), F.col(tie).alias("ident"))
+    return slim.groupBy("_group").applyInPandasWithState(
+        lambda k, batches, state: step(k, (rows[["key", "at", "ident"]] for rows in batches), state),
+        f"{key} string, {tie} long, published timestamp", "waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_verdicts(stream: DataFrame, keys: Sequence[str], event_time: str, verdict: str, delay: str) -> DataFrame:
@@ -191,44 +216,42 @@ def first_verdicts(stream: DataFrame, keys: Sequence[str], event_time: str, verd
         .dropDuplicatesWithinWatermark(list(keys))
 
 
-def churn_filter(stream: DataFrame, key: str, event_time: str, tie: str, value: str, epsilon: float, delay: str) -> DataFrame:
+def churn_filter(stream: DataFrame, key: str, event_time: str, tie: str, value: str, epsilon: float, delay: str, groups: int = GROUPS) -> DataFrame:
     """Pass a row on only when it moved more than epsilon from the last row passed on.
 
     Small moves are measured against the last *emitted* value, so a slow drift
-    adds up; an unknown value always passes and leaves no reference. Rows wait in the
-    key's state until the watermark passes them and are then taken in event order; the
-    state holds what one key publishes within the delay. Columns are numbers or strings
-    beside the event time.
+    adds up; an unknown value always passes and leaves no reference. Rows wait in a
+    state until the watermark passes them and are then taken in event order; ``groups``
+    states share the keys by hash, and one holds what its keys publish within the delay and
+    their last values. Columns are numbers or strings beside the event time.
     """
     columns = stream.columns
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
-    at, by = columns.index(event_time), columns.index(tie)
-    of = columns.index(value)
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = (state.get[0], json.loads(state.get[1])) if state.exists else (None, [])
-        for rows in batches:
-            for r in rows[columns].itertuples(index=False):
-                r = [None if pd.isna(v) else v.item() if hasattr(v, "item") and not isinstance(v, pd.Timestamp) else v for v in r]
-                r[at] = _micros(r[at])
-                waiting.append(r)
-        waiting.sort(key=lambda r: (r[at], r[by]))
-        now, keep, done = state.getCurrentWatermarkMs() * 1000, [], 0
-        while done < len(waiting) and waiting[done][at] < now:
-            v = waiting[done][of]
-            if v is None or last is None or abs(v - last) > epsilon:
-                keep.append(waiting[done])
-                last = v
-            done += 1
-        rest = waiting[done:]
-        state.update((last, json.dumps(rest)))
-        if rest:
-            _wake(state, rest[0][at])
-        out = pd.DataFrame([[pd.Timestamp(v, unit="us") if i == at else v for i, v in enumerate(r)] for r in keep], columns=columns)
-        yield out
-
-    return stream.withWatermark(event_time, delay).groupBy(key).applyInPandasWithState(
-        step, types, "last double, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+
+    def step(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, held = ([_unpack(x) for x in state.get] if state.exists else (None, None))
+        last = {} if known is None else dict(zip(known["key"], known["last"]))
+        waiting = pd.concat([*([] if held is None else [held]), *batches], ignore_index=True).sort_values(["_at", tie], ignore_index=True, kind="stable")
+        due = waiting["_at"] < state.getCurrentWatermarkMs() * 1000
+        ready, passed = waiting[due], []
+        for k, v in zip(ready[key], ready[value]):
+            before = last.get(k, math.nan)
+            passed.append(not abs(v - before) <= epsilon)  # an unknown value, or none before it, compares with nothing
+            if passed[-1]:
+                last[k] = v
+        rest = waiting[~due]
+        state.update((_pack(pd.DataFrame({"key": pd.Series(list(last), dtype=object), "last": pd.Series(list(last.values()), dtype=float)})), _pack(rest)))
+        if len(rest):
+            _wake(state, int(rest["_at"].min()))
+        out = ready[passed]
+        if len(out):
+            yield out.assign(**{event_time: _times(out["_at"])})[columns]
+
+    watched = _in_groups(stream.withWatermark(event_time, delay), key, groups).withColumn("_at", _micros(event_time))
+    kept = [*[c for c in columns if c != event_time], "_at"]
+    return watched.groupBy("_group").applyInPandasWithState(
+        lambda k, batches, state: step(k, (rows[kept] for rows in batches), state),
+        types, "last binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def archive(stream: DataFrame, path: str, checkpoint: str, date: str = "snapshot_date") -> None:

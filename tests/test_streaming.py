@@ -79,6 +79,31 @@ def test_signals_expire_without_a_successor(spark, land):
     assert sorted(r.event_id for r in jobs.read_log(spark, out).collect()) == [2, 3]
 
 
+def test_keys_that_share_a_state_do_not_meet(spark, land):
+    import random
+    rng = random.Random(3)
+    rows = [(k, T0 + dt.timedelta(hours=rng.randint(0, 400)), i, rng.choice([None, rng.random()]))
+            for i, k in enumerate(rng.choices([None, "", *[f"K{n}" for n in range(40)]], k=400))]
+    end = max(r[1] for r in rows)
+    beat = [("beat", end + dt.timedelta(days=20, seconds=1), -1, None)]
+    cut = [rows[:150], rows[150:300], rows[300:], beat]
+    over, moved = set(), set()
+    for k in {r[0] for r in rows}:
+        mine = sorted((at, i, v) for key, at, i, v in rows if key == k)
+        last = None
+        for (at, i, v), after in zip(mine, [*mine[1:], None]):
+            if (after is None or after[0] > at + dt.timedelta(days=1)) and at + dt.timedelta(days=1) <= end:
+                over.add(i)
+            if v is None or last is None or abs(v - last) > 0.4:
+                moved.add(i)
+                last = v
+    out = land(cut, SIGNALS, lambda s: jobs.expired(s, "symbol", "ts", "event_id", 1, "20 days", groups=2))
+    assert {r.event_id for r in jobs.read_log(spark, out).collect()} == over
+    out = land(cut, SIGNALS, lambda s: jobs.churn_filter(s, "symbol", "ts", "event_id", "gap", 0.4, "20 days", groups=2))
+    got = {r.event_id: (r.symbol, r.ts, r.gap) for r in jobs.read_log(spark, out).collect()}
+    assert set(got) == moved and all(got[i] == (k, at, v) for k, at, i, v in rows if i in moved)
+
+
 def test_dedupe_leaves_non_verdicts_for_a_retry(spark, land):
     schema = "symbol string, accession long, filed timestamp, materiality boolean"
     rows = [("A", 1, T0, True), ("A", 1, T0, True), ("A", 2, T0, None), ("A", 2, T0 + dt.timedelta(minutes=5), False)]
