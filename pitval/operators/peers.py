@@ -8,7 +8,7 @@ order statistic over a growing (and, with membership, shrinking) multiset:
 1. every row is an insertion at its position, leaving and re-entering members
    are removals and insertions at their dates, and every row is also a question;
 2. values are numbered in their order within the cohort, equal ones each for itself, and
-   the numbers are cut into classes: about the square root of the cohort, 4,096 at least;
+   the numbers are cut into classes: about the square root of the cohort, 1,024 at least;
 3. positions in time come from ``ranked`` too and are cut into blocks of bounded size;
 4. per (cohort, block) the class holding the wanted rank is found from the class counts
    carried into the block plus the block's own events;
@@ -19,6 +19,8 @@ repeated are the counts carried into a block: one per class, and one per number
 for every block whose questions reach that class. For a cohort of n rows these are about
 n ** 1.5 / BLOCK_ROWS and n, so fewer than the rows up to n = BLOCK_ROWS ** 2. No task holds
 a cohort; the plan is the same for all sizes, and no count on the driver chooses a step.
+Cohorts and rows go through the steps as hashes of 64 bits, metrics as numbers, so that what
+is sorted and sent to Python is numbers only: a row is known by both hashes together.
 """
 from __future__ import annotations
 
@@ -32,8 +34,8 @@ from ..session import cut, stack
 from .ordering import null_safe_join, ranked
 from .spans import OPEN_START
 
-BLOCK_ROWS = 200_000
-CLASS_ROWS = 4_096
+BLOCK_ROWS = 32_768
+CLASS_ROWS = 1_024
 MARK = "struct<value:double,node:long,child:long>"
 PUT, ASK, CARRY = 1, 2, 3
 
@@ -85,7 +87,7 @@ def _in_block(table: pa.Table) -> pa.Table:
     asked = kind[live] == ASK
     change = np.where(asked, 0, weight[live])
     visible = np.cumsum(change) + carry.sum()
-    rows = table.take(pa.array(live[asked])).select(["cohort", "metric", "block", "seq", "row_id"])
+    rows = table.select(["cohort", "metric", "block", "seq", "row_id"]).take(pa.array(live[asked]))
     seen = visible[asked]
     parts = []
     for end, want in ((0, (visible + 1) // 2), (1, visible // 2 + 1)):
@@ -110,7 +112,7 @@ def _in_class(table: pa.Table) -> pa.Table:
     order = live[np.lexsort((end[live], seq[live]))]
     asked = kind[order] == ASK
     found, _ = nth_in_stream(child[order], np.where(asked, 0, weight[order]), np.where(asked, rank[order], 0), carry)
-    rows = table.take(pa.array(order[asked])).select(["metric", "row_id", "visible"])
+    rows = table.select(["cohort", "metric", "row_id", "visible"]).take(pa.array(order[asked]))
     return rows.append_column("value", pa.array(value_of[found[asked]]))
 
 
@@ -206,13 +208,12 @@ def visible_medians(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str]
     ``block_rows`` events, the questions among them and the counts of one class or of all
     classes; ``class_rows`` is the least size of a class.
     """
-    row_key = [*cohort, filed, tie]
-    keyed = df.select(F.struct(*cohort).alias("cohort"), F.col(filed).alias("filed"), F.col(tie).alias("tie"),
-                      F.col(symbol).alias("symbol"), F.struct(*row_key).alias("row_id"), *metrics)
+    row_key = [filed, tie]
+    keyed = df.select(_hash(cohort).alias("cohort"), F.col(filed).alias("filed"), F.col(tie).alias("tie"),
+                      F.col(symbol).alias("symbol"), _hash(row_key).alias("row_id"), *metrics)
     long = keyed.select("cohort", "filed", "tie", "symbol", "row_id", F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")) \
-        .select("cohort", "filed", "tie", "symbol", F.to_json("row_id").alias("row_id"), "_m.*")
-    long = long.withColumn("cohort", F.to_json("cohort"))
+        F.struct(F.lit(i).alias("metric"), F.col(m).cast("double").alias("value")) for i, m in enumerate(metrics)])).alias("_m")) \
+        .select("cohort", "filed", "tie", "symbol", "row_id", "_m.*")
     # the number of a row's value among the values of its cohort; rows without one come last
     numbered = ranked(long, ["cohort", "metric"], [F.col("value").asc_nulls_last(), F.col("row_id")], "number")
     sizes = long.groupBy("cohort", "metric").agg(F.count("value").alias("_n")).select(
@@ -233,7 +234,7 @@ def visible_medians(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str]
     classes = carried(puts, blocks, ["cohort", "metric"], "node").drop("value")
     in_blocks = stack(events.drop("value", "child"), classes).withColumnRenamed("node", "code")
     asked = cut(in_blocks.groupBy("cohort", "metric", "block").applyInArrow(
-        _in_block, "cohort string, metric string, block long, seq long, row_id string, end int, "
+        _in_block, "cohort long, metric int, block long, seq long, row_id long, end int, "
                    "visible long, code int, rank long"))
 
     # the value inside the class, for the classes and blocks that questions reached
@@ -244,16 +245,22 @@ def visible_medians(df: DataFrame, cohort: Sequence[str], metrics: Sequence[str]
     supply = puts.join(reached, [*node, "block"], "leftsemi").drop("row_id")
     demand = questions.select(*node, "block", "seq", "row_id", F.lit(ASK).alias("kind"), "rank", "end", "visible")
     ends = stack(demand, supply, values).groupBy(*node, "block").applyInArrow(
-        _in_class, "metric string, row_id string, visible long, value double")
-    few = asked.where(F.col("visible") < max(min_peers, 1)).select("metric", "row_id", "visible")
-    return _attach(df, stack(ends, few), row_key, metrics)
-
-
-def _attach(df: DataFrame, seen: DataFrame, row_key: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """Answers (row_id, metric, visible, value: the two middle ones) back as columns of the rows."""
-    wide = seen.groupBy("row_id").agg(*[e for m in metrics for e in (
-        F.avg(F.when(F.col("metric") == m, F.col("value"))).alias(f"{m}_median"),
-        F.max(F.when(F.col("metric") == m, F.col("visible"))).alias(f"{m}_n_peers"))])
-    out = df.withColumn("_row_id", F.to_json(F.struct(*row_key)))
-    joined = out.join(wide, out["_row_id"] == wide["row_id"], "left").drop("_row_id", "row_id")
+        _in_class, "cohort long, metric int, row_id long, visible long, value double")
+    few = asked.where(F.col("visible") < max(min_peers, 1)).select("cohort", "metric", "row_id", "visible")
+    return _attach(df, stack(ends, few), cohort, row_key, metrics)
+
+
+def _hash(columns: Sequence[str]) -> Column:
+    """64 bits of the values; nulls count, each at its place."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+
+
+def _attach(df: DataFrame, seen: DataFrame, cohort: Sequence[str], row_key: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Answers (cohort, row_id, metric, visible, value: the two middle ones) back as columns of the rows."""
+    wide = seen.groupBy(F.col("cohort").alias("_its_cohort"), F.col("row_id").alias("_its_row")).agg(*[e for i, m in enumerate(metrics) for e in (
+        F.avg(F.when(F.col("metric") == i, F.col("value"))).alias(f"{m}_median"),
+        F.max(F.when(F.col("metric") == i, F.col("visible"))).alias(f"{m}_n_peers"))])
+    out = df.withColumns({"_cohort": _hash(cohort), "_row": _hash(row_key)})
+    joined = out.join(wide, (F.col("_cohort") == F.col("_its_cohort")) & (F.col("_row") == F.col("_its_row")), "left")
+    joined = joined.drop("_cohort", "_row", "_its_cohort", "_its_row")
     return joined.withColumns({f"{m}_n_peers": F.coalesce(F.col(f"{m}_n_peers"), F.lit(0)) for m in metrics})

@@ -148,3 +148,22 @@ def test_momentum_counts_in_the_direction_of_the_gap(spark):
         return {r.symbol for r in sg.eligible(grid, signals, spans, material, momentum, held, **how).collect()}
     assert kept() == {"CALL_UP", "PUT_UP", "NO_HISTORY", "HELD"}
     assert kept(oriented=True) == {"CALL_UP", "PUT_DOWN", "ZERO", "UNKNOWN", "NO_HISTORY", "HELD"}
+
+
+def test_medians_of_cohorts_with_nulls_move_numbers_only(spark, monkeypatch):
+    import random
+    import statistics
+
+    from pitval.operators import peers
+    rng, seen = random.Random(5), []
+    rows = [(a, b, dt.date(2020, 1, 1) + dt.timedelta(days=rng.randint(0, 60)), i, f"S{i}", rng.choice([None, rng.random()]))
+            for i, (a, b) in enumerate(rng.choices([("x", None), (None, "x"), ("x", "x"), (None, None)], k=240))]
+    df = spark.createDataFrame(rows, "a string, b string, filed date, tie long, symbol string, m double")
+    attach = peers._attach
+    monkeypatch.setattr(peers, "_attach", lambda df, answers, *rest: seen.extend(answers.dtypes) or attach(df, answers, *rest))
+    out = peers.visible_medians(df, ["a", "b"], ["m"], "filed", "tie", block_rows=32, class_rows=8).collect()
+    assert {kind for _, kind in seen} <= {"bigint", "int", "double"}
+    for r in out:
+        values = [v for a, b, f, i, _, v in rows if (a, b) == (r.a, r.b) and (f, i) < (r.filed, r.tie) and v is not None]
+        assert r.m_n_peers == len(values)
+        assert r.m_median is None if len(values) < 5 else abs(r.m_median - statistics.median(values)) < 1e-12
