@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import dims
-from ..session import cut
+from ..session import cut, keep
 from .asof import Lookup, asof_join, asof_lookup
 from .ordering import exact_quantiles
 from .spans import with_membership
@@ -308,6 +308,7 @@ def quantity_reconciliation(executions: DataFrame, positions: DataFrame, keys: S
 
 def pnl_by_exit_reason(trades: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     g = [*keys, "option_type", "exit_reason"]
+    trades = keep(trades.select(*g, "pnl", "return_pct", "holding_days"))  # read three times
     out = trades.groupBy(*g).agg(
         F.count(F.lit(1)).alias("num_trades"), F.sum("pnl").alias("pnl_dollar"), F.avg("return_pct").alias("avg_return_pct"),
         (F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)) * 100).alias("win_rate_pct"), F.avg("holding_days").alias("avg_holding_days"))

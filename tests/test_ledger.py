@@ -180,3 +180,13 @@ def test_positions_need_no_nested_loop(spark, sf):
 
     plan = ledger_queries.positions(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_trades_are_made_once_for_the_figures_by_exit_reason(spark, sf):
+    from pitval.plans.bindings import view
+    out = lg.pnl_by_exit_reason(view(spark, sf, "b_trades"))
+    assert "lineitem" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = [("r", "CALL", "x", 10.0, 1.0, 5.0), ("r", "CALL", "x", -4.0, 2.0, 7.0), ("r", "CALL", "x", 1.0, 6.0, 9.0)]
+    trades = spark.createDataFrame(rows, "run_id string, option_type string, exit_reason string, pnl double, return_pct double, holding_days double")
+    got = lg.pnl_by_exit_reason(trades).collect()
+    assert [(r.num_trades, r.pnl_dollar, r.avg_return_pct, r.median_return_pct, r.avg_holding_days) for r in got] == [(3, 7.0, 3.0, 2.0, 7.0)]
