@@ -172,9 +172,9 @@ def quarterly_flows(facts: DataFrame, keys: Sequence[str] = ("cik", "metric")) -
     f = facts.where(F.col("form").isin("10-Q", "10-K") & F.col("val").isNotNull() & F.col("end").isNotNull() & F.col("start").isNotNull())
     f = in_fiscal_calendar(f).withColumn("days", duration_days(F.col("start"), F.col("end")))
     period = [*keys, "fiscal_year", "fp"]
-    usable = owned_by_best_tag(f, period)
     # a period other than the year prefers a stand-alone quarter
     short = in_window(F.col("days"), dims.QUARTER_DAYS)
-    best = usable.groupBy(*period).agg(F.max_by(
-        F.struct("val", "filed", "end", short.alias("direct")), F.struct(short, F.col("filed"), F.col("accn"))).alias("r"))
+    # the best tag that reports a period owns it: it leads the order, so the facts need not meet themselves in a join
+    best = f.where(F.col("priority").isNotNull()).groupBy(*period).agg(F.max_by(
+        F.struct("val", "filed", "end", short.alias("direct")), F.struct(-F.col("priority"), short, F.col("filed"), F.col("accn"))).alias("r"))
     return discrete_quarters(best.select(*period, "r.*"), keys)

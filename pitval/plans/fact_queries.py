@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.symbols import duration_days, fiscal_year
 from ..operators import facts as fx, fundamentals as fund
+from ..session import keep
 from .bindings import VIEWS, View, view
 from .registry import Book
 
@@ -122,7 +123,8 @@ DISCRETE_SQL = book.items["w9_discrete_quarters"].sql
 
 @book.add("w9_quarterly_flows", "custkey:i fiscal_year:i fiscal_quarter val:f2 filed_date:d", DISCRETE_SQL.replace("b_ytd_wide", "b_restated_wide"))
 def quarterly_flows(spark, sf):
-    f = view(spark, sf, "b_raw_facts").withColumnsRenamed({"start_day": "start", "end_on": "end"})
+    periods = keep(view(spark, sf, "b_periods"))  # read for each kind of fact, and for the calendars and the figures
+    f = view(spark, sf, "b_raw_facts", {"b_periods": periods}).withColumnsRenamed({"start_day": "start", "end_on": "end"})
     f = f.withColumns({"cik": F.col("custkey").cast("string"), "metric": F.lit("revenue"), "priority": F.lit(0),
                        "form": F.when(F.col("fp") == "FY", "10-K").otherwise("10-Q")})
     return fx.quarterly_flows(f).withColumn("custkey", F.col("cik").cast("long"))

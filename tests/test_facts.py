@@ -139,3 +139,16 @@ def test_years_of_whole_weeks_and_early_year_ends(spark):
     got = {(r.fiscal_year, r.fiscal_quarter): r.val for r in fx.quarterly_flows(spark.createDataFrame(rows, kind)).collect()}
     assert got == {(y, f"Q{q}"): (100.0 + y if q == 1 else 100.0 if q < 4 else 400.0 + y - (300.0 + y)) for y in (2022, 2023) for q in (1, 2, 3, 4)}
     assert fx.fiscal_months(spark.createDataFrame(rows, kind)).first().fiscal_month == 1
+
+
+def test_quarterly_flows_read_their_facts_once_for_the_calendar_and_once_for_the_figures(spark, tmp_path):
+    kind = "cik string, metric string, priority int, accn string, form string, fy int, fp string, start date, end date, filed date, val double"
+    day = dt.date
+    quarter = ("10-Q", 2024, "Q1", day(2024, 1, 1), day(2024, 3, 31))
+    rows = [("1", "revenue", 1, "r1", *quarter, day(2024, 4, 20), 10.0), ("1", "revenue", 1, "r2", *quarter, day(2024, 4, 25), 11.0),
+            ("1", "revenue", 2, "r3", *quarter, day(2024, 6, 1), 99.0), ("1", "revenue", None, "r4", *quarter, day(2024, 7, 1), 98.0)]
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "facts"))
+    out = fx.quarterly_flows(spark.read.schema(kind).parquet(str(tmp_path / "facts")))
+    # the best tag owns the quarter, its latest filing tells the figure; a fact without a rank owns nothing
+    assert [(r.fiscal_year, r.fiscal_quarter, r.val) for r in out.collect()] == [(2024, "Q1", 11.0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
