@@ -307,6 +307,36 @@ def strike_grid(df: DataFrame, n_sigma: float = 3.0, step: float = 0.25) -> Data
 
 
 CHUNK = 256
+PASSES = 100
+
+
+def log_optimal(weight, gain, lost):
+    """Stakes at which the growth of each row stops rising, and the passes over the nodes it took.
+
+    The slope falls with the stake and changes sign between 0 and ``MOST_STAKE``. Newton steps
+    find the place in a few passes; one that leaves the bracket halves it instead. A row stays
+    as it is once it has settled, whatever rows are beside it.
+    """
+    out, at = np.empty(len(gain)), np.arange(len(gain))
+    a, b = np.zeros(len(gain)), np.full(len(gain), MOST_STAKE)
+    f = (a + b) / 2
+    for n in range(PASSES):
+        if not len(at):
+            return out, n
+        ratio = gain / (1 + f[:, None] * gain)
+        mean = weight * ratio
+        slope = mean.sum(axis=1) - lost / (1 - f)
+        bend = (mean * ratio).sum(axis=1) + lost / (1 - f) ** 2
+        up = slope > 0
+        a, b = np.where(up, f, a), np.where(up, b, f)
+        step = f + slope / bend
+        step = np.where((step >= a) & (step <= b), step, (a + b) / 2)
+        out[at] = step
+        open_ = np.abs(step - f) > 1e-12
+        f = step
+        if not open_.all():
+            at, f, a, b, weight, gain, lost = (z[open_] for z in (at, f, a, b, weight, gain, lost))
+    return out, PASSES
 
 
 def _growth_of(s, k, mu, v, t, p, call, x, w):
@@ -326,13 +356,9 @@ def _growth_of(s, k, mu, v, t, p, call, x, w):
         return (weighted / (1 + f * gain)).sum(axis=1, keepdims=True) - lost / (1 - f)
 
     usable = (p > 0) & (hi > lo) & (slope(np.zeros_like(s)) > 0)
-    a, b = np.zeros_like(s), np.full_like(s, MOST_STAKE)
-    capped = slope(b) > 0
-    for _ in range(45):
-        m = (a + b) / 2
-        up = slope(m) > 0
-        a, b = np.where(up, m, a), np.where(up, b, m)
-    f = np.where(capped, MOST_STAKE, (a + b) / 2)
+    f = np.full_like(s, MOST_STAKE)
+    inside = (usable & ~(slope(f) > 0))[:, 0]
+    f[inside, 0] = log_optimal(weight[inside], gain[inside], lost[inside, 0])[0]
     growth = (weight * np.log1p(f * gain)).sum(axis=1, keepdims=True) + np.where(lost > 0, lost * np.log1p(-f), 0)
     ok = usable & np.isfinite(growth)
     return np.where(ok, f, np.nan)[:, 0], np.where(ok, growth, np.nan)[:, 0]
@@ -373,6 +399,8 @@ def best_strike(df: DataFrame, keys: Sequence[str], criterion: str = "kelly", pr
         df = df.withColumn("premium", F.col(premium).cast("double"))
     if criterion not in ("kelly", "sharpe"):
         raise ValueError(f"criterion must be kelly or sharpe, not {criterion!r}")
+    # only what tells a candidate moves on: other columns would be written, dealt and turned into Python objects per strike
+    df = df.select(*dict.fromkeys([*keys, "spot", "strike", "mu", "sigma", "t", "option_type", "premium"]))
     df = cut(payoff_moments(df.where("strike > 0")))  # counted and scored from one evaluation
     tried = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_candidates"),
                                   F.count_if((F.col("premium") > 0) & (F.col("edge") <= 0)).alias("n_negative_edge"))

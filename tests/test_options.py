@@ -171,3 +171,26 @@ def test_the_premium_column_is_an_argument(spark, criterion):
     same = op.best_strike(priced.withColumn("premium", F.col("ask")), ["id"], criterion).first()
     model = op.best_strike(priced.withColumn("premium", F.col("price")), ["id"], criterion).first()
     assert asked == same and asked.premium is not None and asked.score < model.score
+
+
+def test_stakes_settle_in_few_passes_where_halving_ends():
+    rng = np.random.default_rng(5)
+    weight = rng.random((400, 64)) / 64
+    lost = rng.uniform(1e-6, 0.9, 400)
+    gain = rng.exponential(10.0 ** rng.uniform(-1, 3, (400, 1)), (400, 64)) - rng.random((400, 64))
+    lost[:20] = 0.0
+
+    def slope(f):
+        return (weight * gain / (1 + f[:, None] * gain)).sum(axis=1) - lost / (1 - f)
+
+    inside = (slope(np.zeros(400)) > 0) & (slope(np.full(400, op.MOST_STAKE)) <= 0)
+    weight, gain, lost = weight[inside], gain[inside], lost[inside]
+    a, b = np.zeros(len(lost)), np.full(len(lost), op.MOST_STAKE)
+    for _ in range(60):
+        m = (a + b) / 2
+        up = slope(m) > 0
+        a, b = np.where(up, m, a), np.where(up, b, m)
+    stake, passes = op.log_optimal(weight, gain, lost)
+    assert len(lost) > 100 and np.abs(stake - a).max() < 1e-11 and passes <= 20
+    # a row does not depend on the rows beside it
+    assert all(op.log_optimal(weight[i:i + 1], gain[i:i + 1], lost[i:i + 1])[0][0] == pytest.approx(stake[i], abs=1e-12) for i in range(20))
