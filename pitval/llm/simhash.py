@@ -100,7 +100,8 @@ def links(prints: DataFrame, distance: int = 2, parts: int = 2) -> DataFrame:
     stored = prints.select("fp", "node", F.inline(F.array(*store)))
     asked = prints.select(F.col("fp").alias("fp2"), F.col("node").alias("node2"), F.inline(F.concat(*probe)))
     near = (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance)
-    return stored.join(asked, ["k", "v"]).where(near).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    # not broadcast: Spark sizes ``asked`` as if each fingerprint made one row
+    return stored.hint("merge").join(asked.hint("merge"), ["k", "v"]).where(near).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 2, parts: int = 2) -> DataFrame:
